@@ -1,15 +1,20 @@
 """Queries of the ten operators and the pipeline, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from foliospark.llm import line_dedup, quality, simhash
+import corpus_pipeline
+from foliospark.llm import line_dedup, mixing, packing, quality, simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op2_source_mixing": mixing.op2,
     "op4_line_dedup": line_dedup.op4,
     "op7_simhash_near_dedup": simhash.op7,
     "op9_quality_rules": quality.op9,
+    "op10_best_fit_packing": packing.op10,
 }
 
 ORACLES = {
+    "op2_source_mixing": mixing.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op9_quality_rules": quality.SQL,
 }
