@@ -45,22 +45,30 @@ def measures(df: DataFrame) -> DataFrame:
     bare = F.col("_text")
     for ch in WS:
         bare = F.replace(bare, F.lit(ch), F.lit(""))
+    # Filters on the measures may be pushed below them, and then stand with all expressions inlined.  So what a lambda uses
+    # again and again is bound once, as the parameter of a one-element transform.
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    hashes = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (NGRAM - 1)), lambda i: F.xxhash64(F.slice(ws, i, F.lit(NGRAM))))
     df = df.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    df = df.withColumns({"_words": words_of(F.col("_text")), "_lines": lines})
-    df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
+    return df.withColumns({
+        "n_words": F.size(words_of(F.col("_text"))).cast("long"),
         "word_chars": F.length(bare).cast("long"),
         "n_symbols": F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_grams": F.expr(f"CASE WHEN size(_words) > {NGRAM} THEN transform(sequence(1, size(_words) - {NGRAM - 1}), i -> xxhash64(slice(_words, i, {NGRAM}))) END"),
-    })
-    # one pass over the sorted hashes marks the windows that have a twin; the one-element transform binds the sorted array once
-    starts = """element_at(transform(array(sort_array(transform(_grams, (h, i) -> struct(h AS h, i AS i)))), s ->
-        sort_array(transform(filter(transform(s, (x, k) -> struct(x.i AS i, coalesce(get(s, k - 1).h = x.h, false) OR coalesce(get(s, k + 1).h = x.h, false) AS twin)), y -> y.twin), y -> y.i))), 1)"""
-    covered = f"""aggregate({starts}, struct(0 AS n, 0 AS upto), (a, p) -> struct(a.n + p + {NGRAM} - greatest(a.upto, p) AS n, p + {NGRAM} AS upto), a -> a.n)"""
-    df = df.withColumn("n_repeat_words", F.expr(f"CASE WHEN _grams IS NULL OR size(array_distinct(_grams)) = size(_grams) THEN 0L ELSE CAST({covered} AS BIGINT) END"))
-    return df.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")).drop("_words", "_lines", "_grams")
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": let(words_of(F.col("_text")), lambda ws: F.when(F.size(ws) <= NGRAM, F.lit(0)).otherwise(let(hashes(ws), _covered))).cast("long"),
+    }).withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+
+
+def _covered(grams: Column) -> Column:
+    """Words in windows that have a twin: one pass over the sorted hashes marks the windows, one over their starts adds up."""
+    pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    near = lambda s, k, x: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+    twins = lambda s: F.filter(F.transform(s, lambda x, k: F.when(near(s, k - 1, x) | near(s, k + 1, x), x["i"])), lambda y: y.isNotNull())
+    starts = F.sort_array(F.element_at(F.transform(F.array(pairs), twins), 1))
+    step = lambda a, p: F.struct((a["n"] + p + NGRAM - F.greatest(a["upto"], p)).alias("n"), (p + NGRAM).alias("upto"))
+    covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), step, lambda a: a["n"])
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(covered)
 
 
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> list[Rule]:
