@@ -88,6 +88,16 @@ class ChunkEncoder:
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder a Python worker, so that tasks find the chunks that earlier ones met."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -101,7 +111,7 @@ def cut_pieces(df: DataFrame, capacity: int = CAPACITY, path: str | None = None)
         from pyspark import TaskContext
 
         part, nth = TaskContext.get().partitionId(), defaultdict(int)
-        encode = ChunkEncoder(path or vocabulary())
+        encode = encoder_of(path or vocabulary())
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             rows, docs = [], b["doc_id"].tolist()

@@ -2,13 +2,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import line_dedup, mixing, packing, quality, simhash
+from foliospark.llm import licenses, line_dedup, mixing, packing, quality, simhash, token_counts
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_source_mixing": mixing.op2,
+    "op3_token_counts": token_counts.op3,
     "op4_line_dedup": line_dedup.op4,
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_license_scans": licenses.op8,
     "op9_quality_rules": quality.op9,
     "op10_best_fit_packing": packing.op10,
 }
