@@ -2,13 +2,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import licenses, line_dedup, mixing, packing, quality, simhash, token_counts
+from foliospark.llm import hamming, html, licenses, line_dedup, mixing, packing, quality, simhash, token_counts
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_source_mixing": mixing.op2,
     "op3_token_counts": token_counts.op3,
     "op4_line_dedup": line_dedup.op4,
+    "op5_exact_top_k": hamming.op5,
+    "op6_html_extraction": html.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_license_scans": licenses.op8,
     "op9_quality_rules": quality.op9,
@@ -18,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_source_mixing": mixing.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op5_exact_top_k": hamming.SQL,
     "op9_quality_rules": quality.SQL,
 }
