@@ -120,9 +120,8 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, block: int = 1 << 16) -
         for b in batches:
             for ids, code, q_ids, q_codes in b[["ids", "codes", "q_ids", "q_codes"]].itertuples(index=False):
                 index = MultiIndex(np.frombuffer(ids, np.int64), np.frombuffer(code, np.int64))
-                for q, c in zip(np.frombuffer(q_ids, np.int64), np.frombuffer(q_codes, np.int64), strict=True):
-                    i, d = index.search(int(c), k)
-                    yield pd.DataFrame({"query_id": np.full(len(i), q), "vec_id": i, "distance": d})
+                got = [(q, *index.search(int(c), k)) for q, c in zip(np.frombuffer(q_ids, np.int64), np.frombuffer(q_codes, np.int64), strict=True)]
+                yield pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]), "vec_id": np.concatenate([i for _, i, _ in got]), "distance": np.concatenate([d for _, _, d in got])})
 
     near = queries.join(blocks, "g").select("ids", "codes", "q_ids", "q_codes").mapInPandas(search, "query_id long, vec_id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))

@@ -138,7 +138,9 @@ WORDS = re.compile(r"[A-Z]?[a-z]+")
 def features(n: Node) -> list[str]:
     size = sum(n.parts)
     out = ["bias", f"tag:{n.tag}"]
-    if n.hints:
+    if not n.hints:
+        out.append(f"bare:{n.tag}")
+    else:
         out += [f"hint:{w}" for w in {x.lower().removesuffix("s") for x in WORDS.findall(n.hints)}]
     if size:
         out.append("links:most" if 2 * n.links > size else "links:some" if n.links else "text")

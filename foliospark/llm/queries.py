@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import hamming, html, licenses, line_dedup, mixing, packing, quality, simhash, token_counts
+from foliospark.llm import hamming, html, licenses, line_dedup, mixing, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_toxicity": toxicity.op1,
     "op2_source_mixing": mixing.op2,
     "op3_token_counts": token_counts.op3,
     "op4_line_dedup": line_dedup.op4,
