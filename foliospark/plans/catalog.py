@@ -1,3 +1,20 @@
-"""All registered queries."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All registered queries of the library with their SQL."""
+from __future__ import annotations
+
+from foliospark.plans import fact_queries, ledger_queries, search_queries
+
+def plain(query):
+    """Results in types that compare alike everywhere: dates as text, decimals as doubles."""
+
+    def run(spark, sf_dir):
+        df = query(spark, sf_dir)
+        cast = {c: "string" if t == "date" else "double" for c, t in df.dtypes if t == "date" or t.startswith("decimal")}
+        return df.withColumns({c: df[c].cast(t) for c, t in cast.items()}) if cast else df
+
+    return run
+
+
+QUERIES = search_queries.QUERIES | fact_queries.QUERIES | ledger_queries.QUERIES
+QUERIES = {name: plain(query) for name, query in QUERIES.items()}
+ORACLES = search_queries.ORACLES | fact_queries.ORACLES | ledger_queries.ORACLES
+FLAGSHIP = QUERIES["hybrid_rrf"]
