@@ -258,6 +258,8 @@ def labelled_page(r: random.Random) -> str:
         body += f'<header data-y="1"><h1>{say(2, 12)}</h1></header>'
     for _ in range(r.randint(1, 9)):
         body += block() if r.random() < 0.85 else junk(True)
+    for _ in range(r.choice([0, 0, 0, 0, 1, 3, 9])):  # wrappers in wrappers
+        body = f"<div{any_()}>{body}</div>"
     kind = r.choice(["article", "article", "main", "div", "section", "plain"])
     if kind == "plain":
         art = f'<div data-y="1">{body}</div>'
@@ -268,6 +270,8 @@ def labelled_page(r: random.Random) -> str:
     out = "".join(junk(False) for _ in range(r.randint(1, 4))) + art + "".join(junk(False) for _ in range(r.randint(0, 4)))
     if r.random() < 0.3:
         out = f'<div class="{r.choice(["wrapper", "page", "container", "layout", "site"])}">{out}</div>'
+    for _ in range(r.choice([0, 0, 0, 0, 1, 4, 12])):
+        out = f"<div{any_()}>{out}</div>"
     return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{out}</body></html>"
 
 
