@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.llm.common import stash, table
+from foliospark.llm.token_counts import byte_letters
 
 CAPACITY = 4096
 END = 1
@@ -34,14 +36,16 @@ class ChunkEncoder:
     """Token ids by memo of white-space chunks: this vocabulary's tokens never span white space.
 
     What is not in the memo goes to the library, many chunks in a call; a text with special strings or characters beyond
-    U+024F goes to the library whole.  The memo starts anew when it holds `most` chunks."""
+    U+024F (or U+0130) goes to the library whole.  The memo starts anew when it holds `most` chunks."""
 
-    ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\u024f]|<\\|")
+    ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u024f]|<\\|")
+    TOUCH = re.compile(r"[^\w\s][^\w\s]|_")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib, self.most = Tokenizer.from_file(path), most
+        self.model, self.letters = self.lib.model, {b: ord(c) for c, b in byte_letters().items()}
         self._clear()
 
     def _clear(self):
@@ -50,41 +54,61 @@ class ChunkEncoder:
         self.used = 0
 
     def _learn(self, chunks: list[str]):
-        n = len(self.memo)
-        text = " ".join(chunks)
-        got = self.lib.encode(text, add_special_tokens=False)
-        ids = np.array(got.ids, np.uint32)
+        """Plain words are one piece each and go to the library's merges at once; the others, joined, through all of it."""
+        plain = [c for c in chunks if c.isalpha()]
+        ids = [[t.id for t in self.model.tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(self.letters))] for c in plain]
+        self._add(plain, np.array([i for own in ids for i in own], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        mixed = [c for c in chunks if not c.isalpha()]
+        got = self.lib.encode(" ".join(mixed), add_special_tokens=False)
         at = np.array([a for a, _ in got.offsets], np.int64)
-        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
-        upto = np.searchsorted(at, ends, side="left")
+        ends = np.cumsum(np.fromiter(map(len, mixed), np.int64, len(mixed)) + 1)
+        self._add(mixed, np.array(got.ids, np.uint32), np.diff(np.searchsorted(at, ends, side="left"), prepend=0))
+
+    def _add(self, chunks: list[str], ids: np.ndarray, size: np.ndarray):
+        n = len(self.memo)
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.begin) < n + len(chunks):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[n : n + len(chunks)] = self.used + np.concatenate([[0], upto[:-1]])
-        self.size[n : n + len(chunks)] = np.diff(np.concatenate([[0], upto]))
+        self.begin[n : n + len(chunks)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(chunks)] = size
         self.used += len(ids)
         self.memo.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
+    def _split(self, text: str) -> list[str] | None:
+        """Chunks of a text, with lower case and full stops and commas by themselves where no two signs touch; None: odd."""
+        if self.ODD.search(text):
+            return None
+        text = text.lower()
+        if not self.TOUCH.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
+        return text.split()
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.memo) > self.most:
             self._clear()
-        split = [None if self.ODD.search(t) else t.split() for t in texts]
-        new = {w for ws in split if ws for w in ws}.difference(self.memo)
-        if new:
-            self._learn(sorted(new))
-        out = []
+        split = [self._split(t) for t in texts]
+        flat = list(chain.from_iterable(ws for ws in split if ws))
+        k = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            words = [flat[i] for i in new]
+            self._learn(list(set(words)))
+            k[new] = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        size, begin = self.size[k], self.begin[k]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.arange(total) + np.repeat(begin - ends + size, size)]
+        ends = np.concatenate([[0], ends])
+        out, at = [], 0
         for t, ws in zip(texts, split, strict=True):
             if ws is None:
                 out.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            k = np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws))
-            size, begin = self.size[k], self.begin[k]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(begin - ends + size, size)])
+            else:
+                out.append(ids[ends[at] : ends[at + len(ws)]])
+                at += len(ws)
         return out
 
 
@@ -229,7 +253,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> Da
             yield b.drop(columns="rank").assign(sequence_id=seq[k] + q, offset=off[k] + r * length)
 
     before = tasks.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).select("part", "length", "before")
-    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInPandas(look_up, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
