@@ -17,7 +17,7 @@ def tokens(text: Column) -> Column:
 
 
 def _count(term: str) -> Column:
-    return F.size(F.filter(tokens(F.col("text")), lambda x: x == term))
+    return F.size(F.filter("t", lambda x: x == term))
 
 
 def numbered(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -27,7 +27,8 @@ def numbered(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 def bm25(chunks: DataFrame, terms: list[str], limit: int) -> DataFrame:
     """Any-term BM25 of chunks (id, chunk, text): one pass for the collection's statistics, one for scores, no posting shuffle."""
-    counted = chunks.select("id", "chunk", F.size(tokens(F.col("text"))).alias("dl"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    split = chunks.select("id", "chunk", tokens(F.col("text")).alias("t"))  # once, whatever the number of terms
+    counted = split.select("id", "chunk", F.size("t").alias("dl"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("_k", F.lit(1))
     rows = hit.join(F.broadcast(stats.withColumn("_k", F.lit(1))), "_k")  # one row
@@ -42,8 +43,8 @@ def bm25(chunks: DataFrame, terms: list[str], limit: int) -> DataFrame:
 def all_terms(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     """The fallback: all terms, or the query as a substring; score is the number of term occurrences by length."""
     terms = sorted(set(query.lower().split()))
-    t = tokens(F.col("text"))
-    hit = chunks.filter((F.size(F.array_except(F.array(*map(F.lit, terms)), t)) == 0) | F.contains(F.lower("text"), F.lit(query.lower())))
+    t = F.col("t")
+    hit = chunks.withColumn("t", tokens(F.col("text"))).filter((F.size(F.array_except(F.array(*map(F.lit, terms)), t)) == 0) | F.contains(F.lower("text"), F.lit(query.lower())))
     n = F.size(F.filter(t, lambda x: x.isin(*terms)))
     return numbered(hit.select("id", "chunk", F.round(n / (1 + F.size(t)), 6).alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
 
