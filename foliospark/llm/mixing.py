@@ -8,7 +8,7 @@ capacity per weight is at most what the others would get per weight.  All arithm
 
 A leaf's grant is taken from seeded epochs: whole passes over the leaf, then the prefix of the next epoch's order
 (md5 of seed, epoch and doc_id) until the grant is spent; the document that crosses the grant is in.  To find the
-prefix no leaf is ever sorted as a whole: token counts by the first 16 bits of the order tell in which bucket the grant
+prefix no leaf is ever sorted as a whole: token counts by the first 8 bits (two hex digits) of the order tell in which bucket the grant
 ends, and only that bucket is sorted.
 
 Nulls: null domain, lang or source form leaves of their own; a null text has no tokens, and texts without tokens are
