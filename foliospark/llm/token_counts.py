@@ -56,7 +56,7 @@ class ChunkMap:
 
 
 class CountingTransducer:
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         spec = json.load(open(path, encoding="utf-8"))
         letters = byte_letters()
         spell = lambda s: bytes(letters[c] for c in s)
@@ -132,6 +132,8 @@ class CountingTransducer:
             lead = " "
         elif space:
             out.append(space[-1])
+        if body.isalpha():  # letters only: the one run there is
+            return [*out, lead + body]
         i = 0
         while i < len(body):
             if body[i] == "'" and not lead:
