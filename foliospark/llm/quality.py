@@ -73,16 +73,17 @@ def _covered(grams: Column) -> Column:
 
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> list[Rule]:
     """Rules by rejections per cost, estimated on at most `rows` rows."""
-    sample = df.select("text").limit(rows).withColumn("_text", F.coalesce("text", F.lit("")))
-    lines = F.size(F.split("_text", "\n"))
-    dup = F.size(F.split("_text", "\n")) - F.size(F.array_distinct(F.split("_text", "\n")))
-    sample = sample.select(
-        F.col("_text").alias("text"), F.size(words_of(F.col("_text"))).alias("n_words"), F.length(F.regexp_replace("_text", WS_CLASS, "")).alias("word_chars"),
-        F.regexp_count("_text", F.lit("[#*$%&|<>]")).alias("n_symbols"), dup.alias("n_dup_lines"), lines.alias("lines"),
+    body = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.split(body, "\n")
+    looks = df.select(
+        body.alias("text"), F.size(words_of(F.col("text"))).alias("n_words"), F.length(F.regexp_replace(body, WS_CLASS, "")).alias("word_chars"),
+        F.regexp_count(body, F.lit("[#*$%&|<>]")).alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"), F.size(lines).alias("l"),
     )
-    got = sample.agg(F.avg(F.length("text")).alias("c"), F.avg("n_words").alias("w"), F.avg("lines").alias("l"), *[F.avg(F.expr(f"CAST({r.fails} AS DOUBLE)")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    size = {k: got[k] or 1.0 for k in "cwl"}
-    gain = {r.name: (got[f"r{i}"] or 0.0) / (1 + r.per_char * size["c"] + r.per_word * size["w"] + r.per_line * size["l"]) for i, r in enumerate(rules)}
+    # a limit on top of the plan reads partitions only until it has its rows; numbers come back, no texts
+    got = looks.select(F.length("text").alias("c"), F.col("n_words").alias("w"), "l", *[F.expr(f"CAST({r.fails} AS INT)").alias(f"r{i}") for i, r in enumerate(rules)]).limit(rows).collect()
+    mean = lambda k: sum(x[k] or 0 for x in got) / max(len(got), 1)
+    size = {k: mean(k) for k in "cwl"}
+    gain = {r.name: mean(f"r{i}") / (1 + r.per_char * size["c"] + r.per_word * size["w"] + r.per_line * size["l"]) for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
