@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import line_dedup, mixing, packing, quality, simhash
+from foliospark.llm import line_dedup, mixing, near_copies, packing, quality
 from foliospark.llm.common import stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,9 +26,10 @@ def drop_seen_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
-    keep = simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_doc"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of texts that share 0.8 of their five-word shingles; see near_copies for which one."""
+    docs = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = near_copies.near_copies(docs, width=5, threshold=0.8).filter("_row <> _keep").select("_row")
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
