@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; a line of more than `block_words` words is cut into overlapping windows of that length,
-half of it apart, so that a notice of up to half a window lies whole in one.  Templates are sets of words.  Template
+Blocks are the overlapping windows of `block_words` words of the whole text, half of that apart, so that a notice of up to
+half a window lies whole in one, however it is wrapped (line ends separate words as other signs do); and each line, a
+longer one cut into windows likewise.  Templates are sets of words.  Template
 words are ordered by their document frequency over the whole corpus, rarest first (one distributed count, at most one
 row a template word).  A block that holds at least t of a template's n words must hold one of the first
 n - ceil(t n) + 1 in this order, so only those are indexed (prefix filter); a block of fewer words than ceil(t n) is
@@ -103,21 +104,27 @@ class TemplateJoin:
         return found
 
     def blocks(self, text: str, size: int = BLOCK_WORDS):
-        """Word lists of the text's blocks that hold an indexed word."""
-        for line in text.split("\n"):
-            if not self.any.search(line):
-                continue
-            words = WORD.findall(line)
-            if len(words) <= size:
-                yield words
-            else:
-                places = [i for i, w in enumerate(words) if w in self.index]
-                upto = -1
-                for s in range(0, len(words) - size // 2, size // 2):
-                    k = bisect_right(places, s - 1)
-                    if k < len(places) and places[k] < s + size and s > upto:
-                        upto = s
-                        yield words[s : s + size]
+        """Word lists of the text's blocks that hold an indexed word: windows over the whole text, and its lines."""
+        if not self.any.search(text):
+            return
+        yield from self.windows(WORD.findall(text), size)
+        lines = text.split("\n")
+        if len(lines) > 1:
+            for line in lines:
+                if self.any.search(line):
+                    yield from self.windows(WORD.findall(line), size)
+
+    def windows(self, words: list[str], size: int):
+        if len(words) <= size:
+            yield words
+            return
+        places = [i for i, w in enumerate(words) if w in self.index]
+        upto = -1
+        for s in range(0, len(words) - size // 2, size // 2):
+            k = bisect_right(places, s - 1)
+            if k < len(places) and places[k] < s + size and s > upto:
+                upto = s
+                yield words[s : s + size]
 
 
 def template_frequency(df: DataFrame, templates: dict[str, str]) -> dict[str, int]:

@@ -1,0 +1,22 @@
+"""License notices that are wrapped over lines."""
+import textwrap
+
+import pytest
+
+from foliospark.llm import licenses
+
+
+@pytest.mark.parametrize("name", ["mit-grant", "bsd-grant"])
+@pytest.mark.parametrize("width", [30, 72, 76, 80])
+@pytest.mark.parametrize("before", [0, 31, 500])
+def test_wrapped_notice(spark, name, width, before):
+    notice = "\n".join(textwrap.wrap(licenses.TEMPLATES[name], width))
+    text = licenses.lower("some line of it\n" * before + notice + "\nand more")
+    join = licenses.TemplateJoin(licenses.TEMPLATES, {})
+    assert name in {n for b in join.blocks(text) for n in join.match(b)}
+
+
+def test_scan(spark):
+    notice = "\n".join(textwrap.wrap(licenses.TEMPLATES["mit-grant"], 72))
+    got = licenses.scan(spark.createDataFrame([(1, notice)], "doc_id long, text string")).first()
+    assert (got["labels"], got["score"]) == ("mit-grant", 1.0)
