@@ -33,9 +33,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the target mixture; one epoch, so none comes twice."""
-    drawn = mixing.draw(docs, epochs=1).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_doc"]), "left_semi").select(*COLUMNS)
+    """The documents of the target mixture; one epoch, so none comes twice.  Rows of one doc_id, or of none, in a leaf are drawn together."""
+    own = ("doc_id", "lang", "source")
+    drawn = mixing.draw(docs, epochs=1).select(*[F.col(c).alias(f"_{c}") for c in own]).distinct()
+    same = [docs[c].eqNullSafe(drawn[f"_{c}"]) for c in own]
+    return docs.join(drawn, same[0] & same[1] & same[2], "left_semi").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

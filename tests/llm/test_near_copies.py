@@ -62,3 +62,10 @@ def test_recall_of_the_keys(n):
             keep = sorted(r.sample(range(len(own)), int(0.8 * len(own)) + 1))
             missed += not (near_copies.band_keys(own) == near_copies.band_keys(own[keep])).any()
         assert missed == 0
+
+
+def test_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    t = [" ".join(prose(r, 40)) for _ in range(6)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (5, t[2]), (7, t[3]), (7, t[4]), (3, t[4]), (9, t[5]), (9, t[5])]
+    assert stage(spark, rows) == sorted([(None, t[0]), (None, t[1]), (5, t[2]), (7, t[3]), (3, t[4]), (9, t[5])], key=str)
