@@ -6,7 +6,7 @@ each edge has a potential of the parent's and the child's label.  Sum-product me
 and down from the root and give every node's marginal.  The weights are trained by gradient ascent on the likelihood
 (observed less expected counts, both from the same messages) of labelled pages.  The labelled pages come from a seeded
 generator of layouts, `labelled_page`; their number and the epochs are parameters.  A block whose
-marginal is at least a half is part of the text; scripts, styles and the like are never text.
+marginal is at least a half is part of the text; what script, style, textarea and title hold is never text.
 
 Nulls: a null html is the empty page, with no text; a null page_id or url stays null.  Repeated rows are read one by
 one; extra columns are ignored; an empty table gives an empty result.  Truncated and unclosed markup is read as a
@@ -28,15 +28,15 @@ from foliospark.llm.common import table
 PAGES, EPOCHS, SEED = 500, 15, 11
 
 # Elements of HTML by how they are read.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mspace mtable mtr mtd semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select button option canvas audio video head".split())
+RAW = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table td th tr ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div main body aside nav".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-HINTS = ("class", "id", "role", "aria-label", "itemprop", "hidden", "aria-hidden", "data-y")
+HINTS = ("class", "id", "role", "aria-label", "itemprop", "hidden", "aria-hidden")
 
 
 class Node:
@@ -48,8 +48,8 @@ class Node:
             parent.kids.append(self)
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Nodes, parents first, and the blocks: (node, text) in page order."""
+def parse(html: str, marks: bool = False) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """Nodes, parents first, and the blocks: (node, text) in page order; with `marks`, data-y is read as the label."""
     root = Node("body", None)
     nodes, blocks, at, here = [root], [], 0, root
     buffer: list[str] = []
@@ -93,15 +93,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 link = 0
             elif name == "br":
                 buffer.append(" ")
-            elif name not in INLINE and name not in ("html", "body"):
+            elif name not in INLINE and name not in ("html", "head", "body"):
                 close({name}, frozenset())
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            if name == "head" and not end:
-                end = re.compile("<body", re.I).search(html, at)
-                at = end.start() if end else len(html)
-            elif not m[3].rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/"):
                 at = end.end() if end else len(html)
             continue
         if name in INLINE:
@@ -110,7 +107,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             elif name == "br":
                 buffer.append(" ")
             continue
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):  # a head holds no text but that of raw elements, closed or not
             continue
         if name in CLOSES_P:
             close({"p"})
@@ -120,12 +117,17 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         hints, y = [], None
         for k, a, b, c in ATTR.findall(m[3]):
             if (k := k.lower()) in HINTS:
-                if k == "data-y":
-                    y = int(a)
-                else:
-                    hints.append(a or b or c)
+                hints.append(a or b or c)
+            elif marks and k == "data-y":
+                y = int(a)
         if name in VOID:
             continue
+        if m[3].rstrip().endswith("/"):  # drawings close their elements so
+            n = here
+            while n and n.tag != "svg":
+                n = n.parent
+            if n or name == "svg":
+                continue
         here = Node(name, here, " ".join(hints), y)
         nodes.append(here)
     flush()
@@ -276,7 +278,7 @@ def labelled_page(r: random.Random) -> str:
 
 
 def labelled(html: str) -> list[Node]:
-    nodes, _ = parse(html)
+    nodes, _ = parse(html, marks=True)
     nodes[0].y = 1
     for n in nodes[1:]:
         if n.y is None:
