@@ -4,11 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from xxhash import xxh64_intdigest
 
-from foliospark.llm import hamming, html, licenses, line_dedup, mixing, quality, simhash, toxicity
+from foliospark.llm import hamming, html, licenses, line_dedup, mixing, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, pos int, h1 string, fp string, score string"
 WS = "[^\\x20\\x09-\\x0D]+"
@@ -227,56 +226,6 @@ def test_tree_marginals_by_enumeration():
     assert model.marginals(nodes, feats)[0] == pytest.approx([o / total for o in one])
 
 
-def toxic_rows(n, seed=9):
-    r = random.Random(seed)
-    syllable = ["ta", "ren", "o", "mi", "lus", "ka", "ver"]
-    rows = []
-    for i in range(n):
-        words = ["".join(r.choice(syllable) for _ in range(r.randint(1, 4))) for _ in range(r.randint(5, 120))]
-        y = i % 4 == 0
-        if y:
-            words[r.randrange(len(words))] = r.choice(["zzvile", "qqfoul", "grrbad"]) + r.choice(["", "s", "er"])
-        rows.append((i, " ".join(words), int(y)))
-    return rows
-
-
-def test_toxicity(spark):
-    rows = toxic_rows(600)
-    docs = frame(spark, [(i, t, "en", "s") for i, t, _ in rows] + [(None, "x", "", ""), (7000, None, "", ""), (7001, "", "", ""), (7002, "grrbad " * 5000, "", "")])
-    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (7002, None, None)], "doc_id long, quality int, toxic int")
-    got = toxicity.toxicity(docs, labels).toPandas()
-    assert len(got) == 604 and got["score"].between(0, 1).all()
-    own = got[got["held_out"]].merge(pd.DataFrame(rows, columns=["doc_id", "t", "y"]), on="doc_id")
-    assert len(own) > 100 and (own["predicted"] == own["y"]).mean() > 0.95
-    assert toxicity.toxicity(docs.limit(0), labels.limit(0)).count() == 0
-
-
-def test_gradients():
-    rng = np.random.default_rng(1)
-    layer = toxicity.Pooled(rng, 5, 3)
-    layer.p = {k: v.astype(np.float64) for k, v in layer.p.items()}
-    x, mask, g = rng.standard_normal((4, 6, 5)), (rng.random((4, 6)) < 0.8).astype(np.float64), rng.standard_normal((4, 6))
-    mask[:, 0] = 1
-    toxicity.F32, f32 = np.float64, toxicity.F32
-    try:
-        loss = lambda: float((layer.forward(layer.project(x), mask) * g).sum())
-        _, memo = layer.forward(layer.project(x), mask, True)
-        d_proj, own = layer.backward(g, memo)
-        own["x"] = np.einsum("ntk,ntj->kj", x, d_proj)
-        for name in ("x", "u0", "u1", "v"):
-            w = layer.p[name]
-            at = tuple(int(rng.integers(0, s)) for s in w.shape)
-            keep, eps = w[at], 1e-3
-            w[at] = keep + eps
-            up = loss()
-            w[at] = keep - eps
-            down = loss()
-            w[at] = keep
-            assert own[name][at] == pytest.approx((up - down) / (2 * eps), rel=0.02, abs=2e-3)
-    finally:
-        toxicity.F32 = f32
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
