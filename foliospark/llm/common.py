@@ -17,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share.  Where none is set, a local session (tests) gets a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -36,6 +36,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a stashed table that nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.startswith(shared_dir(spark)) or f"/{shared_dir(spark).strip('/')}/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))

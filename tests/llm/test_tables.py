@@ -71,6 +71,25 @@ def test_line_dedup(spark):
     got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(frame(spark)).collect())
     assert got == want
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    # hashes that count as hot give the same, and so do names that the operator uses, and ids of text
+    hot = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(frame(spark), salts=3, often=1).collect())
+    clash = frame(spark).selectExpr("doc_id", "text", "1 AS keep", "2 AS tail", "3 AS n_dropped", "4 AS n_lines", "'x' AS kept_text", "5 AS h", "6 AS row", "7 AS text_key", "8 AS lines", "9 AS first", "10 AS _doc")
+    out = line_dedup.dedup_lines(clash)
+    assert hot == want and out.columns == ["doc_id", "text", "keep", "tail", "h", "row", "text_key", "lines", "first", "_doc", "n_lines", "n_dropped", "kept_text"]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got) == want and {(r["keep"], r["tail"], r["_doc"]) for r in got} == {(1, 2, 10)}
+    named = line_dedup.dedup_lines(spark.createDataFrame([("b", "the same old line\nx"), ("a", "the same old line")], "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["kept_text"]) for r in named} == {("a", "the same old line"), ("b", "x")}
+
+
+def test_line_dedup_streams_ranges(spark, tmp_path, capsys):
+    rows = [(i, f"every one has this line\nonly {i} has this line", "en", "s") for i in range(2000)]
+    out = line_dedup.line_bitmaps(frame(spark, rows), salts=4, often=3)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(1, 2000))
+    assert {(tuple(r["keep"]), r["tail"]) for r in out.collect()} == {((), 1)}
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "rangepartitioning" in plan and "Window" in plan and plan.count("hashpartitioning(h") == 0  # the ranges are not dealt anew
 
 
 def brute_fingerprint(t):
