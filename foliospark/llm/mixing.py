@@ -4,16 +4,19 @@ The tree is domain, language, source.  Supplies add up from the leaves; the toke
 children share what the node got in proportion to their weights; a child that can't use its share (supply times
 epochs) gives the shortage to its siblings, again by weight, and only what a whole node can't use reaches its own
 siblings.  With the children sorted by capacity per weight this is one running sum a level: child i is full if its
-capacity per weight is at most what the others would get per weight.  All arithmetic is in whole numbers.
+capacity per weight is at most what the others would get per weight.  All arithmetic is in whole numbers, the ratios
+as decimals of 38 digits.  Remainders: every share rounds down, so a node's children get fewer than their number of tokens
+less than the node, and these tokens are not granted.
 
 A leaf's grant is taken from seeded epochs: whole passes over the leaf, then the prefix of the next epoch's order
 (md5 of seed, epoch and doc_id) until the grant is spent; the document that crosses the grant is in.  To find the
-prefix no leaf is ever sorted as a whole: token counts by the first 8 bits (two hex digits) of the order tell in which bucket the grant
-ends, and only that bucket is sorted.
+prefix no leaf is ever sorted as a whole: token counts by the first hex digits of the order tell in which bucket the grant
+ends, and only that bucket is sorted; larger leaves take more digits, so a bucket has about `BUCKET` documents.
 
 Nulls: null domain, lang or source form leaves of their own; a null text has no tokens, and texts without tokens are
-never drawn; a null doc_id is ordered as the empty string.  Repeated rows are drawn together.  An empty table gives
-an empty result.  Extra columns are ignored by `draw`.
+never drawn; a null doc_id is ordered as the empty string.  Repeated rows, and all rows of one doc_id in a leaf, are drawn
+together; if such a group ends a bucket, it is in as a whole.  A very long text counts with all its words.  An empty table
+gives an empty result.  Extra columns are ignored by `draw`, also one named domain.
 """
 from __future__ import annotations
 
@@ -29,6 +32,8 @@ SEED, EPOCHS = 2024, 3
 WEIGHTS = {"domain": {"d0": 4, "d1": 2, "d2": 1, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
 #: The budget in hundredths of all tokens.
 PERCENT = 80
+#: Documents in a bucket of a leaf's order, about.
+BUCKET = 4096
 
 
 def domain_of(source: Column) -> Column:
@@ -59,10 +64,10 @@ def grants(leaves: DataFrame, weights: dict = WEIGHTS, epochs: int = EPOCHS, per
                 on = c if on is None else on & c
             kids = kids.join(up, on).drop(*[f"_{p}" for p in LEVELS[:d]])
         else:
-            kids = kids.withColumn("got", F.expr(f"sum(supply) OVER () * {percent} div 100"))
+            kids = kids.withColumn("got", F.expr(f"CAST(CAST(sum(supply) OVER () AS decimal(38,0)) * {percent} div 100 AS bigint)"))
         by = Window.partitionBy(*LEVELS[:d]) if d else Window.partitionBy(F.lit(0))
         # capacity per weight in millionths, whole numbers: the same order in any engine
-        run = by.orderBy(F.expr("cap * 1000000 div w"), F.col(level).asc_nulls_first())
+        run = by.orderBy(F.expr("CAST(cap AS decimal(38,0)) * 1000000 div w"), F.col(level).asc_nulls_first())
         before = run.rowsBetween(Window.unboundedPreceding, -1)
         kids = kids.withColumns({"cap0": F.coalesce(F.sum("cap").over(before), F.lit(0)), "w1": F.sum("w").over(run.rowsBetween(0, Window.unboundedFollowing))})
         fair = F.expr("w * (CASE WHEN got > cap0 THEN got - cap0 ELSE 0 END) div w1")
@@ -88,13 +93,13 @@ def draw(df: DataFrame, weights: dict = WEIGHTS, epochs: int = EPOCHS, percent:
     df needs doc_id, text, lang, source; n_tokens counts white-space words."""
     docs = df.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", F.size(words_of(F.col("text"))).cast("long").alias("n_tokens")).filter("n_tokens > 0")
     docs = stash(docs, "sizes")
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
-    plan = stash(grants(leaves, weights, epochs, percent).withColumns({"whole": F.expr("tokens div supply"), "rest": F.expr("tokens % supply")}), "grants")
+    leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n"))
+    plan = stash(grants(leaves, weights, epochs, percent).withColumns({"whole": F.expr("tokens div supply"), "rest": F.expr("tokens % supply"), "digits": F.expr(f"CAST(greatest(0, least(8, ceil(log(16, n / {BUCKET})))) AS int)")}), "grants")
     names = {p: f"_{p}" for p in LEVELS}
-    side = plan.select(*[F.col(p).alias(f"_{p}") for p in LEVELS], "whole", "rest")
+    side = plan.select(*[F.col(p).alias(f"_{p}") for p in LEVELS], "whole", "rest", "digits")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     docs = docs.join(side, _same(docs)).drop(*names.values()).withColumn("o", order)
-    docs = docs.withColumn("bucket", F.substring("o", 1, 2))
+    docs = docs.withColumn("bucket", F.expr("left(o, digits)"))
     ends = docs.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     up = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0))).filter("before < rest").select(*[F.col(p).alias(f"_{p}") for p in LEVELS], F.col("bucket").alias("_bucket"), "before", (F.col("before") + F.col("n") > F.col("rest")).alias("last"))

@@ -171,6 +171,22 @@ def test_shortage_stays_among_siblings(spark):
     assert got == {"a": 10, "b": 492, "c": 502}
 
 
+def test_mixing_of_large_supplies(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 10**14), ("d0", "en", "b", 3 * 10**14), ("d1", None, "c", 10**13)], "domain string, lang string, source string, supply long")
+    got = {x["source"]: x["tokens"] for x in mixing.grants(leaves, weights={"domain": {"d0": 1, "d1": 1}}, epochs=3, percent=80).collect()}
+    assert got["c"] == 3 * 10**13 and got["a"] == got["b"] == (41 * 10**13 * 80 // 100 - 3 * 10**13) // 2
+
+
+def test_mixing_buckets_and_clashes(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, "w " * r.randint(1, 30), "en", f"src{r.randint(0, 1)}") for i in range(500)] + [(7, "two words", "en", "src0")]
+    df = frame(spark, rows).selectExpr("*", "'mine' AS domain", "1 AS o", "2 AS bucket", "3 AS cap", "4 AS digits")
+    one = sorted(map(str, mixing.draw(df).collect()))
+    monkeypatch.setattr(mixing, "BUCKET", 2)
+    assert one == sorted(map(str, mixing.draw(df).collect()))
+    assert {x["domain"] for x in mixing.draw(df).collect()} <= {"d0", "d1", "d2", "d3"}
+
+
 def test_licenses(spark):
     got = {x["doc_id"]: x for x in licenses.scan(frame(spark)).collect()}
     assert (got[9]["n_base"], got[9]["first_word"], got[9]["base_labels"]) == (4, 0, "apache,cc-by,gpl,mit")
