@@ -10,7 +10,12 @@ they bring the machine from its reset state back to it, and the transition carri
 
 A chunk of a text is a state map: from the pending unit before it to the pending unit after it and the tokens emitted
 in between.  If a unit begins in the chunk, the map forgets its argument but for the unit that it ends; maps compose
-associatively, and a text's chunks go through a parallel prefix scan in log-many rounds.  Chunks are cut anywhere.
+associatively.  Every text goes through the one path: its chunks' maps, of which there may be one, then a prefix scan, whose
+rounds up and down a tree are independent inside, twice as many compositions as chunks in all.  Chunks are cut anywhere.
+
+Memory: the compiled transitions start anew when they hold `most` entries or `MOST_BYTES` bytes of units, and units of more
+than `LONG_UNIT` characters are run through the counter each time; the pairs of tokens that may follow each other start
+anew at `most` pairs.
 
 Special tokens inside texts count as one token, the library's default.  Nulls: a null text is the empty text, no
 tokens.  Repeated rows are counted one by one; extra columns are ignored; an empty table gives an empty result.
@@ -30,14 +35,13 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import table
 
 LIMIT = 512
-CHUNK = 1 << 15
+CHUNK = 1 << 12
+LONG_UNIT, MOST_BYTES = 256, 1 << 28
 # Fixed value: the characters with the Unicode property White_Space.
 SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: endings that the pattern cuts off.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-#: Where a unit begins for sure: white space after another character.
-BEGIN = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])")
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,7 +76,7 @@ class CountingTransducer:
         self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-        self.most, self.units, self.follow = most, {}, {}
+        self.most, self.units, self.follow, self.held = most, {}, {}, 0
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by its definition; used to compile which token may follow which."""
@@ -95,6 +99,8 @@ class CountingTransducer:
     def follows(self, a: int, b: int) -> bool:
         """a: -1 at the beginning."""
         if (ok := self.follow.get((a, b))) is None:
+            if len(self.follow) >= self.most:
+                self.follow.clear()
             ok = self.follow[a, b] = self.merged((self.text[a] if a >= 0 else b"") + self.text[b]) == ([a, b] if a >= 0 else [b])
         return ok
 
@@ -115,8 +121,17 @@ class CountingTransducer:
                         last.append(t)
                         count.append(count[n - k] + 1)
                         break
-        self.units[piece] = count[-1]
-        return count[-1]
+        return self._keep(piece, count[-1])
+
+    def _keep(self, unit: str, n: int) -> int:
+        """Adds a compiled transition."""
+        if len(unit) <= LONG_UNIT:
+            if len(self.units) >= self.most or self.held >= MOST_BYTES:
+                self.units.clear()
+                self.held = 0
+            self.units[unit] = n
+            self.held += len(unit)
+        return n
 
     @staticmethod
     def cut(unit: str) -> list[str]:
@@ -152,24 +167,24 @@ class CountingTransducer:
     def unit(self, unit: str) -> int:
         """The compiled transition of a unit."""
         if (n := self.units.get(unit)) is None:
-            if len(self.units) >= self.most:
-                self.units.clear()
-            n = self.units[unit] = sum(map(self.piece, self.cut(unit)))
+            n = self._keep(unit, sum(map(self.piece, self.cut(unit))))
         return n
 
     def run(self, text: str) -> int:
         """Tokens of whole units."""
-        units = UNIT.findall(text)
+        return self._emit(UNIT.findall(text))
+
+    def _emit(self, units: list[str]) -> int:
         try:
             return sum(map(self.units.__getitem__, units))
         except KeyError:
             return sum(map(self.unit, units))
 
     def chunk(self, chunk: str) -> ChunkMap:
-        begins = [m.start() for m in BEGIN.finditer(chunk)]
-        if not begins:
+        units = UNIT.findall(chunk)  # the second one and those after it begin here for sure
+        if len(units) < 2:
             return ChunkMap(chunk)
-        return ChunkMap(chunk[: begins[0]], self.run(chunk[begins[0] : begins[-1]]), chunk[begins[-1] :])
+        return ChunkMap(units[0], self._emit(units[1:-1]), units[-1])
 
     def then(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two neighbouring chunks."""
@@ -184,12 +199,12 @@ class CountingTransducer:
         return ChunkMap(joint, b.inner, b.tail) if m.tail is None else ChunkMap(m.head, m.inner + self.run(m.tail) + b.inner, b.tail)
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix scan: after round k each entry covers 2^k chunks."""
-        step = 1
-        while step < len(maps):
-            maps = [self.then(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+        """Inclusive prefix scan: neighbours are joined, their scan gives every second prefix, and one step down the others."""
+        if len(maps) < 2:
+            return maps
+        odd = self.scan([self.then(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
+        even = [maps[0], *(self.then(a, b) for a, b in zip(odd, maps[2::2], strict=False))]
+        return [odd[i // 2] if i % 2 else even[i // 2] for i in range(len(maps))]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a whole text."""
@@ -200,10 +215,10 @@ class CountingTransducer:
         return n + self._segment(text[at:] if at else text, chunk)
 
     def _segment(self, text: str, chunk: int) -> int:
-        if len(text) <= chunk:
-            return self.run(text)
+        if not text:
+            return 0
         whole = self.scan([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
-        return self.run(whole.head) + whole.inner + self.run(whole.tail or "")
+        return self._emit([u for u in (whole.head, whole.tail) if u]) + whole.inner
 
 
 def _kind(c: str) -> str:

@@ -50,3 +50,21 @@ def test_table(spark, lib):
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         assert got[i, len((t or "").encode())] == (n, n > 512)
     assert token_counts.token_counts(df.limit(0)).count() == 0
+
+
+def test_scan_gives_every_prefix():
+    machine = token_counts.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in texts()[::7]:
+        maps = [machine.chunk(t[i : i + 5]) for i in range(0, len(t), 5)]
+        one = maps[:1]
+        for m in maps[1:]:
+            one.append(machine.then(one[-1], m))
+        assert machine.scan(maps) == one
+
+
+def test_memory_is_bounded(monkeypatch, lib):
+    monkeypatch.setattr(token_counts, "MOST_BYTES", 100)
+    machine = token_counts.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"), most=50)
+    for t in [*texts()[::9], "x1" * 5000]:
+        assert machine.count(t) == len(lib.encode(t, add_special_tokens=False).ids)
+        assert len(machine.units) <= 50 and len(machine.follow) <= 50 and sum(map(len, machine.units)) <= 100 + token_counts.LONG_UNIT
