@@ -49,8 +49,13 @@ def test_quality(spark):
 
 
 def test_rule_order(spark):
-    order = quality.order_rules(frame(spark, [(i, "* " * 50, "en", "s") for i in range(5)]))
-    assert order[0].name == "symbols" and {r.name for r in order} == {r.name for r in quality.RULES}
+    rows = [(i, "* " * 50, "en", "s") for i in range(5)] + [(i, "plain words " * 20, "en", "s") for i in range(5, 40)]
+    order = quality.order_rules(frame(spark, rows))
+    assert order[0].name in ("symbols", "dup_lines") and {r.name for r in order} == {r.name for r in quality.RULES}
+    # what the first rule rejects counts for no other, however cheap that is
+    two = (quality.Rule("a", "n_symbols > 10"), quality.Rule("b", "n_symbols > 20"), quality.Rule("c", "n_words = 40"))
+    assert [r.name for r in quality.order_rules(frame(spark, rows), two)][0] == "c"
+    assert [r.name for r in quality.order_rules(frame(spark, []))] == sorted(r.name for r in quality.RULES)
 
 
 def test_line_dedup(spark):
