@@ -1,12 +1,14 @@
 """Exact top-k search over binary codes by multi-index hashing.
 
-Codes are the signs of a vector's entries, 64 bits.  They lie in blocks of at most `block` codes, packed in one row
-each; a block is indexed by each of `SEGMENTS` 16-bit segments.  A query probes, radius after radius, all values of each
-segment within that radius of its own and verifies what it finds by whole Hamming distance.  After radius r every
+Codes are the signs of a vector's entries, 64 bits.  All rows are dealt by a hash of the row number into blocks of about
+`block` codes, so repeated ids spread too.
+A block is one key: its codes come first in its sorted partition and are indexed once, by each of `SEGMENTS` 16-bit
+segments; then the stated queries stream past the index.  A query probes, radius after radius, all values of
+each segment within that radius of its own and verifies what it finds by whole Hamming distance.  After radius r every
 code at a distance of at most SEGMENTS * (r + 1) - 1 has been found (one segment must differ in r bits at most), so the
 search ends as soon as the kth distance is at most that; ties at it are then complete.  The blocks' top k meet in one
-sort per query by distance and id.  Queries and blocks meet on a grid of a fixed number of columns, so neither side
-is broadcast and no row pairs leave a block but its top k.
+sort per query by distance and id.  There are as many tasks as blocks; a task holds one block, and the queries, 16 bytes
+each, are sent to each block once, but never held there.
 
 Nulls: rows without an id or an embedding, or with one of another length, have no code: they are neither queries nor
 answers.  Null entries count as not positive.  Repeated rows are answers of their own; equal (distance, id) share any
@@ -28,7 +30,6 @@ BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 K = 10
 EVERY = 50
-GRID = 16
 
 
 def codes(df: DataFrame) -> DataFrame:
@@ -84,46 +85,39 @@ class MultiIndex:
         return self.ids[found[best]], dist[best]
 
 
-def _packed(rows: DataFrame, size: int, grid: int | None) -> DataFrame:
-    """Rows (g, ids, codes) of at most `size` codes each; g is the block's column of the grid."""
+def top_k(df: DataFrame, k: int = K, every: int = EVERY, block: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, distance) for the queries, the rows whose id is divisible by `every`, over all rows.
 
-    def run(batches):
-        ids, code, have, made = [], [], 0, 0
-
-        def block():
-            i, c = np.concatenate(ids), np.concatenate(code)
-            for a in range(0, len(i), size):
-                yield i[a : a + size].tobytes(), c[a : a + size].tobytes()
-
-        for b in batches:
-            ids.append(b["vec_id"].to_numpy(np.int64))
-            code.append(b["code"].to_numpy(np.int64))
-            have += len(b)
-            if have >= size:
-                yield pd.DataFrame(block(), columns=["ids", "codes"])
-                ids, code, have = [], [], 0
-        if have:
-            yield pd.DataFrame(block(), columns=["ids", "codes"])
-
-    out = rows.mapInPandas(run, "ids binary, codes binary")
-    column = F.pmod(F.xxhash64("ids"), F.lit(grid)).cast("int") if grid else F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
-    return out.withColumn("g", column)
-
-
-def top_k(df: DataFrame, k: int = K, every: int = EVERY, block: int = 1 << 16) -> DataFrame:
-    """(query_id, rank, vec_id, distance) for the queries, the rows whose id is divisible by `every`, over all rows."""
-    rows = stash(codes(df), "codes")
-    blocks = _packed(rows, block, GRID)
-    queries = _packed(rows.filter(F.col("vec_id") % every == 0), 1024, None).withColumnsRenamed({"ids": "q_ids", "codes": "q_codes"})
+    block: codes in a block; by default all rows over the session's parallelism, 2**14 at least and 2**21 at most."""
+    rows = stash(codes(df).withColumn("row", F.monotonically_increasing_id()), "codes")
+    total = rows.count()
+    blocks = max(1, -(-total // (block or min(1 << 21, max(1 << 14, total // df.sparkSession.sparkContext.defaultParallelism)))))
+    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("g"), F.lit(0).alias("kind"), "vec_id", "code")
+    queries = stash(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "code"), "queries")
+    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(1).alias("kind"), "vec_id", "code")
+    parted = dealt.unionByName(sent).repartition(blocks, "g").sortWithinPartitions("g", "kind")
 
     def search(batches):
+        index, at, ids, code = None, -1, [], []
         for b in batches:
-            for ids, code, q_ids, q_codes in b[["ids", "codes", "q_ids", "q_codes"]].itertuples(index=False):
-                index = MultiIndex(np.frombuffer(ids, np.int64), np.frombuffer(code, np.int64))
-                got = [(q, *index.search(int(c), k)) for q, c in zip(np.frombuffer(q_ids, np.int64), np.frombuffer(q_codes, np.int64), strict=True)]
-                yield pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]), "vec_id": np.concatenate([i for _, i, _ in got]), "distance": np.concatenate([d for _, _, d in got])})
-
-    near = queries.join(blocks, "g").select("ids", "codes", "q_ids", "q_codes").mapInPandas(search, "query_id long, vec_id long, distance long")
+            g, kind, i, c = (b[x].to_numpy(np.int64) for x in ("g", "kind", "vec_id", "code"))
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1), len(g)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if g[lo] != at:
+                    index, at, ids, code = None, g[lo], [], []
+                if kind[lo] == 0:
+                    ids.append(i[lo:hi])
+                    code.append(c[lo:hi])
+                    continue
+                if index is None and ids:
+                    index, ids, code = MultiIndex(np.concatenate(ids), np.concatenate(code)), [], []
+                if index is not None:
+                    got = [(q, *index.search(int(x), k)) for q, x in zip(i[lo:hi], c[lo:hi], strict=True)]
+                    yield pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], [len(x) for _, x, _ in got]), "vec_id": np.concatenate([x for _, x, _ in got]), "distance": np.concatenate([d for _, _, d in got])})
+
+    near = parted.mapInPandas(search, "query_id long, vec_id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
