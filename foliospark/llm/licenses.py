@@ -1,18 +1,19 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the overlapping windows of `block_words` words of the whole text, half of that apart, so that a notice of up to
-half a window lies whole in one, however it is wrapped (line ends separate words as other signs do); and each line, a
-longer one cut into windows likewise.  Templates are sets of words.  Template
+Templates are sets of words, without function words, which tell nothing.  A template's blocks are the overlapping windows of
+twice its words or more, half of that apart, over the whole text, so that a notice lies whole in one however it is wrapped
+(line ends separate words as other signs do); and each line, a longer one cut into windows likewise.  Template
 words are ordered by their document frequency over the whole corpus, rarest first (one distributed count, at most one
 row a template word).  A block that holds at least t of a template's n words must hold one of the first
 n - ceil(t n) + 1 in this order, so only those are indexed (prefix filter); a block of fewer words than ceil(t n) is
 out (length filter); and a match at place p of a prefix leaves at most n - p words in common, counting on from the
-words already found in common (positional filter).  What is left is verified.  The templates are a fixed, small list.
+words already found in common (positional filter).  What is left is verified; a template that names a license also
+demands the words that give the name.  The templates are a fixed, small list.
 
 The base part counts the places where a phrase's words stand one after the other.
 
-Nulls: a null text is the empty text.  Repeated rows are scanned one by one; extra columns are ignored; an empty table
-gives an empty result.
+Nulls: a null text is the empty text.  doc_id is of any type.  Repeated rows are scanned one by one, alike; very long texts are
+read whole; extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -39,18 +40,31 @@ def lower(text: str) -> str:
 # The phrases and labels of the base part.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Notices in their usual words, and the labels that the method adds.
+# Function words, which no template counts.
+FUNCTION_WORDS = frozenset("a an and any are as at be by either for from if in into is it not of on or shall that the this to under with you".split())
+
+# Notices and license texts in their usual words, and the labels that the method adds.
 TEMPLATES = {
     "gpl-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
+    "apache-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "mit-notice": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights": "All rights reserved.",
 }
+# The words without which a notice does not name its license.
+NAMES = {"gpl-notice": ("gnu", "public"), "gpl-header": ("gnu",), "gpl-warranty": ("gnu",), "apache-notice": ("apache",), "apache-header": ("apache",), "cc-by-nc": ("cc", "nc"), "mit-notice": ("mit",), "mpl-header": ("mozilla", "mpl")}
 THRESHOLD = 0.8
-BLOCK_WORDS = 64
 
 _ANY = re.compile("|".join(r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(map(re.escape, p.split())) + r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])" for p in PHRASES))
 
@@ -70,14 +84,20 @@ def phrase_places(text: str) -> tuple[int, list[tuple[int, str]]]:
     return len(words), sorted(places)
 
 
+def template_words(text: str) -> set[str]:
+    own = set(WORD.findall(lower(text)))
+    return own - FUNCTION_WORDS or own
+
+
 class TemplateJoin:
-    """Templates in the global order of words, with the index over their prefixes."""
+    """Templates in the global order of words, with the index over their prefixes, and the windows for them."""
 
     def __init__(self, templates: dict[str, str], frequency: dict[str, int], threshold: float = THRESHOLD):
-        self.need, self.sets, self.index = {}, {}, {}
+        self.need, self.sets, self.index, self.names = {}, {}, {}, {}
+        self.size = 2 * max((len(WORD.findall(lower(t))) for t in templates.values()), default=8)
         for name, text in templates.items():
-            words = sorted(set(WORD.findall(lower(text))), key=lambda w: (frequency.get(w, 0), w))
-            self.sets[name] = words
+            words = sorted(template_words(text), key=lambda w: (frequency.get(w, 0), w))
+            self.sets[name], self.names[name] = words, set(NAMES.get(name, ()))
             self.need[name] = need = max(1, math.ceil(threshold * len(words) - 1e-9))
             for p, w in enumerate(words[: len(words) - need + 1]):
                 self.index.setdefault(w, []).append((name, p))
@@ -96,40 +116,55 @@ class TemplateJoin:
                 seen[name] = min(p, seen.get(name, p))
         for name, p in seen.items():  # p: place of the rarest prefix word in common
             words, need = self.sets[name], self.need[name]
-            if len(own) < need or len(words) - p < need:
+            if len(own) < need or len(words) - p < need or not self.names[name] <= own:
                 continue
             common = sum(w in own for w in words[p:])
             if common >= need:
                 found[name] = common / len(words)
         return found
 
-    def blocks(self, text: str, size: int = BLOCK_WORDS):
+    def blocks(self, text: str):
         """Word lists of the text's blocks that hold an indexed word: windows over the whole text, and its lines."""
         if not self.any.search(text):
             return
-        yield from self.windows(WORD.findall(text), size)
+        yield from self.windows(WORD.findall(text))
         lines = text.split("\n")
         if len(lines) > 1:
             for line in lines:
                 if self.any.search(line):
-                    yield from self.windows(WORD.findall(line), size)
+                    yield from self.windows(WORD.findall(line))
 
-    def windows(self, words: list[str], size: int):
+    def windows(self, words: list[str]):
+        size = self.size
         if len(words) <= size:
             yield words
             return
         places = [i for i, w in enumerate(words) if w in self.index]
-        upto = -1
         for s in range(0, len(words) - size // 2, size // 2):
             k = bisect_right(places, s - 1)
-            if k < len(places) and places[k] < s + size and s > upto:
-                upto = s
+            if k < len(places) and places[k] < s + size:
                 yield words[s : s + size]
 
+    def search(self, text: str) -> dict[str, float]:
+        """The best containment of each template in a text, which must be lower case."""
+        found: dict[str, float] = {}
+        for block in self.blocks(text):
+            for name, v in self.match(block).items():
+                found[name] = max(v, found.get(name, 0.0))
+        return found
+
+
+def template_joins(templates: dict[str, str], frequency: dict[str, int], threshold: float = THRESHOLD) -> list[TemplateJoin]:
+    """A join for the templates of like length each: a short notice is looked for in short windows."""
+    kinds: dict[int, dict[str, str]] = {}
+    for name, text in templates.items():
+        kinds.setdefault(max(4, len(WORD.findall(lower(text))).bit_length()), {})[name] = text
+    return [TemplateJoin(own, frequency, threshold) for _, own in sorted(kinds.items())]
+
 
 def template_frequency(df: DataFrame, templates: dict[str, str]) -> dict[str, int]:
     """Documents that hold each template word, over all documents; at most one row a template word."""
-    words = sorted({w for t in templates.values() for w in WORD.findall(lower(t))})
+    words = sorted({w for t in templates.values() for w in template_words(t)})
 
     def run(batches):
         total = np.zeros(len(words), np.int64)
@@ -144,34 +179,29 @@ def template_frequency(df: DataFrame, templates: dict[str, str]) -> dict[str, in
     return {r["word"]: r["n"] for r in got.collect()}
 
 
-def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)"""
-    longest = max((len(t.split()) for t in templates.values()), default=0)
-    if 2 * longest > block_words:
-        raise ValueError("block_words must be twice the longest template at least")
     frequency = template_frequency(df, templates)
 
     def run(batches):
-        join = TemplateJoin(templates, frequency, threshold)
+        joins = template_joins(templates, frequency, threshold)
         for b in batches:
             rows = []
-            for doc, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
-                t = t if isinstance(t, str) else ""
-                t = lower(t)
+            for t in b["text"]:
+                t = lower(t) if isinstance(t, str) else ""
                 n, places = phrase_places(t)
-                found: dict[str, float] = {}
-                for block in join.blocks(t, block_words):
-                    for name, v in join.match(block).items():
-                        found[name] = max(v, found.get(name, 0.0))
+                found = {k: v for join in joins for k, v in join.search(t).items()}
                 base = sorted({x for _, x in places})
                 score = max([1.0 if base else 0.0, *found.values()])
-                rows.append((doc, n, len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(base), ",".join(sorted({*base, *found})), score))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
-            for c in ("doc_id", "first_word", "last_word"):
+                rows.append((n, len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(base), ",".join(sorted({*base, *found})), score))
+            out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
+            out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op8(spark, sf_dir):

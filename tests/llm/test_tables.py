@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from foliospark.llm import hamming, html, licenses, line_dedup, mixing, quality, simhash
+from foliospark.llm import hamming, html, line_dedup, mixing, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, pos int, h1 string, fp string, score string"
 WS = "[^\\x20\\x09-\\x0D]+"
@@ -192,23 +192,6 @@ def test_mixing_buckets_and_clashes(spark, monkeypatch):
     assert {x["domain"] for x in mixing.draw(df).collect()} <= {"d0", "d1", "d2", "d3"}
 
 
-def test_licenses(spark):
-    got = {x["doc_id"]: x for x in licenses.scan(frame(spark)).collect()}
-    assert (got[9]["n_base"], got[9]["first_word"], got[9]["base_labels"]) == (4, 0, "apache,cc-by,gpl,mit")
-    assert got[9]["last_word"] == 9 and got[9]["n_words"] == 13
-    assert (got[3]["n_words"], got[3]["n_base"], got[3]["first_word"], got[3]["labels"], got[3]["score"]) == (0, 0, None, "", 0.0)
-    assert licenses.scan(frame(spark, [])).count() == 0
-    join = licenses.TemplateJoin(licenses.TEMPLATES, {"license": 100, "the": 900, "under": 50})
-    r = random.Random(4)
-    words = sorted({w for t in licenses.TEMPLATES.values() for w in licenses.WORD.findall(licenses.lower(t))}) + ["x", "y"]
-    for _ in range(2000):
-        block = r.sample(words, r.randint(1, len(words)))
-        want = {n: len(set(s) & set(block)) / len(s) for n, s in join.sets.items() if len(set(s) & set(block)) >= licenses.THRESHOLD * len(s) - 1e-9}
-        assert join.match(block) == want
-    notice = "x " * 500 + licenses.lower(licenses.TEMPLATES["mit-grant"]) + " y" * 500
-    assert "mit-grant" in {n for b in join.blocks(notice) for n in join.match(b)}
-
-
 def test_hamming(spark):
     r = np.random.default_rng(5)
     code = np.concatenate([r.integers(-(2**63), 2**63, 3000), r.integers(0, 4, 200), np.zeros(50, np.int64)])
