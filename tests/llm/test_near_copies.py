@@ -24,7 +24,9 @@ def prose(r, n):
     return [r.choice("abcdefghijkl") + str(r.randrange(300)) for _ in range(n)]
 
 
-def test_planted_near_copies(spark):
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 2])
+def test_planted_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     r = random.Random(6)
     rows = []
     for k in range(60):
@@ -69,3 +71,39 @@ def test_null_and_repeated_ids(spark):
     t = [" ".join(prose(r, 40)) for _ in range(6)]
     rows = [(None, t[0]), (None, t[1]), (None, t[2]), (5, t[2]), (7, t[3]), (7, t[4]), (3, t[4]), (9, t[5]), (9, t[5])]
     assert stage(spark, rows) == sorted([(None, t[0]), (None, t[1]), (5, t[2]), (7, t[3]), (3, t[4]), (9, t[5])], key=str)
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """One bucket of chains: many sets are linked to some, not to the first one."""
+    monkeypatch.setattr(near_copies, "BLOCK", 5)
+    r = random.Random(3)
+    base = prose(r, 60)
+    rows, words = [], list(base)
+    for k in range(40):
+        if k % 8 == 0:
+            words = base[: 45 - k // 4] + prose(r, 15 + k // 4)
+        words = list(words)
+        words[r.randrange(len(words))] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(near_copies, "band_keys", lambda own: near_copies.np.array([7], "int64"))  # all in one bucket
+    sets = {i: grams(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i for i in root if find(i) == i}
+    assert 1 < len(want) < 40
+    assert {i for i, _ in stage(spark, rows)} == want
+
+
+def test_empty_table_and_long_text(spark):
+    assert stage(spark, []) == []
+    long = " ".join(prose(random.Random(1), 30000))
+    assert [i for i, _ in stage(spark, [(2, long), (1, long + " end"), (3, ""), (4, None)])] == [1, 3]
