@@ -247,26 +247,3 @@ def test_tree_marginals_by_enumeration():
         total += w
         one = [o + w * v for o, v in zip(one, y, strict=True)]
     assert model.marginals(nodes, feats)[0] == pytest.approx([o / total for o in one])
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    r = random.Random(3)
-    text = lambda: "\n".join(" ".join("".join(r.choice(["ta", "ren", "o", "mi"]) for _ in range(3)) for _ in range(12)) for _ in range(4))
-    clean = [(i, text(), "en", f"src{i % 3}", 1) for i in range(60)]
-    rows = clean + [(100 + i, clean[i][1], "en", "src0", 1) for i in range(10)] + [(200, "too short", "en", "src0", 1), (201, None, None, None, None), (202, "*** " * 60, "en", "src0", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    sizes = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path)).cache()
-        assert docs.columns == list(corpus_pipeline.COLUMNS)
-        sizes.append({x["doc_id"] for x in docs.collect()})
-    assert sizes[0] == set(range(60)) | set(range(100, 110)) and sizes[1] == sizes[0]
-    assert sizes[2] >= set(range(60)) and len(sizes[2] - set(range(60))) <= 1  # what was copied is empty now, one of these stays
-    assert sizes[3] < sizes[2]
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {x["doc_id"] for x in packed} == sizes[3]
-
-
