@@ -1,7 +1,10 @@
 """All registered queries of the library with their SQL."""
 from __future__ import annotations
 
-from foliospark.plans import fact_queries, ledger_queries, search_queries
+from foliospark.plans import claim_queries, fact_queries, ledger_queries, search_queries, text_queries
+
+_ALL = (search_queries, fact_queries, ledger_queries, text_queries, claim_queries)
+
 
 def plain(query):
     """Results in types that compare alike everywhere: dates as text, decimals as doubles."""
@@ -14,7 +17,6 @@ def plain(query):
     return run
 
 
-QUERIES = search_queries.QUERIES | fact_queries.QUERIES | ledger_queries.QUERIES
-QUERIES = {name: plain(query) for name, query in QUERIES.items()}
-ORACLES = search_queries.ORACLES | fact_queries.ORACLES | ledger_queries.ORACLES
+QUERIES = {name: plain(query) for part in _ALL for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _ALL for name, sql in part.ORACLES.items()}
 FLAGSHIP = QUERIES["hybrid_rrf"]

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.functions import text as T
 from foliospark.operators import facts
@@ -52,9 +51,9 @@ def line_item_dedupe(s, d):
 
 
 def admission_gate(s, d):
-    rows = table(s, d, "documents").select("doc_id", "source", "n_chars", "lang", F.left("text", F.lit(40)).alias("head"))
+    rows = table(s, d, "documents").select("doc_id", "source", "n_chars", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("content"))
     why = [("source_not_allowed", F.col("source") == "src19"), ("too_short", F.col("n_chars") < 100), ("schema_mismatch", (F.col("lang") == "es") & (F.col("n_chars") > 5000))]
-    return facts.admit(rows, why, F.sha2("head", 256), "doc_id").select("doc_id", "decision", "reason")
+    return facts.admit(rows, why, F.col("content"), "doc_id").select("doc_id", "decision", "reason")
 
 
 def auto_promotion(s, d):
@@ -64,21 +63,23 @@ def auto_promotion(s, d):
     return best.join(human, ["folder", "family"], "left_anti").select("folder", "family", "id")
 
 
+def _bills(s, d):
+    """Orders as documents with family, contact, day and content hash; some are copies."""
+    o = _totals(s, d)
+    k = F.col("id") % 5
+    family = F.when(k == 0, "invoice").when(k == 1, "receipt").when(k == 2, "medical_eob").when(k == 3, "medical_bill").otherwise("warranty")
+    return o.select("id", family.alias("family"), F.col("o_custkey").alias("contact"), F.to_date("o_orderdate").alias("day"), F.sha2(F.concat_ws("/", F.col("o_custkey").cast("string"), F.floor(F.col("total") / 40000).cast("string")), 256).alias("sha"))
+
+
 def relationship_suggestions(s, d):
-    """Orders of one customer within 45 days: pairs by an equi-join on customer and 45-day bucket, each pair once."""
-    o = _totals(s, d).filter("o_orderstatus = 'P'").select("id", "o_custkey", F.to_date("o_orderdate").alias("day"))
-    o = o.withColumn("bucket", F.expr("unix_date(day) div 45"))
-    near = o.select(F.col("id").alias("other"), F.col("o_custkey").alias("_c"), F.col("day").alias("other_day"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("_b"))
-    pairs = o.join(near, (F.col("o_custkey") == F.col("_c")) & (F.col("bucket") == F.col("_b")) & (F.col("id") < F.col("other")))
-    days = F.abs(F.datediff("day", "other_day"))
-    return pairs.filter(days <= 45).select("id", "other", F.when(days <= 7, 0.86).otherwise(0.78).alias("confidence"))
+    return facts.relationship_suggestions(_bills(s, d))
 
 
 def contact_merge(s, d):
     """Customers whose names are equal after normalizing away the number: the first of each group takes the others."""
     c = table(s, d, "customer").select("c_custkey", T.contact_name(F.regexp_replace("c_name", "[0-9]{3}$", "")).alias("name"), "c_nationkey")
-    first = F.min("c_custkey").over(Window.partitionBy("name", "c_nationkey"))
-    return c.withColumn("into", first).filter("into <> c_custkey").select("c_custkey", "into", "name")
+    first = c.groupBy("name", "c_nationkey").agg(F.min("c_custkey").alias("into"))
+    return c.join(first, ["name", "c_nationkey"]).filter("into <> c_custkey").select("c_custkey", "into", "name")
 
 
 def undirected_edge_count(s, d):
@@ -106,15 +107,34 @@ def deadlines(s, d):
     return o.select("id", "due", T.deadline_status(F.col("due"), F.col("confidence"), F.col("evidence"), F.lit("1997-07-01").cast("date")).alias("status"))
 
 
+TAG = [{"type": "add_tag", "tag": "seen"}]
+COLUMNS = ("family", "folder", "n_chars", "text", "review_status", "sensitivity")
 RULES = [
-    {"name": "english_long", "when": [("family", "eq", "EN"), ("n_chars", "gte", "2000")]},
-    {"name": "even_folder", "when": [("folder", "regex", "[02468]$")]},
-    {"name": "reviewed", "when": [("review_status", "in", "user_confirmed,user_corrected"), ("sensitivity", "neq", "highly_sensitive")]},
-    {"name": "short", "when": [("n_chars", "lte", "150"), ("text", "exists", None)]},
-    {"name": "mentions", "when": [("text", "contains", "licens")]},
+    {"name": "english_long", "conditions": [{"field": "family", "op": "eq", "value": "EN "}, {"field": "n_chars", "op": "gte", "value": 2000}], "actions": TAG},
+    {"name": "even_folder", "conditions": [{"field": "folder", "op": "regex", "value": "SRC.*[02468]$"}], "actions": [{"type": "add_folder", "folder_path": "even"}, {"type": "set_primary_folder", "folder_path": "closed"}], "reviewRequired": False},
+    {"name": "reviewed", "conditions": [{"field": "review_status", "op": "in", "value": ["user_confirmed", "user_corrected"]}, {"field": "sensitivity", "op": "neq", "value": "highly_sensitive"}], "actions": TAG, "priority": 90},
+    {"name": "short", "conditions": [{"field": "n_chars", "op": "lte", "value": "150"}, {"field": "text", "op": "exists"}], "actions": [{"type": "create_review_task"}]},
+    {"name": "mentions", "conditions": [{"field": "text", "op": "contains", "value": "Licens"}], "actions": TAG},
+    {"name": "text_order", "conditions": [{"field": "family", "op": "lte", "value": "es"}], "actions": TAG},
+    {"name": "off", "enabled": False, "conditions": [{"field": "text", "op": "exists"}], "actions": TAG},
 ]
 
 
+def rule_actions(s, d):
+    docs = documents(s, d).withColumn("document_family", F.when(F.col("id") % 3 == 0, "tax_document").otherwise(F.col("family")))
+    out = facts.evaluate_rules(docs, RULES, ["even"], fields=COLUMNS)
+    return out.select("id", "rule", "priority", *[F.array_join(c, "|").alias(c) for c in ("proposed", "blocked", "safety")])
+
+
+def applied_actions(s, d):
+    docs = documents(s, d)
+    state = docs.select("id", F.when(F.col("id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("folder")).alias("folders"), F.when(F.col("id") % 4 != 0, F.col("folder")).alias("primary_folder"), F.array("family").alias("tags"), "sensitivity", "family")
+    act = lambda p, kind, value, when: docs.filter(when).select("id", F.lit(p).alias("position"), F.lit(kind).alias("type"), value.alias("value"))
+    todo = act(1, "add_folder", F.lit("archive"), "id % 2 = 0").unionByName(act(2, "add_folder", F.col("folder"), "id % 3 = 0")).unionByName(act(3, "add_tag", F.lit("en"), "true")).unionByName(act(4, "set_primary_folder", F.lit("top"), "id % 5 = 0")).unionByName(act(5, "set_sensitivity", F.lit("pii"), "id % 7 = 0")).unionByName(act(6, "set_sensitivity", F.lit("legal"), "id % 14 = 0")).unionByName(act(7, "create_review_task", F.lit("look"), "id % 6 = 0"))
+    out = facts.apply_actions(state, todo)
+    return out.select("id", F.array_join("folders", "|").alias("folders"), "primary_folder", F.array_join("tags", "|").alias("tags"), "sensitivity", "family", "organization_changed", "review_tasks")
+
+
 def money_text(s, d):
     v = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     k = F.col("o_orderkey") % 5
@@ -125,14 +145,14 @@ def money_text(s, d):
 def date_text(s, d):
     day = F.col("o_orderdate")
     k = F.col("o_orderkey") % 4
-    t = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "M/d/yyyy")).when(k == 2, F.date_format(day, "yyyy/MM/dd")).otherwise(F.lit("none"))
+    t = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "M/d/yyyy")).when(k == 2, F.date_format(day, "dd-MMMM-yyyy")).otherwise(F.lit("none"))
     return table(s, d, "orders").select("o_orderkey", T.parse_day(t).alias("day"))
 
 
 QUERIES = {
-    "classify_text": lambda s, d: table(s, d, "documents").select("doc_id", T.classify(F.col("text")).alias("c")).select("doc_id", "c.family", "c.confidence"),
+    "classify_text": lambda s, d: table(s, d, "documents").select("doc_id", T.classify(F.col("text"), title=F.col("source")).alias("c")).select("doc_id", "c.family", "c.confidence"),
     "regex_spans": lambda s, d: table(s, d, "documents").select("doc_id", F.explode(T.spans(F.col("text"))).alias("s")).select("doc_id", "s.kind", "s.value"),
-    "labeled_values": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.labelled(F.concat(F.lit("Role: "), F.col("role"), F.lit("\nTurn # "), F.col("turn").cast("string")), "turn").alias("value")),
+    "labeled_values": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.labelled(F.concat(F.lit("Role: "), F.col("role"), F.lit("\nTurn (no.) # "), F.col("turn").cast("string")), "turn (no.)").alias("value")),
     "parse_money": money_text,
     "parse_date": date_text,
     "page_quality": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.page_reasons(F.col("text")), ",").alias("reasons")),
@@ -151,7 +171,9 @@ QUERIES = {
     "timeline": timeline,
     "smart_views": smart_views,
     "deadlines": deadlines,
-    "rule_matches": lambda s, d: facts.match_rules(documents(s, d), RULES),
+    "rule_matches": lambda s, d: facts.match_rules(documents(s, d), RULES, fields=COLUMNS),
+    "rule_actions": rule_actions,
+    "applied_actions": applied_actions,
 }
 
 _P = f"p AS (SELECT l_orderkey AS id, max(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS {DEC}) END) AS a, max(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS {DEC}) END) AS n, max(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS {DEC}) END) AS r FROM lineitem GROUP BY 1)"
@@ -159,15 +181,19 @@ _O = f"o AS (SELECT *, o_orderkey AS id, CAST(o_totalprice AS {DEC}) AS total FR
 _REASON = "CASE WHEN length(trim(text)) = 0 THEN ['missing_text_layer'] ELSE [] END || CASE WHEN length(trim(text)) BETWEEN 1 AND 31 THEN ['low_text_density'] ELSE [] END || CASE WHEN length(text) - length(replace(text, '|', '')) >= 10 THEN ['complex_layout'] ELSE [] END || CASE WHEN contains(text, '***') THEN ['degraded_scan'] ELSE [] END"
 _QUALITY = f"q AS (SELECT doc_id, source, CASE WHEN len(x) = 0 THEN ['digital_text_page'] ELSE x END AS x FROM (SELECT doc_id, source, {_REASON} AS x FROM documents))"
 _SPAN = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in T.SPANS.items())
-_CLASS = "CASE " + " ".join("WHEN regexp_matches(lower(text), '" + "|".join(p) + f"') THEN '{f}'" for f, p, _ in T.SIGNALS) + " ELSE 'generic' END"
-_CONF = "CASE " + " ".join("WHEN regexp_matches(lower(text), '" + "|".join(p) + f"') THEN {c}::DOUBLE" for _, p, c in T.SIGNALS) + " ELSE 0.5::DOUBLE END"
+_FAMILY = """CASE WHEN contains(t, 'explanation of benefits') OR contains(t, ' eob') OR contains(t, 'patient responsibility') THEN 'medical_eob' WHEN contains(t, 'invoice') OR contains(t, 'balance due') OR contains(t, 'bill to') THEN 'invoice'
+    WHEN contains(t, 'receipt') OR contains(t, 'subtotal') OR contains(t, 'sales tax') OR contains(t, 'transaction date') THEN 'receipt' ELSE 'generic' END"""
+
+_RULES_SQL = f"""WITH {SQL['docs']}, m AS (SELECT *, 'english_long' AS rule FROM docs WHERE family = 'en' AND n_chars >= 2000 UNION ALL SELECT *, 'even_folder' FROM docs WHERE regexp_matches(lower(folder), 'src.*[02468]$')
+    UNION ALL SELECT *, 'reviewed' FROM docs WHERE review_status IN ('user_confirmed', 'user_corrected') AND sensitivity <> 'highly_sensitive' UNION ALL SELECT *, 'short' FROM docs WHERE n_chars <= 150 AND text <> ''
+    UNION ALL SELECT *, 'mentions' FROM docs WHERE contains(lower(text), 'licens') UNION ALL SELECT *, 'text_order' FROM docs WHERE family >= 'es')"""
 
 ORACLES = {
-    "classify_text": f"SELECT doc_id, {_CLASS} AS family, {_CONF} AS confidence FROM documents",
+    "classify_text": f"SELECT doc_id, family, CASE family WHEN 'medical_eob' THEN 0.86 WHEN 'invoice' THEN 0.85 WHEN 'receipt' THEN 0.84 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT doc_id, {_FAMILY} AS family FROM (SELECT doc_id, lower(source || chr(10) || text) AS t FROM documents))",
     "regex_spans": _SPAN,
-    "labeled_values": "SELECT conv_id, turn, CAST(turn AS VARCHAR) AS value FROM conversations",
+    "labeled_values": r"SELECT conv_id, turn, regexp_extract(t, '(?im)^\s*turn [(]no[.][)]\s*[:#]\s*(.+)$', 1) AS value FROM (SELECT conv_id, turn, 'Role: ' || role || chr(10) || 'Turn (no.) # ' || turn AS t FROM conversations)",
     "parse_money": f"SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 IN (0, 1) THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM orders",
-    "parse_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders",
+    "parse_date": "SELECT o_orderkey, CAST(CAST(try_strptime(CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 2 THEN strftime(o_orderdate, '%d-%B-%Y') ELSE 'none' END, ['%Y-%m-%d', '%m/%d/%Y', '%d-%B-%Y']) AS DATE) AS VARCHAR) AS day FROM orders",
     "page_quality": f"WITH {_QUALITY} SELECT doc_id, array_to_string(x, ',') AS reasons FROM q",
     "doc_quality": f"WITH {_QUALITY} SELECT source, reason, count(*) AS pages FROM (SELECT source, unnest(x) AS reason FROM q) GROUP BY ALL",
     "primary_amounts_pivot": f"WITH {_P} SELECT id, a::DOUBLE AS a, n::DOUBLE AS n, r::DOUBLE AS r FROM p",
@@ -181,14 +207,17 @@ ORACLES = {
     w AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY r DESC, value, claim_id) = 1)
     SELECT key, value, claim_id, CASE WHEN claims = 1 THEN 'single_source' WHEN vs = 1 THEN 'multi_source_agreement' ELSE 'source_precedence_conflict' END AS decision, vs > 1 AS needs_review, claims FROM w JOIN n USING (key)""",
     "line_item_dedupe": f"SELECT l_orderkey AS id, l_returnflag AS role, l_linenumber AS line FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY (CAST(l_tax AS {DEC}) > 0)::INT + (l_quantity > 25)::INT + (CAST(l_extendedprice AS {DEC}) > 30000)::INT DESC, l_linenumber) = 1",
-    "admission_gate": """WITH x AS (SELECT doc_id, left(text, 40) AS head, CASE WHEN source = 'src19' THEN 'source_not_allowed' WHEN n_chars < 100 THEN 'too_short' WHEN lang = 'es' AND n_chars > 5000 THEN 'schema_mismatch' END AS why FROM documents),
+    "admission_gate": """WITH x AS (SELECT doc_id, text AS head, CASE WHEN source = 'src19' THEN 'source_not_allowed' WHEN n_chars < 100 THEN 'too_short' WHEN lang = 'es' AND n_chars > 5000 THEN 'schema_mismatch' END AS why FROM documents),
     y AS (SELECT *, coalesce(max(CASE WHEN why IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY head ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dup FROM x)
     SELECT doc_id, CASE WHEN dup = 1 OR why IS NOT NULL THEN 'rejected' ELSE 'admitted' END AS decision, CASE WHEN dup = 1 THEN 'duplicate' ELSE why END AS reason FROM y""",
     "auto_promotion": f"""WITH {SQL['docs']} SELECT folder, family, id FROM (SELECT * FROM docs WHERE review_status = 'user_confirmed' AND n_chars >= 100 QUALIFY row_number() OVER (PARTITION BY folder, family ORDER BY n_chars DESC, id) = 1) b
     WHERE NOT EXISTS (SELECT 1 FROM docs h WHERE h.review_status = 'needs_review' AND h.folder = b.folder AND h.family = b.family)""",
-    "relationship_suggestions": """WITH o AS (SELECT o_orderkey AS id, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'P')
-    SELECT a.id, b.id AS other, CASE WHEN abs(a.day - b.day) <= 7 THEN 0.86::DOUBLE ELSE 0.78::DOUBLE END AS confidence FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.id < b.id AND abs(a.day - b.day) <= 45""",
-    "contact_merge": """WITH c AS (SELECT c_custkey, c_nationkey, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(c_name, '[0-9]{3}$', ''))), '[^a-z0-9_]+', ' ', 'g'), ' +', ' ', 'g')) AS name FROM customer)
+    "relationship_suggestions": f"""WITH {_O}, d AS (SELECT id, ['invoice', 'receipt', 'medical_eob', 'medical_bill', 'warranty'][id % 5 + 1] AS family, o_custkey AS contact, CAST(o_orderdate AS DATE) AS day, sha256(o_custkey || '/' || CAST(floor(total / 40000) AS BIGINT)) AS sha FROM o),
+    n AS (SELECT *, row_number() OVER (PARTITION BY contact ORDER BY day DESC, id) <= 100 AS recent FROM d),
+    k AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.family = 'invoice' AND b.family = 'receipt' THEN 'invoice_for' WHEN a.family = 'medical_eob' AND b.family = 'medical_bill' THEN 'eob_for' WHEN a.family = 'warranty' AND b.family = 'receipt' THEN 'warranty_for' END AS kind,
+        CASE WHEN abs(a.day - b.day) <= 45 THEN 0.86 ELSE 0.78 END::DOUBLE AS confidence FROM n a JOIN n b ON a.contact = b.contact AND a.id <> b.id AND a.sha <> b.sha AND (a.recent OR b.recent))
+    SELECT first AS a, id AS b, 'duplicate_of' AS kind, 0.99::DOUBLE AS confidence FROM (SELECT id, min(id) OVER (PARTITION BY sha) AS first FROM d) WHERE id > first UNION ALL SELECT * FROM k WHERE kind IS NOT NULL""",
+    "contact_merge": r"""WITH c AS (SELECT c_custkey, c_nationkey, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(c_name, '[0-9]{3}$', ''))), '[^\p{L}\p{N}_]+', ' ', 'g'), ' +', ' ', 'g')) AS name FROM customer)
     SELECT c_custkey, first AS "into", name FROM (SELECT *, min(c_custkey) OVER (PARTITION BY name, c_nationkey) AS first FROM c) WHERE first <> c_custkey""",
     "undirected_edge_count": "SELECT id, count(*) AS edges, count(DISTINCT other) AS neighbours FROM (SELECT l_partkey AS id, l_suppkey AS other FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem) GROUP BY id",
     "timeline": f"""WITH {SQL['docs']} SELECT * REPLACE (CAST(occurred_on AS VARCHAR) AS occurred_on) FROM (SELECT 'document' AS kind, id, document_date AS occurred_on, folder AS title, NULL::DOUBLE AS amount FROM docs
@@ -197,6 +226,10 @@ ORACLES = {
     SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE CAST(last AS DATE) - CAST(o_orderdate AS DATE) > 90) AS late, count(*) FILTER (WHERE last IS NULL) AS unmatched, count(*) FILTER (WHERE total > 200000) AS large FROM x""",
     "deadlines": """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS due, (o_orderkey % 10) / 10.0::DOUBLE AS confidence, o_orderkey % 4 AS evidence FROM orders)
     SELECT id, CAST(due AS VARCHAR) AS due, CASE WHEN evidence = 0 OR confidence < 0.65 THEN 'needs_review' WHEN due < DATE '1997-07-01' THEN 'overdue' WHEN due - DATE '1997-07-01' <= 30 THEN 'due_soon' ELSE 'open' END AS status FROM o""",
-    "rule_matches": f"""WITH {SQL['docs']} SELECT id, 'english_long' AS rule FROM docs WHERE family = 'en' AND n_chars >= 2000 UNION ALL SELECT id, 'even_folder' FROM docs WHERE regexp_matches(folder, '[02468]$')
-    UNION ALL SELECT id, 'reviewed' FROM docs WHERE review_status IN ('user_confirmed', 'user_corrected') AND sensitivity <> 'highly_sensitive' UNION ALL SELECT id, 'short' FROM docs WHERE n_chars <= 150 AND text IS NOT NULL UNION ALL SELECT id, 'mentions' FROM docs WHERE contains(lower(text), 'licens')""",
+    "rule_matches": _RULES_SQL + " SELECT id, rule FROM m",
+    "rule_actions": _RULES_SQL + """ SELECT id, rule, CASE rule WHEN 'reviewed' THEN 90 ELSE 50 END AS priority, CASE rule WHEN 'even_folder' THEN 'add_folder:even' WHEN 'short' THEN 'create_review_task:Review suggested filing.' ELSE 'add_tag:seen' END AS proposed, CASE rule WHEN 'even_folder' THEN 'set_primary_folder:closed' ELSE '' END AS blocked,
+    concat_ws('|', CASE WHEN rule <> 'even_folder' THEN 'rule_requires_review' END, CASE WHEN sensitivity = 'highly_sensitive' THEN sensitivity END, CASE WHEN id % 3 = 0 THEN 'tax_document' END) AS safety FROM m""",
+    "applied_actions": f"""WITH {SQL['docs']} SELECT id, concat_ws('|', CASE WHEN id % 4 <> 0 THEN folder END, CASE WHEN id % 2 = 0 THEN 'archive' END, CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN folder END, CASE WHEN id % 5 = 0 THEN 'top' END) AS folders,
+    CASE WHEN id % 5 = 0 THEN 'top' WHEN id % 4 <> 0 THEN folder ELSE 'archive' END AS primary_folder, CASE WHEN family = 'en' THEN 'en' ELSE family || '|en' END AS tags, CASE WHEN id % 14 = 0 THEN 'legal' WHEN id % 7 = 0 THEN 'pii' ELSE sensitivity END AS sensitivity, family,
+    id % 2 = 0 OR id % 5 = 0 OR family <> 'en' AS organization_changed, CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END AS review_tasks FROM docs""",
 }

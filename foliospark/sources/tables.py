@@ -52,7 +52,26 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): orders with their lines, written out as receipts."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    line = lambda x: F.concat(F.lit("Item: part "), x["l_partkey"].cast("string"), F.lit(" lot "), x["l_linenumber"].cast("string"), F.lit("  $"), x["p"].cast("string"))
+    items = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", price.alias("p")))).alias("ls"), F.sum(price).alias("subtotal"))
+    k, day = F.col("o_orderkey") % 4, F.add_months("o_orderdate", 120)
+    who = F.when(k == 3, F.lit("- The corner shop")).otherwise(F.concat(F.lit("Merchant: M\u00fcller & S\u00f6hne "), F.col("o_custkey").cast("string")))
+    when = F.when(k == 0, F.concat(F.lit("Date: "), F.date_format(day, "yyyy-MM-dd"))).when(k == 1, F.concat(F.lit("bought on "), F.date_format(day, "M/d/yyyy"))).when(k == 2, F.concat(F.lit("Date # "), F.date_format(day, "d-MMM-yyyy"))).otherwise(F.lit("no date"))
+    tax = F.when(F.col("o_orderkey") % 3 == 0, F.lit("Sales Tax: $1.25")).otherwise(F.lit("tax # 2.50"))
+    text = F.concat_ws("\n", who, when, F.array_join(F.transform("ls", line), "\n"), F.concat(F.lit("Subtotal "), F.col("subtotal").cast("string")), tax, F.concat(F.lit("TOTAL: $"), F.format_number("o_totalprice", 2)))
+    return o.join(items, "o_orderkey").select(F.col("o_orderkey").alias("id"), text.alias("text"))
+
+
 SQL = {
+    "receipts": """i AS (SELECT l_orderkey AS o_orderkey, string_agg('Item: part ' || l_partkey || ' lot ' || l_linenumber || '  $' || CAST(l_extendedprice AS DECIMAL(18,2)), chr(10) ORDER BY l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2))) AS ls, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS subtotal FROM lineitem GROUP BY 1),
+        rd AS (SELECT *, o_orderkey % 4 AS k, o_orderdate + INTERVAL 10 YEAR AS day FROM orders JOIN i USING (o_orderkey)),
+        receipts AS (SELECT o_orderkey AS id, concat_ws(chr(10), CASE WHEN k = 3 THEN '- The corner shop' ELSE 'Merchant: Müller & Söhne ' || o_custkey END,
+        CASE k WHEN 0 THEN 'Date: ' || strftime(day, '%Y-%m-%d') WHEN 1 THEN 'bought on ' || strftime(day, '%-m/%-d/%Y') WHEN 2 THEN 'Date # ' || strftime(day, '%-d-%b-%Y') ELSE 'no date' END,
+        ls, 'Subtotal ' || subtotal, CASE WHEN o_orderkey % 3 = 0 THEN 'Sales Tax: $1.25' ELSE 'tax # 2.50' END, 'TOTAL: $' || format('{:,.2f}', o_totalprice)) AS text FROM rd)""",
     "docs": """docs AS (SELECT d.doc_id AS id, d.doc_id % 7 AS owner_id, source AS folder, lang AS family, text, n_chars,
         CASE WHEN quality = 1 THEN 'user_confirmed' WHEN quality = 0 THEN 'needs_review' ELSE 'auto_accepted' END AS review_status,
         CASE WHEN toxic = 1 THEN 'highly_sensitive' ELSE 'normal' END AS sensitivity,
