@@ -5,26 +5,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.functions.text import retry_delay
+from foliospark.functions.text import failure_code, retry_delay
+
+
+def recovered(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs with expired leases back in the queue, or dead if no attempt is left.  jobs without lease_until have no leases."""
+    if "lease_until" not in jobs.columns:
+        return jobs
+    lost = (F.col("status") == "running") & (F.col("lease_until") < now)
+    status = F.when(lost, F.when(F.col("attempts") >= F.col("max_attempts"), "dead_letter").otherwise("queued")).otherwise(F.col("status"))
+    return jobs.withColumns({"status": status, "lease_until": F.when(~F.coalesce(lost, F.lit(False)), F.col("lease_until"))})
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:
-    """The next job of each queue: queued or failed, due, attempts left; by priority, then schedule, then id."""
-    rows = jobs.filter(F.col("status").isin("queued", "failed") & (F.col("scheduled_at") <= now) & (F.col("attempts") < F.col("max_attempts")))
+    """The next job of each queue, expired leases recovered first: queued or failed, due, attempts left; by priority, then schedule, then id."""
+    rows = recovered(jobs, now).filter(F.col("status").isin("queued", "failed") & (F.col("scheduled_at") <= now) & (F.col("attempts") < F.col("max_attempts")))
     w = Window.partitionBy("queue").orderBy(F.desc("priority"), "scheduled_at", "job_id")
     return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def after_failure(jobs: DataFrame) -> DataFrame:
-    """Failed jobs with their next status and delay: dead_letter without attempts left, else queued again after the back-off."""
+def after_failure(jobs: DataFrame, error_class: Column | None = None, retryable: Column | None = None) -> DataFrame:
+    """Failed jobs with their next status, delay and failure code: dead_letter without attempts left or if no retry helps, else queued again
+    after the back-off."""
     dead = F.col("attempts") + 1 >= F.col("max_attempts")
-    return jobs.filter("status = 'failed'").select("job_id", "attempts", F.when(dead, "dead_letter").otherwise("queued").alias("next_status"), F.when(dead, 0).otherwise(retry_delay(F.col("attempts") + 1)).alias("delay_seconds"))
+    if retryable is not None:
+        dead = dead | ~retryable
+    error = F.lit(None).cast("string") if error_class is None else error_class
+    code = failure_code(F.col("queue"), F.col("job_type"), error)
+    return jobs.filter("status = 'failed'").select("job_id", "attempts", F.when(dead, "dead_letter").otherwise("queued").alias("next_status"), F.when(dead, 0).otherwise(retry_delay(F.col("attempts") + 1)).alias("delay_seconds"), code.alias("failure_code"))
+
+
+def cancelled(jobs: DataFrame, *, queues: tuple[str, ...] = (), statuses: tuple[str, ...] = (), title_prefix: str | None = None, running: bool = False) -> DataFrame:
+    """The ledger after a bulk cancel.  A selector is needed; running jobs are left unless `running`; finished ones always."""
+    if not (queues or statuses or title_prefix):
+        raise ValueError("a selector is needed")
+    hit = F.col("status").isin("queued", "failed", *(["running"] if running else []))
+    if queues:
+        hit = hit & F.col("queue").isin(*queues)
+    if statuses:
+        hit = hit & F.col("status").isin(*statuses)
+    if title_prefix:
+        hit = hit & F.startswith(F.lower("title"), F.lit(title_prefix.lower()))
+    return jobs.withColumn("status", F.when(hit, "cancelled").otherwise(F.col("status")))
 
 
-def health(jobs: DataFrame, now: Column) -> DataFrame:
+def retried(jobs: DataFrame, now: Column, statuses: tuple[str, ...] = ("failed", "dead_letter", "cancelled")) -> DataFrame:
+    """The ledger after a bulk retry: the chosen jobs are queued anew, without attempts, at once."""
+    hit = F.col("status").isin(*statuses)
+    return jobs.withColumns({"status": F.when(hit, "queued").otherwise(F.col("status")), "attempts": F.when(hit, 0).otherwise(F.col("attempts")), "scheduled_at": F.when(hit, now).otherwise(F.col("scheduled_at"))})
+
+
+def health(jobs: DataFrame, now: Column, timeouts: tuple[str, ...] = ()) -> DataFrame:
+    """Queues by last success, dead jobs, failures of the kinds that are timeouts, depth and the age of what waits longest."""
     return jobs.groupBy("queue").agg(
         F.unix_timestamp(F.max(F.when(F.col("status") == "succeeded", F.col("scheduled_at")))).alias("last_success"),
         F.count_if(F.col("status") == "dead_letter").alias("errors"),
+        F.count_if(F.col("status").isin("failed", "dead_letter") & F.col("job_type").isin(*timeouts)).alias("timeouts"),
         F.count_if(F.col("status").isin("queued", "running")).alias("depth"),
         F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp(F.min(F.when(F.col("status") == "queued", F.col("scheduled_at"))))).alias("oldest_age"),
     )
@@ -35,13 +71,20 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def fingerprint(rows: DataFrame, group: str, *columns: str) -> DataFrame:
-    """sha256 of the sorted rows of each group: the same whatever the order in which they come."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    return rows.groupBy(group).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("fingerprint"))
+def fingerprint(rows: DataFrame, group: str, *columns: str, parts: int = 4096) -> DataFrame:
+    """(group, n, fingerprint): the same whatever the order in which rows come.
+
+    The sorted hashes of the rows of each of `parts` parts, by the hash's first three digits, are hashed, then the sorted hashes of
+    the parts: a group is never one array."""
+    cell = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    hashed = rows.select(group, F.sha2(F.concat_ws("|", *[cell(c) for c in columns]), 256).alias("h"))
+    part = F.pmod(F.conv(F.left("h", F.lit(3)), 16, 10).cast("int"), F.lit(parts))
+    some = hashed.groupBy(group, part.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("p"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "p"))), lambda x: x["p"])
+    return some.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(ordered, ","), 256).alias("fingerprint"))
 
 
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """metrics (metric, value) against thresholds (metric, direction, threshold); absent or non-finite values fail."""
     ok = F.when(F.col("direction") == "min", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
-    return thresholds.join(metrics, "metric", "left").select("metric", "value", "threshold", F.coalesce(ok & ~F.isnan("value"), F.lit(False)).alias("passed"))
+    return thresholds.join(metrics, "metric", "left").select("metric", "value", "threshold", F.coalesce(ok & ~F.isnan("value") & (F.abs("value") != float("inf")), F.lit(False)).alias("passed"))

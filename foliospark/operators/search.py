@@ -1,8 +1,12 @@
 """Retrieval: lexical and semantic rankings, rank fusion, dedupe, evaluation."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,28 +20,51 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
-def _count(term: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == term))
+def numbered(hits: DataFrame, limit: int, *order: Column, digits: int = 6) -> DataFrame:
+    """The best rows with rank 1..limit: a distributed top-k first, so the unpartitioned window sees only these.  Scores are ranked raw
+    and rounded then."""
+    return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("score", F.round("score", digits))
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Postings (bucket, term, id, chunk, tf, dl), a folder a bucket and sorted by term, and the statistics (n, avgdl) of all chunks."""
+
+    postings: DataFrame
+    chunks: int
+    average: float
 
 
-def numbered(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """The best rows with rank 1..limit: a distributed top-k first, so the unpartitioned window sees only these."""
-    return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def build_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Writes the inverted index of chunks (id, chunk, text): one pass, one shuffle by bucket and a salt, so a frequent term is spread."""
+    split = chunks.select("id", "chunk", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    counted = split.select("id", "chunk", "dl", F.explode("t").alias("term")).groupBy("id", "chunk", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    dealt = counted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).repartition("bucket", F.pmod(F.hash("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    dealt.select("bucket", "term", "id", "chunk", "tf", "dl").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
-def bm25(chunks: DataFrame, terms: list[str], limit: int) -> DataFrame:
-    """Any-term BM25 of chunks (id, chunk, text): one pass for the collection's statistics, one for scores, no posting shuffle."""
-    split = chunks.select("id", "chunk", tokens(F.col("text")).alias("t"))  # once, whatever the number of terms
-    counted = split.select("id", "chunk", F.size("t").alias("dl"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hit = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("_k", F.lit(1))
-    rows = hit.join(F.broadcast(stats.withColumn("_k", F.lit(1))), "_k")  # one row
+def open_index(spark: SparkSession, path: str) -> LexicalIndex:
+    row = spark.read.parquet(f"{path}/statistics").first()
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), row["n"], row["avgdl"])
+
+
+def bm25(index: LexicalIndex, terms: list[str], limit: int, allowed: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """Any-term BM25 from the index: only the terms' folders are read.  allowed: (id), the documents that may be ranked; document
+    frequencies are those of all chunks."""
+    spark = index.postings.sparkSession
+    own = spark.range(1).select(*[F.pmod(F.hash(F.lit(t)), F.lit(buckets)) for t in terms]).first()
+    hits = index.postings.filter(F.col("bucket").isin(*map(int, own)) & F.col("term").isin(*terms))
+    seen = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one row a term
+    if allowed is not None:
+        hits = hits.join(allowed.select("id"), "id", "left_semi")
+    rows = hits.groupBy("id", "chunk", "dl").agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)])
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf = F.col(f"tf{i}").cast("double")
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    return numbered(rows.select("id", "chunk", F.round(score, 6).alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
+    for i, t in enumerate(terms):
+        tf, df = F.col(f"tf{i}"), seen.get(t, 0)
+        idf = F.log(1 + (F.lit(float(index.chunks)) - df + 0.5) / (F.lit(float(df)) + 0.5))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / index.average))).otherwise(0.0)
+    return numbered(rows.select("id", "chunk", score.alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
 
 
 def all_terms(chunks: DataFrame, query: str, limit: int) -> DataFrame:
@@ -46,19 +73,27 @@ def all_terms(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     t = F.col("t")
     hit = chunks.withColumn("t", tokens(F.col("text"))).filter((F.size(F.array_except(F.array(*map(F.lit, terms)), t)) == 0) | F.contains(F.lower("text"), F.lit(query.lower())))
     n = F.size(F.filter(t, lambda x: x.isin(*terms)))
-    return numbered(hit.select("id", "chunk", F.round(n / (1 + F.size(t)), 6).alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
+    return numbered(hit.select("id", "chunk", (n / (1 + F.size(t))).alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def semantic(vectors: DataFrame, query: DataFrame, limit: int) -> DataFrame:
-    """Exact nearest vectors by cosine; query: one row (q).  score = max(0, 1 - distance)."""
-    rows = vectors.withColumn("_k", F.lit(1)).join(F.broadcast(query.withColumn("_k", F.lit(1))), "_k")  # one row
-    score = F.round(F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("q"))), 6)
-    return numbered(rows.select("id", "chunk", score.alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, chunk, unit): vectors of length one; those of length zero are left out."""
+    size = vectors.withColumn("_size", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).filter("_size > 0")
+    return size.withColumn("unit", F.transform("embedding", lambda x: x.cast("double") / F.col("_size"))).drop("_size", "embedding")
+
+
+def semantic(units: DataFrame, query: list[float], limit: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Exact nearest of unit vectors by cosine.  score = max(0, 1 - distance).  The query is a constant of the plan: no join."""
+    norm = sum(x * x for x in query) ** 0.5
+    if not norm:
+        raise ValueError("the query has length zero")
+    rows = units if allowed is None else units.join(allowed.select("id"), "id", "left_semi")
+    score = F.greatest(F.lit(0.0), dot(F.col("unit"), F.array(*[F.lit(x / norm) for x in query])))
+    return numbered(rows.filter(F.size("unit") == len(query)).select("id", "chunk", F.round(score, 12).alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
 
 
 def fuse(ranked: dict[str, DataFrame], limit: int, k: int = RRF_K, weights: dict[str, float] = RRF_WEIGHTS) -> DataFrame:
@@ -68,10 +103,35 @@ def fuse(ranked: dict[str, DataFrame], limit: int, k: int = RRF_K, weights: dict
     for i, (source, df) in enumerate(ranked.items()):
         own = df.select("id", "chunk", "rank", F.lit(i).alias("source"), (F.lit(weights[source]) / (k + F.col("rank"))).alias("term"))
         rows = own if rows is None else rows.unionByName(own)
-    out = rows.groupBy("id").agg(F.round(F.sum("term"), 6).alias("score"), F.min_by("chunk", F.struct("source", "rank")).alias("chunk"), *[F.coalesce(F.min(F.when(F.col("source") == i, F.col("rank"))), F.lit(0)).alias(f"{s}_rank") for i, s in enumerate(ranked)])
+    out = rows.groupBy("id").agg(F.round(F.sum("term"), 12).alias("score"), F.min_by("chunk", F.struct("source", "rank")).alias("chunk"), *[F.coalesce(F.min(F.when(F.col("source") == i, F.col("rank"))), F.lit(0)).alias(f"{s}_rank") for i, s in enumerate(ranked)])
     return numbered(out, limit, F.desc("score"), F.col("id"))
 
 
+def search(sources: dict[str, Callable[[int], DataFrame]], mode: str, limit: int, visual: bool = False) -> DataFrame:
+    """The ranking of a mode: lexical, semantic or visual alone, one row a document, or hybrid, fused, with pictures if asked for.  sources: for
+    each the ranking of so many rows; hybrid looks at four times as many lexical rows, forty at least."""
+    if mode in sources and mode != "hybrid":
+        return first_per_document(sources[mode](limit), limit)
+    if mode != "hybrid":
+        raise ValueError(f"no such mode: {mode}")
+    wide = max(4 * limit, 40)
+    names = [n for n in ("lexical", "semantic", *(["visual"] if visual else [])) if n in sources]
+    return fuse({n: sources[n](wide if n == "lexical" else limit) for n in names}, limit)
+
+
+def shown(fused: DataFrame, ranked: dict[str, DataFrame], texts: DataFrame, size: int = 240) -> DataFrame:
+    """Fused rows with what is shown of them: the best row of the last source that has the document, its text cut to `size`, the sources, and
+    evidence if the text has a page.  texts: id, chunk, text, page."""
+    rows = None
+    for i, df in enumerate(ranked.values()):
+        own = df.select("id", F.col("chunk").alias("shown_chunk"), F.struct(F.lit(-i).alias("s"), "rank").alias("o"))
+        rows = own if rows is None else rows.unionByName(own)
+    best = rows.groupBy("id").agg(F.min_by("shown_chunk", "o").alias("shown_chunk"))
+    out = fused.join(best, "id").join(texts.withColumnRenamed("chunk", "shown_chunk"), ["id", "shown_chunk"], "left")
+    names = F.array_compact(F.array(*[F.when(F.col(f"{s}_rank") > 0, s) for s in ranked]))
+    return out.select("rank", "id", "score", "chunk", "shown_chunk", snippet(F.col("text"), size).alias("source_text"), F.array_join(names, "+").alias("modalities"), F.when(F.col("page").isNotNull(), F.concat(F.lit("page "), F.col("page").cast("string"))).alias("evidence"))
+
+
 def first_per_document(ranked: DataFrame, limit: int) -> DataFrame:
     """The best chunk of each document, by rank."""
     best = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("rank"))).filter("_n = 1").drop("_n")
@@ -88,21 +148,54 @@ def snippet(text: Column, size: int = 240) -> Column:
     return F.regexp_replace(F.left(text, F.lit(size)), "</?b>", "")
 
 
+# What a token also stands for.
+SYNONYMS = {
+    "owe": ("due", "responsibility", "balance", "amount"), "owed": ("due", "responsibility", "balance", "amount"), "money": ("amount", "total", "payment", "paid"), "claim": ("claim", "eob", "insurance"),
+    "medical": ("medical", "eob", "insurance", "patient"), "warranty": ("coverage", "replacement", "repair"), "receipt": ("merchant", "purchase", "transaction", "total"), "invoice": ("bill", "vendor", "due", "total"),
+}
+
+
+def hashed(words: list[str], dims: int, name: str, version: str) -> list[float]:
+    """The published formula: a signed bucket for each token, by its blake2b hash; unit length."""
+    from hashlib import blake2b
+
+    v = [0.0] * dims
+    for w in words:
+        h = blake2b(f"{name}:{version}:{w}".encode(), digest_size=16).digest()
+        v[int.from_bytes(h[:8], "big") % dims] += 1.0 if h[8] % 2 == 0 else -1.0
+    size = sum(x * x for x in v) ** 0.5 or 1.0
+    return [x / size for x in v]
+
+
+def words_of(text: str | None) -> list[str]:
+    import re
+
+    return [x for w in re.findall("[a-z0-9]+", (text or "").casefold()) for x in (w, *SYNONYMS.get(w, ()))]
+
+
 def hash_embedding(text: DataFrame, dims: int = 64, name: str = "hash", version: str = "1") -> DataFrame:
-    """(id, text) -> (id, vector): blake2b buckets of tokens with signs, unit length; blake2b is no Spark function."""
+    """(id, text) -> (id, vector); blake2b is no Spark function."""
     def embed(texts):
-        import re
-        from hashlib import blake2b
+        return pd.Series([hashed(words_of(t), dims, name, version) for t in texts])
+
+    embed.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return text.select("id", F.pandas_udf(embed, "array<double>")("text").alias("vector"))
+
+
+def page_embedding(pages: DataFrame, dims: int = 64, name: str = "page", version: str = "1") -> DataFrame:
+    """(id, content, mime, descriptor) -> (id, vector): of a page's bytes the hash in eight slices, sixteen buckets of byte values, type, size and the words that
+    describe it."""
+    def embed(content, mime, descriptor):
+        from hashlib import sha256
 
         out = []
-        for t in texts:
-            v = [0.0] * dims
-            for w in re.findall("[a-z0-9]+", (t or "").casefold()):
-                h = blake2b(f"{name}:{version}:{w}".encode(), digest_size=16).digest()
-                v[int.from_bytes(h[:8], "big") % dims] += 1.0 if h[8] % 2 == 0 else -1.0
-            size = sum(x * x for x in v) ** 0.5 or 1.0
-            out.append([x / size for x in v])
+        for c, m, d in zip(content, mime, descriptor, strict=True):
+            c, sha = c or b"", sha256(c or b"").hexdigest()
+            count = [0] * 16
+            for x, n in zip(*np.unique(np.frombuffer(c, np.uint8) >> 4, return_counts=True), strict=True):
+                count[int(x)] = int(n)
+            out.append(hashed([*words_of(d), f"mime{m}", f"size{len(c) // 1024}", *[f"sha{i}{sha[8 * i : 8 * i + 8]}" for i in range(8)], *[f"bytes{i}x{n * 16 // max(1, len(c))}" for i, n in enumerate(count)]], dims, name, version))
         return pd.Series(out)
 
-    embed.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return text.select("id", F.pandas_udf(embed, "array<double>")("text").alias("vector"))
+    embed.__annotations__ = {"content": pd.Series, "mime": pd.Series, "descriptor": pd.Series, "return": pd.Series}
+    return pages.select("id", F.pandas_udf(embed, "array<double>")("content", "mime", "descriptor").alias("vector"))

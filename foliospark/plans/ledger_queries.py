@@ -14,6 +14,21 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
+def _leased(s, d):
+    return jobs(s, d).withColumns({"lease_until": F.when(F.col("status") == "running", F.col("scheduled_at") + F.expr("INTERVAL 1 HOUR")), "title": F.concat("job_type", F.lit(" of "), "queue")})
+
+
+def job_failures(s, d):
+    error = F.when(F.col("job_id") % 3 == 0, "ModelTimeoutError").otherwise("ParseError")
+    return ledger.after_failure(jobs(s, d), error, F.col("job_id") % 5 != 0)
+
+
+def bulk_changes(s, d):
+    """Jobs after a bulk cancel of two queues and a bulk retry of dead jobs."""
+    x = ledger.cancelled(_leased(s, d), queues=("q1", "q2"), title_prefix="T1", running=True)
+    return ledger.retried(x, _now(), ("dead_letter",)).select("job_id", "status", "attempts", F.unix_timestamp("scheduled_at").alias("scheduled"))
+
+
 def job_rollup(s, d):
     return jobs(s, d).groupBy("queue", "job_type", "status").agg(F.count("*").alias("jobs"), F.sum("attempts").alias("attempts"), F.max("max_attempts").alias("max_attempts"))
 
@@ -63,9 +78,11 @@ def plan_budget(s, d):
 
 
 QUERIES = {
-    "job_claim_order": lambda s, d: ledger.claimable(jobs(s, d), _now()).select("queue", "job_id", "priority"),
-    "job_retry_schedule": lambda s, d: ledger.after_failure(jobs(s, d)),
-    "queue_health": lambda s, d: ledger.health(jobs(s, d), _now()),
+    "job_claim_order": lambda s, d: ledger.claimable(_leased(s, d), _now()).select("queue", "job_id", "priority"),
+    "job_failures": job_failures,
+    "bulk_changes": bulk_changes,
+    "job_retry_schedule": lambda s, d: ledger.after_failure(jobs(s, d)).drop("failure_code"),
+    "queue_health": lambda s, d: ledger.health(jobs(s, d), _now(), ("t0",)),
     "latest_health": lambda s, d: ledger.latest(jobs(s, d), "queue", F.desc("scheduled_at"), F.desc("job_id")).select("queue", "job_id", "status"),
     "job_rollup": job_rollup,
     "slo_gates": slo_gates,
@@ -78,9 +95,13 @@ QUERIES = {
 }
 
 ORACLES = {
-    "job_claim_order": f"{JOBS} SELECT queue, job_id, priority FROM jobs WHERE status IN ('queued', 'failed') AND scheduled_at <= TIMESTAMP '{NOW}' AND attempts < max_attempts QUALIFY row_number() OVER (PARTITION BY queue ORDER BY priority DESC, scheduled_at, job_id) = 1",
+    "job_failures": f"""{JOBS}, x AS (SELECT *, attempts + 1 >= max_attempts OR job_id % 5 = 0 AS dead FROM jobs WHERE status = 'failed') SELECT job_id, attempts, CASE WHEN dead THEN 'dead_letter' ELSE 'queued' END AS next_status, CASE WHEN dead THEN 0 ELSE [30, 60, 120, 240][attempts + 1] END AS delay_seconds,
+    queue || '_' || CASE WHEN job_id % 3 = 0 THEN 'model_timeout' ELSE 'parse_error' END AS failure_code FROM x""",
+    "bulk_changes": f"""{JOBS}, c AS (SELECT *, CASE WHEN status IN ('queued', 'failed', 'running') AND queue IN ('q1', 'q2') AND job_type = 't1' THEN 'cancelled' ELSE status END AS s FROM jobs)
+    SELECT job_id, CASE s WHEN 'dead_letter' THEN 'queued' ELSE s END AS status, CASE s WHEN 'dead_letter' THEN 0 ELSE attempts END AS attempts, CAST(floor(epoch(CASE s WHEN 'dead_letter' THEN TIMESTAMP '{NOW}' ELSE scheduled_at END)) AS BIGINT) AS scheduled FROM c""",
+    "job_claim_order": f"{JOBS}, back AS (SELECT * REPLACE (CASE WHEN status = 'running' AND scheduled_at + INTERVAL 1 HOUR < TIMESTAMP '{NOW}' AND attempts < max_attempts THEN 'queued' ELSE status END AS status) FROM jobs) SELECT queue, job_id, priority FROM back WHERE status IN ('queued', 'failed') AND scheduled_at <= TIMESTAMP '{NOW}' AND attempts < max_attempts QUALIFY row_number() OVER (PARTITION BY queue ORDER BY priority DESC, scheduled_at, job_id) = 1",
     "job_retry_schedule": f"{JOBS} SELECT job_id, attempts, CASE WHEN attempts + 1 >= max_attempts THEN 'dead_letter' ELSE 'queued' END AS next_status, CASE WHEN attempts + 1 < max_attempts THEN CAST(least(3600, 30 * pow(2, attempts)) AS INT) ELSE 0 END AS delay_seconds FROM jobs WHERE status = 'failed'",
-    "queue_health": f"""{JOBS} SELECT queue, CAST(floor(epoch(max(CASE WHEN status = 'succeeded' THEN scheduled_at END))) AS BIGINT) AS last_success, count(*) FILTER (WHERE status = 'dead_letter') AS errors, count(*) FILTER (WHERE status IN ('queued', 'running')) AS depth,
+    "queue_health": f"""{JOBS} SELECT queue, CAST(floor(epoch(max(CASE WHEN status = 'succeeded' THEN scheduled_at END))) AS BIGINT) AS last_success, count(*) FILTER (WHERE status = 'dead_letter') AS errors, count(*) FILTER (WHERE status IN ('failed', 'dead_letter') AND job_type = 't0') AS timeouts, count(*) FILTER (WHERE status IN ('queued', 'running')) AS depth,
     greatest(0, CAST(floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(min(CASE WHEN status = 'queued' THEN scheduled_at END))) AS BIGINT)) AS oldest_age FROM jobs GROUP BY queue""",
     "latest_health": f"{JOBS} SELECT queue, job_id, status FROM jobs QUALIFY row_number() OVER (PARTITION BY queue ORDER BY scheduled_at DESC, job_id DESC) = 1",
     "job_rollup": f"{JOBS} SELECT queue, job_type, status, count(*) AS jobs, CAST(sum(attempts) AS BIGINT) AS attempts, max(max_attempts) AS max_attempts FROM jobs GROUP BY ALL",
@@ -88,7 +109,8 @@ ORACLES = {
     "gold_metric_gate": f"""WITH {SQL['docs']}, m AS (SELECT 'accepted_' || family AS metric, round(avg(CASE WHEN review_status <> 'needs_review' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS value FROM docs GROUP BY 1),
     t AS (SELECT * FROM (VALUES ('accepted_en', 'min', 0.9::DOUBLE), ('accepted_de', 'min', 0.5::DOUBLE), ('accepted_fr', 'max', 0.99::DOUBLE), ('accepted_xx', 'min', 0.5::DOUBLE)) v(metric, direction, threshold))
     SELECT metric, value, threshold, coalesce(CASE WHEN direction = 'min' THEN value >= threshold ELSE value <= threshold END, false) AS passed FROM t LEFT JOIN m USING (metric)""",
-    "repeatability_fingerprint": f"{JOBS} SELECT queue, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint FROM (SELECT queue, sha256(concat_ws('|', CAST(job_id AS VARCHAR), coalesce(status, ''), CAST(attempts AS VARCHAR))) AS h FROM jobs) GROUP BY queue",
+    "repeatability_fingerprint": f"""{JOBS}, h AS (SELECT queue, sha256('=' || job_id || '|' || coalesce('=' || status, '-') || '|=' || attempts) AS h FROM jobs),
+    p AS (SELECT queue, left(h, 3) AS part, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS p FROM h GROUP BY ALL) SELECT queue, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p, ',' ORDER BY part)) AS fingerprint FROM p GROUP BY queue""",
     "family_vote": f"""WITH {SQL['docs']}, v AS (SELECT folder, family, sum(CASE WHEN n_chars > 2000 THEN 1.25::DOUBLE ELSE 0.5::DOUBLE END) AS votes FROM docs GROUP BY ALL),
     r AS (SELECT *, row_number() OVER w AS n, votes - coalesce(lead(votes) OVER w, 0) AS lead FROM v WINDOW w AS (PARTITION BY folder ORDER BY votes DESC, family))
     SELECT folder, CASE WHEN lead < 0.5 THEN 'generic_form' ELSE family END AS family, votes FROM r WHERE n = 1""",

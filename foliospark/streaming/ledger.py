@@ -22,9 +22,13 @@ def queue_windows(jobs: DataFrame, size: str = "10 minutes", late: str = "30 min
     return jobs.withWatermark("scheduled_at", late).groupBy(F.window("scheduled_at", size), "queue", "status").agg(F.count("*").alias("jobs")).select(F.col("window.start").alias("start"), "queue", "status", "jobs")
 
 
+FINAL = ("succeeded", "cancelled")
+
+
 def leases(events: DataFrame, seconds: int) -> DataFrame:
     """events: job_id, kind (claim, heartbeat, complete, cancel), at (epoch seconds, ordered by arrival).  Emits each job's status after each
-    batch: a lease without a sign of life for `seconds` goes back to the queue; completed and cancelled are final."""
+    batch: a lease without a sign of life for `seconds` goes back to the queue; completed and cancelled are final, and their state is
+    removed after `seconds` more, in which late events of the job change nothing."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -32,23 +36,26 @@ def leases(events: DataFrame, seconds: int) -> DataFrame:
             if status == "leased":
                 state.update(("queued", attempts, 0))
                 yield pd.DataFrame({"job_id": [key[0]], "status": ["queued"], "attempts": [attempts]})
+            elif status in FINAL:
+                state.remove()
             return
         status, attempts, last = state.get if state.exists else ("queued", 0, 0)
-        for row in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
-            if status in ("succeeded", "cancelled"):
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        for kind, at in zip(rows["kind"], rows["at"], strict=True):
+            if status in FINAL:
                 break
-            if status == "leased" and row.at - last > seconds:
+            if status == "leased" and at - last > seconds:
                 status = "queued"
-            if row.kind == "claim" and status == "queued":
-                status, attempts, last = "leased", attempts + 1, row.at
-            elif row.kind == "heartbeat" and status == "leased":
-                last = row.at
-            elif row.kind == "complete" and status == "leased":
+            if kind == "claim" and status == "queued":
+                status, attempts, last = "leased", attempts + 1, at
+            elif kind == "heartbeat" and status == "leased":
+                last = at
+            elif kind == "complete" and status == "leased":
                 status = "succeeded"
-            elif row.kind == "cancel":
+            elif kind == "cancel":
                 status = "cancelled"
         state.update((status, attempts, int(last)))
-        if status == "leased":
+        if status == "leased" or status in FINAL:
             state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts]})
 

@@ -54,6 +54,9 @@ def test_filters():
         Filters(date_from="2024-02-01", date_to="2024-01-01")
     assert Filters(families=("a",)).intersect(Filters(families=("b",))) is None
     assert Filters(chars_min=5).intersect(Filters(chars_max=3)) is None
+    assert Filters(has_relationships=True).intersect(Filters(has_relationships=False)) is None
+    with pytest.raises(ValueError):
+        Filters(text="a").intersect(Filters(text="b"))
     assert Filters(families=("a", "b"), chars_min=5).intersect(Filters(families=("b",), chars_min=7)) == Filters(families=("b",), chars_min=7)
 
 
@@ -64,11 +67,61 @@ def test_duplicates_need_an_admissible_first(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(1, "Utility ", "12"), (2, None, "abc")], "id int, family string, amount string")
-    rules = [{"name": "eq", "when": [("family", "eq", "utility")]}, {"name": "gte", "when": [("amount", "gte", "10")]}, {"name": "missing", "when": [("family", "neq", "x")]}]
-    assert sorted(map(tuple, facts.match_rules(df, rules).collect())) == [(1, "eq"), (1, "gte"), (1, "missing"), (2, "gte"), (2, "missing")]
+    df = spark.createDataFrame([(1, "Utility ", "12", ["a"], "x"), (2, None, "abc", [], ""), (3, "utility", "9", None, None)], "id int, document_family string, amount_total string, tags array<string>, counterparty string")
+    one = lambda name, field, op, value=None: {"name": name, "conditions": [{"field": field, "op": op, "value": value}], "actions": [{"type": "add_tag", "tag": "t"}]}
+    rules = [one("eq", "document_family", "eq", "utility"), one("gte", "amount_total", "gte", "10"), one("lte", "amount_total", "lte", 10), one("text", "amount_total", "lte", "ab"), one("neq", "document_family", "neq", "x"), one("tags", "tags", "exists"), one("party", "counterparty", "exists"), one("any", "tags", "contains", "A"), one("re", "document_family", "regex", "^UTIL")]
+    got = {}
+    for i, r in facts.match_rules(df, rules, lists=("tags",)).collect():
+        got.setdefault(r, set()).add(i)
+    assert got == {"eq": {1, 3}, "gte": {1, 2}, "lte": {2, 3}, "text": {2}, "neq": {1, 2, 3}, "tags": {1}, "party": {1}, "any": {1}, "re": {1, 3}}
+
+
+@pytest.mark.parametrize("change", [{"name": " "}, {"priority": 101}, {"conditions": []}, {"actions": []}, {"conditions": [{"field": "color", "op": "eq", "value": 1}]}, {"conditions": [{"field": "tags", "op": "like", "value": 1}]}, {"conditions": [{"field": "tags", "op": "eq"}]},
+    {"conditions": [{"field": "tags", "op": "regex", "value": "(a+)+$"}]}, {"conditions": [{"field": "tags", "op": "regex", "value": "x" * 129}]}, {"conditions": [{"field": "tags", "op": "regex", "value": "("}]}, {"actions": [{"type": "add_folder"}]}, {"actions": [{"type": "set_sensitivity", "value": "secret"}]}, {"actions": [{"type": "burn"}]}])
+def test_bad_rules(change):
+    good = {"name": "n", "conditions": [{"field": "canonical.total", "op": "exists"}], "actions": [{"type": "create_review_task"}]}
+    assert facts.checked_rule(good)["actions"][0]["value"] == "Review suggested filing."
+    with pytest.raises(ValueError):
+        facts.checked_rule(good | change)
+
+
+@pytest.mark.parametrize(("text", "want"), [("2024-3-5", "2024-03-05"), ("3/5/24", "2024-03-05"), ("3/5/70", "1970-03-05"), ("5-Mar-2024", "2024-03-05"), ("due March 5, 2024.", "2024-03-05"), ("on 1-Jan-2020 or 2024-03-05", "2024-03-05"), ("13/45/2024", None), ("", None), (None, None)])
+def test_days(spark, text, want):
+    got = value(spark, T.parse_day(F.lit(text).cast("string")))
+    assert (None if got is None else str(got)) == want
+
+
+@pytest.mark.parametrize(("attempt", "want"), [(0, 30), (1, 30), (2, 60), (7, 1920), (8, 3600), (28, 3600), (4000, 3600)])
+def test_back_off(spark, attempt, want):
+    assert value(spark, T.retry_delay(F.lit(attempt))) == want
+
+
+@pytest.mark.parametrize(("name", "want"), [("Jörg  Müller", "jörg müller"), ("A-B & Co.", "a b co"), (" .. ", None), ("x" * 241, None), ("Straße", "strasse")])
+def test_contact_names(spark, name, want):
+    assert value(spark, T.contact_name(F.lit(name))) == want
+
+
+def test_zero_vectors(spark):
+    df = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [0.0, 2.0]), (3, 0, [1.0, 0.0])], "id int, chunk int, embedding array<double>")
+    got = search.semantic(search.unit_vectors(df), [0.0, 5.0], 10).collect()
+    assert [(r["id"], r["score"]) for r in got] == [(2, 1.0), (3, 0.0)]
     with pytest.raises(ValueError):
-        facts.condition("family", "like", "x")
+        search.semantic(df, [0.0, 0.0], 10)
+
+
+def test_gates_fail_on_what_is_not_finite(spark):
+    m = spark.createDataFrame([("a", float("inf")), ("b", float("nan")), ("c", 1.0)], "metric string, value double")
+    t = spark.createDataFrame([(x, "min", 0.5) for x in "abcd"], "metric string, direction string, threshold double")
+    assert {r["metric"] for r in ledger.gate(m, t).filter("passed").collect()} == {"c"}
+
+
+def test_index_and_access(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, "idiot words here"), (2, 0, "idiot idiot"), (2, 1, "nothing"), (3, 0, None)], "id long, chunk int, text string")
+    search.build_index(chunks, str(tmp_path / "x"))
+    index = search.open_index(spark, str(tmp_path / "x"))
+    assert index.chunks == 4
+    assert [r["id"] for r in search.bm25(index, ["idiot", "absent"], 5).collect()] == [2, 1]
+    assert [r["id"] for r in search.bm25(index, ["idiot"], 5, spark.createDataFrame([(1,)], "id long")).collect()] == [1]
 
 
 def test_fingerprint_ignores_order(spark):
