@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree of its block elements; text belongs to the nearest block.  Each node is content or not.  Its
-potential comes from its tag, the words of its class, id and role, and the share of links in its text;
+potential comes from its tag, the words of its class, id and role, a copyright sign, the share of links in its text and its size;
 each edge has a potential of the parent's and the child's label.  Sum-product messages go up from the leaves
 and down from the root and give every node's marginal.  The weights are trained by gradient ascent on the likelihood
 (observed less expected counts, both from the same messages) of labelled pages.  The labelled pages come from a seeded
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import table
 
-PAGES, EPOCHS, SEED = 500, 15, 11
+PAGES, EPOCHS, SEED = 1200, 12, 11
 
 # Elements of HTML by how they are read.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mspace mtable mtr mtd semantics annotation".split())
@@ -61,6 +61,8 @@ def parse(html: str, marks: bool = False) -> tuple[list[Node], list[tuple[Node,
             buffer.clear()
             if text:
                 here.parts.append(len(text))
+                if text[0] == "\u00a9" or text[:9].lower() == "copyright":
+                    here.hints += " copyright"
                 blocks.append((here, text))
 
     def close(names, stop=SCOPE):
@@ -146,6 +148,7 @@ def features(n: Node) -> list[str]:
         out += [f"hint:{w}" for w in {x.lower().removesuffix("s") for x in WORDS.findall(n.hints)}]
     if size:
         out.append("links:most" if 2 * n.links > size else "links:some" if n.links else "text")
+        out.append(f"size:{min(size, 400).bit_length()}")
     return out
 
 
@@ -227,7 +230,7 @@ def labelled_page(r: random.Random) -> str:
             lambda: f'<aside data-y="0"{r.choice(["", cls("sidebar", "related", "widget")])}>{inner()}</aside>',
             lambda: f'<div data-y="0"{cls("sidebar", "side-bar", "related", "related-posts", "recommended", "widget-area", "more-stories", "trending")}>{inner()}</div>',
             lambda: f'<{(t := r.choice(["div", "section", "ol", "ul"]))} data-y="0"{cls("comments", "comment-list", "comment", "commentlist", "responses", "discussion", "reader-comments", "replies", "disqus")}>'
-            + (f"<li>{say(3, 60)}</li><li>{ps(1, 2)}</li>" if t in ("ol", "ul") else f'<h3>{say(1, 3)}</h3><div class="comment">{ps(1, 3)}</div><div class="reply">{inner()}</div>') + f"</{t}>",
+            + (f"<li>{say(3, 60)}</li><li>{ps(1, 2)}</li>" if t in ("ol", "ul") else r.choice([f'<h3>{say(1, 3)}</h3><div class="comment">{ps(1, 3)}</div><div class="reply">{inner()}</div>', f"<h{r.randint(2, 4)}>{say(1, 3)}</h2>{ps(1, 4)}", inner()])) + f"</{t}>",
             lambda: f'<div data-y="0"{cls("cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popup", "modal", "notification", "warning", "paywall", "disclaimer")}>{inner()}</div>',
             lambda: f'<form data-y="0"{any_()}><p>{say(2, 12)}</p><input name="q"><label>{say(1, 2)}</label></form>',
             lambda: f'<div data-y="0"{cls("newsletter", "subscribe", "signup", "share", "social", "share-buttons", "tags", "meta", "byline", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "search", "login")}>{inner()}</div>',
@@ -250,7 +253,7 @@ def labelled_page(r: random.Random) -> str:
             lambda: f"<blockquote>{r.choice([say(2, 40), ps(1, 2)])}</blockquote>", lambda: f"<pre>{say(3, 40)}</pre>",
             lambda: f"<table><tr><th>{say(1, 3)}</th></tr><tr><td>{say(1, 9)}</td><td>{say(1, 3)}</td></tr></table>", lambda: f"<div{any_()}>{r.choice([say(3, 60), ps(1, 3)])}</div>",
             lambda: f"<section{any_()}><h2>{say(1, 5)}</h2>{ps(1, 3)}</section>", lambda: f'<p>{say(3, 30)} <a href="/{word()}">{say(1, 5)}</a> {say(1, 30)}',
-            lambda: f'<figure><img src="x"><figcaption>{say(2, 9)}</figcaption></figure>', lambda: f"<dl><dt>{say(1, 3)}</dt><dd>{say(2, 20)}</dd></dl>",
+            lambda: f'<figure><img src="x"><figcaption>{say(2, 9)}</figcaption></figure>', lambda: f"<dl><dt>{say(1, 3)}</dt><dd>{say(2, 20)}</dd></dl>", lambda: f"<button>{say(1, 3)}{r.choice(['</button>', '', '<p>' + say(3, 30)])}",
         ])()
 
     body = ""
@@ -269,7 +272,9 @@ def labelled_page(r: random.Random) -> str:
         art = f'<{kind} data-y="1"{cls("article", "content", "post", "entry", "story", "main", "article-body", "post-content", "entry-content", "text", "page-content", "body") if kind in ("div", "section") else any_()}>{body}</{kind}>'
     if r.random() < 0.3:
         art = f"<main{any_()}>{art}</main>"
-    out = "".join(junk(False) for _ in range(r.randint(1, 4))) + art + "".join(junk(False) for _ in range(r.randint(0, 4)))
+    bare = lambda: f'<div data-y="0">{r.choice([f"&copy; {r.randint(1999, 2025)} {say(1, 3)}", f"<a href=/x>{say(1, 2)}</a> <a href=/y>{say(1, 2)}</a> <a href=/z>{say(1, 2)}</a>"])}</div>'
+    before, after = r.choice([(0, 0), (0, 2), (1, 3), (3, 4)])
+    out = "".join(junk(False) if r.random() < 0.9 else bare() for _ in range(r.randint(before, 4) if before or after else 0)) + art + "".join(junk(False) if r.random() < 0.9 else bare() for _ in range(r.randint(0, after)))
     if r.random() < 0.3:
         out = f'<div class="{r.choice(["wrapper", "page", "container", "layout", "site"])}">{out}</div>'
     for _ in range(r.choice([0, 0, 0, 0, 1, 4, 12])):
