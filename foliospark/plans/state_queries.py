@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import filters, grids, merges, saved_queries
-from foliospark.plans.search_queries import DOCS, _beside
+from foliospark.operators import filters, grids, ledger, merges, saved_queries
+from foliospark.plans.search_queries import DOCS, HOUSEHOLD, READABLE, USER, _beside, ranking_eval
 from foliospark.sources import files
-from foliospark.sources.tables import SQL, documents, due_days, jobs, relations, table, tags
+from foliospark.sources.tables import SQL, documents, due_days, folders, jobs, relations, table, tags
 
 
 def _metadata(*pairs):
@@ -157,6 +157,67 @@ def lease_sweep(s, d):
     return last.select("queue", "job_type", "running", F.when(lost, "queued").otherwise("running").alias("status"))
 
 
+def upload_ingest(s, d):
+    """Uploads against what is stored: the oldest of the same content and household is the duplicate's original; new ones get three jobs."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2).alias("household"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.col("n_chars").alias("created_at"))
+    x = files.duplicates_of(docs.filter("id % 3 = 0"), docs.filter("id % 3 <> 0"))
+    return x.select("id", F.coalesce("duplicate_of", F.lit(-1).cast("long")).alias("duplicate_of"), F.explode(F.when(F.col("duplicate_of").isNull(), F.array(F.lit("parse"), F.lit("preview"), F.lit("embed"))).otherwise(F.array(F.lit("none")))).alias("job_type"))
+
+
+def visual_eligible(s, d):
+    """Pages whose quality summary says so, nested in JSON; absent is no."""
+    e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"phase8": {"quality": {"visual": '), (F.col("user_id") % 2 == 0).cast("string"), F.lit("}}}"))).when(F.col("event_id") % 4 == 1, F.lit('{"phase8": {}}')).otherwise(F.col("props")).alias("j"))
+    return e.select("event_id", F.coalesce(F.expr("try_variant_get(parse_json(j), '$.phase8.quality.visual', 'boolean')"), F.lit(False)).alias("eligible"))
+
+
+def writable_documents(s, d):
+    docs = documents(s, d)
+    seen = filters.readable(docs, folders(docs), USER, HOUSEHOLD)
+    return filters.writable(seen, USER).select("id", F.lit("owner").alias("why")).unionByName(filters.writable(filters.readable(docs, folders(docs), USER, HOUSEHOLD, "admin"), USER, "admin").filter("id % 10 = 0").select("id", F.lit("admin").alias("why")))
+
+
+def embedding_sources(s, d):
+    """What is embedded of a live document: its projection, else its text; never what is blank."""
+    docs = documents(s, d).filter("NOT deleted")
+    text = F.coalesce(F.nullif(F.when(F.col("id") % 3 == 0, F.concat("folder", F.lit(" "), "text")).when(F.col("id") % 3 == 1, F.lit("")), F.lit("")), "text", F.lit(""))
+    return docs.select("id", text.alias("source")).filter(F.trim("source") != "").select("id", F.sha2(F.col("source").cast("binary"), 256).alias("sha"))
+
+
+def saved_searches(s, d):
+    """Searches by household and name, whatever its case: the last wins; the newest hundred."""
+    e = table(s, d, "events").select((F.col("user_id") % 3).alias("household"), F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat("event_type", (F.col("user_id") % 30).cast("string"))).alias("name"), F.col("event_id").alias("at"), F.col("props").alias("query"))
+    last = e.groupBy("household", F.lower("name").alias("key")).agg(F.max_by(F.struct("name", "query", "at"), "at").alias("l"))
+    return last.select("household", "l.name", "l.query", "l.at").orderBy(F.desc("at")).limit(100)
+
+
+def ranking_summary(s, d):
+    """Mean hit and reciprocal rank of the golden cases against their thresholds; no cases give zeros."""
+    m = ranking_eval(s, d).agg(F.coalesce(F.avg("hit"), F.lit(0.0)).alias("hit"), F.coalesce(F.avg("reciprocal_rank"), F.lit(0.0)).alias("mrr"))
+    rows = m.select(F.explode(F.array(F.struct(F.lit("hitRateAtK").alias("metric"), F.col("hit").alias("value")), F.struct(F.lit("meanReciprocalRank").alias("metric"), F.col("mrr").alias("value")))).alias("x")).select("x.metric", F.round("x.value", 6).alias("value"))
+    return ledger.gate(rows, s.createDataFrame([("hitRateAtK", "min", 1.0), ("meanReciprocalRank", "min", 0.75)], "metric string, direction string, threshold double"))
+
+
+def report_rows(s, d):
+    """Rows of a report as JSON: dates and amounts as text, nothing for nulls."""
+    o = table(s, d, "orders")
+    return o.select("o_orderkey", F.to_json(F.struct(F.to_date("o_orderdate").cast("string").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("priority"))).alias("json"))
+
+
+def best_evidence(s, d):
+    li = table(s, d, "lineitem")
+    refs = li.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("rank"), F.when(F.col("l_partkey") % 5 == 0, F.col("l_linenumber")).alias("row_index"), F.when(F.col("l_partkey") % 3 == 0, F.lit("e")).alias("element_id"), F.when(F.col("l_suppkey") % 2 == 0, 1).alias("page_number"))
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return grids.best_evidence(refs).select("id", "rank", none("row_index"), "element_id", none("page_number"))
+
+
+def audit_trail(s, d):
+    """The audit with the events of a change appended: one a changed document, and its time of change."""
+    docs = documents(s, d)
+    old = docs.filter("id % 50 = 0").select(F.col("id").alias("document"), F.lit("created").alias("event"), F.col("document_date").alias("at"))
+    changed = filing(s, d).join(docs.select(F.col("id").alias("document"), "folder"), "document").filter("primary_folder <> folder")
+    return old.unionByName(changed.select("document", F.lit("filed").alias("event"), F.lit("2025-01-01").cast("date").alias("at")))
+
+
 QUERIES = {
     "deadline_upsert": deadline_upsert, "open_tasks": open_tasks, "contact_state": contact_state, "versions": versions, "json_patches": json_patches, "tag_replacement": tag_replacement, "filing": filing, "stale_groups": stale_groups, "suggestion_state": suggestion_state,
     "edge_merge": edge_merge, "field_upsert": field_upsert, "file_descriptions": file_descriptions,
@@ -165,6 +226,7 @@ QUERIES = {
     "grid_quality": lambda s, d: grids.quality(_cells(s, d)),
     "grid_fingerprints": lambda s, d: grids.fingerprint(_cells(s, d)),
     "saved_query_rows": saved_query_rows, "folder_contents": folder_contents, "system_tags": system_tags, "maintenance": maintenance, "lease_sweep": lease_sweep,
+    "upload_ingest": upload_ingest, "visual_eligible": visual_eligible, "writable_documents": writable_documents, "embedding_sources": embedding_sources, "saved_searches": saved_searches, "ranking_summary": ranking_summary, "report_rows": report_rows, "best_evidence": best_evidence, "audit_trail": audit_trail,
 }
 
 _MD = r"""WITH m AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, '| part ' || l_partkey || ' | ' || CAST(l_quantity AS INT) || ' | $' || CAST(l_extendedprice AS DECIMAL(18,2)) || ' |') AS n FROM lineitem), t AS (SELECT id, count(*) AS c, sum(p) AS total FROM m GROUP BY 1)"""
@@ -197,4 +259,16 @@ ORACLES = {
     "system_tags": f"{DOCS}, {SQL['tags']} SELECT CAST(i - 1 AS INT) AS position, t AS tag, (SELECT count(*) FROM tags WHERE lower(tag) = t) AS documents FROM (SELECT unnest(range(1, 9)) AS i, unnest(['important', 'long', 'tax', 'medical', 'legal', 'warranty', 'receipt', 'archive']) AS t)",
     "maintenance": f"{DOCS} SELECT id, unnest(['parse', 'preview']) AS job_type, 'queued' AS status FROM docs WHERE trim(text) = '' UNION ALL SELECT id, 'project', 'queued' FROM docs WHERE trim(text) <> '' AND id % 10 = 0",
     "lease_sweep": f"WITH {SQL['jobs']} SELECT queue, job_type, count(*) AS running, CASE WHEN floor(epoch(TIMESTAMP '2024-01-31 00:00:00')) - floor(epoch(max(scheduled_at))) > 3600 THEN 'queued' ELSE 'running' END AS status FROM jobs WHERE status = 'running' GROUP BY ALL",
+    "upload_ingest": """WITH x AS (SELECT doc_id AS id, doc_id % 2 AS h, sha256(text) AS sha, n_chars FROM documents), o AS (SELECT h, sha, arg_min(id, n_chars * 100000000 + id) AS dup FROM x WHERE id % 3 <> 0 GROUP BY ALL), y AS (SELECT id, dup FROM x LEFT JOIN o USING (h, sha) WHERE id % 3 = 0)
+    SELECT id, coalesce(dup, -1) AS duplicate_of, unnest(CASE WHEN dup IS NULL THEN ['parse', 'preview', 'embed'] ELSE ['none'] END) AS job_type FROM y""",
+    "visual_eligible": "SELECT event_id, event_id % 4 = 0 AND user_id % 2 = 0 AS eligible FROM events",
+    "writable_documents": f"{DOCS}, {READABLE} SELECT id, 'owner' AS why FROM r WHERE owner_id = {USER} UNION ALL SELECT id, 'admin' FROM docs WHERE NOT deleted AND household = {HOUSEHOLD} AND id % 10 = 0",
+    "embedding_sources": f"{DOCS}, x AS (SELECT id, CASE WHEN id % 3 = 0 THEN folder || ' ' || text ELSE text END AS source FROM docs WHERE NOT deleted) SELECT id, sha256(source) AS sha FROM x WHERE trim(source) <> ''",
+    "saved_searches": "WITH e AS (SELECT user_id % 3 AS household, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type || (user_id % 30) END AS name, event_id AS at_, props AS query FROM events) SELECT household, name, query, at_ AS \"at\" FROM e QUALIFY row_number() OVER (PARTITION BY household, lower(name) ORDER BY at_ DESC) = 1 ORDER BY at_ DESC LIMIT 100",
+    "ranking_summary": """WITH c AS (SELECT item_id AS id, [item_id + item_id % 3, item_id - 1, item_id] AS ret FROM benchmark), m AS (SELECT avg(CASE WHEN list_position(ret, id) > 0 THEN 1.0 ELSE 0.0 END) AS hit, avg(coalesce(round(1.0 / nullif(list_position(ret, id), 0), 6), 0.0)) AS mrr FROM c)
+    SELECT unnest(['hitRateAtK', 'meanReciprocalRank']) AS metric, unnest([round(hit, 6), round(mrr, 6)])::DOUBLE AS value, unnest([1.0, 0.75])::DOUBLE AS threshold, unnest([hit >= 1.0, mrr >= 0.75]) AS passed FROM m""",
+    "report_rows": """SELECT o_orderkey, '{"day":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '","amount":"' || CAST(o_totalprice AS DECIMAL(18,2)) || '"' || CASE WHEN o_orderkey % 2 = 0 THEN ',"priority":"' || o_orderpriority || '"' ELSE '' END || '}' AS json FROM orders""",
+    "best_evidence": """WITH x AS (SELECT l_orderkey AS id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 AS rank, CASE WHEN l_partkey % 5 = 0 THEN l_linenumber END AS row_index, CASE WHEN l_partkey % 3 = 0 THEN 'e' END AS element_id, CASE WHEN l_suppkey % 2 = 0 THEN 1 END AS page_number FROM lineitem)
+    SELECT id, rank, coalesce(row_index, -1) AS row_index, element_id, coalesce(page_number, -1) AS page_number FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN x.row_index IS NOT NULL THEN 0 WHEN element_id IS NOT NULL THEN 1 WHEN x.page_number IS NOT NULL THEN 2 ELSE 3 END, rank) = 1""",
+    "audit_trail": f"{DOCS} SELECT id AS document, 'created' AS event, CAST(document_date AS VARCHAR) AS \"at\" FROM docs WHERE id % 50 = 0 UNION ALL SELECT id, 'filed', '2025-01-01' FROM docs WHERE id % 3 = 0",
 }
