@@ -13,7 +13,9 @@ REGISTRY = [("line.amount", "money"), ("line.date", "date"), ("line.name", "text
 
 def located(s, d):
     """Order lines as facts with a place, an engine and a value; places are missing in parts of them."""
-    return table(s, d, "lineitem").selectExpr(
+    own = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # a line is told apart by these; of several the least values
+    li = table(s, d, "lineitem").groupBy(*own).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")])
+    return li.selectExpr(
         "l_orderkey AS document", "(CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 1000 + l_suppkey AS position",
         "CASE WHEN l_partkey % 11 <> 0 THEN (l_linenumber - 1) div 3 + 1 END AS page", "CASE WHEN l_partkey % 4 = 0 THEN concat('e', l_partkey % 6) END AS element_id", "CASE WHEN l_partkey % 4 = 1 THEN 't1' END AS table_id",
         "CASE WHEN l_suppkey % 3 <> 0 THEN l_linenumber END AS row_index", "CAST(NULL AS STRING) AS bbox", "CAST(NULL AS STRING) AS text_span", "CASE WHEN l_partkey % 7 = 0 THEN 'r1' END AS region_id", "CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS source_text",
@@ -24,12 +26,13 @@ def located(s, d):
     )
 
 
-LOC = """loc AS (SELECT l_orderkey AS document, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 1000 + l_suppkey AS position, CASE WHEN l_partkey % 11 <> 0 THEN (l_linenumber - 1) // 3 + 1 END AS page, CASE WHEN l_partkey % 4 = 0 THEN 'e' || (l_partkey % 6) END AS element_id,
+LOC = """li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_quantity) AS l_quantity, min(l_extendedprice) AS l_extendedprice, min(l_returnflag) AS l_returnflag, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL),
+    loc AS (SELECT l_orderkey AS document, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 1000 + l_suppkey AS position, CASE WHEN l_partkey % 11 <> 0 THEN (l_linenumber - 1) // 3 + 1 END AS page, CASE WHEN l_partkey % 4 = 0 THEN 'e' || (l_partkey % 6) END AS element_id,
     CASE WHEN l_partkey % 4 = 1 THEN 't1' END AS table_id, CASE WHEN l_suppkey % 3 <> 0 THEN l_linenumber END AS row_index, CASE WHEN l_partkey % 7 = 0 THEN 'r1' END AS region_id, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS source_text,
     CASE l_linenumber % 4 WHEN 0 THEN 'granite' WHEN 2 THEN 'qwen' ELSE 'docling' END AS engine, CASE WHEN l_suppkey % 13 = 0 THEN 'planner' ELSE 'lane' END AS method,
     CASE WHEN l_partkey % 17 = 0 THEN 'other' WHEN l_returnflag = 'A' THEN 'line.amount' WHEN l_returnflag = 'N' THEN 'line.date' ELSE 'line.name' END AS key,
     CASE WHEN l_returnflag = 'A' THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) WHEN l_returnflag = 'N' THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) ELSE 'part ' || l_partkey END AS typed,
-    CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18,4)) END AS amount, CAST(l_quantity AS INT) AS quantity, l_partkey, l_suppkey, l_linenumber FROM lineitem),
+    CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18,4)) END AS amount, CAST(l_quantity AS INT) AS quantity, l_partkey, l_suppkey, l_linenumber FROM li),
     pl AS (SELECT *, page IS NOT NULL AND (element_id IS NOT NULL OR (table_id IS NOT NULL AND row_index IS NOT NULL)) AS structural FROM loc)"""
 
 
