@@ -33,7 +33,7 @@ WEIGHTS = {"domain": {"d0": 4, "d1": 2, "d2": 1, "d3": 1}, "lang": {"en": 5, "de
 #: The budget in hundredths of all tokens.
 PERCENT = 80
 #: Documents in a bucket of a leaf's order, about.
-BUCKET = 4096
+BUCKET = 512
 
 
 def domain_of(source: Column) -> Column:
