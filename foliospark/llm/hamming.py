@@ -95,7 +95,7 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, block: int | None = Non
     dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("g"), F.lit(0).alias("kind"), "vec_id", "code")
     queries = stash(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "code"), "queries")
     sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(1).alias("kind"), "vec_id", "code")
-    parted = dealt.unionByName(sent).repartition(blocks, "g").sortWithinPartitions("g", "kind")
+    parted = dealt.unionByName(sent).repartitionById(blocks, "g").sortWithinPartitions("g", "kind")
 
     def search(batches):
         index, at, ids, code = None, -1, [], []
