@@ -52,9 +52,8 @@ def open_index(spark: SparkSession, path: str) -> LexicalIndex:
 def bm25(index: LexicalIndex, terms: list[str], limit: int, allowed: DataFrame | None = None, buckets: int = 64) -> DataFrame:
     """Any-term BM25 from the index: only the terms' folders are read.  allowed: (id), the documents that may be ranked; document
     frequencies are those of all chunks."""
-    spark = index.postings.sparkSession
-    own = spark.range(1).select(*[F.pmod(F.hash(F.lit(t)), F.lit(buckets)) for t in terms]).first()
-    hits = index.postings.filter(F.col("bucket").isin(*map(int, own)) & F.col("term").isin(*terms))
+    own = [F.pmod(F.hash(F.lit(t)), F.lit(buckets)) for t in terms]  # constants of the plan, so other folders are pruned
+    hits = index.postings.filter(F.col("bucket").isin(*own) & F.col("term").isin(*terms))
     seen = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one row a term
     if allowed is not None:
         hits = hits.join(allowed.select("id"), "id", "left_semi")
@@ -92,7 +91,8 @@ def semantic(units: DataFrame, query: list[float], limit: int, allowed: DataFram
     if not norm:
         raise ValueError("the query has length zero")
     rows = units if allowed is None else units.join(allowed.select("id"), "id", "left_semi")
-    score = F.greatest(F.lit(0.0), dot(F.col("unit"), F.array(*[F.lit(x / norm) for x in query])))
+    constant = F.expr("array(" + ", ".join(f"{x / norm!r}D" for x in query) + ")")
+    score = F.greatest(F.lit(0.0), dot(F.col("unit"), constant))
     return numbered(rows.filter(F.size("unit") == len(query)).select("id", "chunk", F.round(score, 12).alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
 
 

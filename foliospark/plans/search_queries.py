@@ -60,13 +60,26 @@ def _bm25_sql(limit: int, allowed: str = "true") -> str:
     lexical AS (SELECT id, CAST(chunk AS INT) AS chunk, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY sc.score DESC, id, chunk) AS INT) AS rank FROM sc QUALIFY rank <= {limit})"""
 
 
+_UNITS: dict[tuple[str, str], str] = {}
+
+
+def unit_index(spark, d):
+    """The unit vectors of a collection; written once a session, in the shared folder."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _UNITS:
+        path = new_path(spark, "vectors")
+        search.unit_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("chunk"), "embedding")).write.parquet(path)
+        _UNITS[key] = path
+    return spark.read.parquet(_UNITS[key])
+
+
 def _vectors(spark, d):
     """Unit vectors, and one of the collection's vectors as the query."""
     e = table(spark, d, "embeddings")
     query = e.filter("vec_id = 0").select("embedding").limit(2).collect()  # one row of a query
     if len(query) != 1:
         raise ValueError("the query is one vector")
-    return search.unit_vectors(e.select(F.col("vec_id").alias("id"), F.lit(0).alias("chunk"), "embedding")), [float(x) for x in query[0]["embedding"]]
+    return unit_index(spark, d), [float(x) for x in query[0]["embedding"]]
 
 
 def _semantic_sql(limit: int) -> str:
