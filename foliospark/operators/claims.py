@@ -179,3 +179,14 @@ def review_state(events: DataFrame, open_tasks: DataFrame) -> DataFrame:
     status = F.when(F.col("_open").isNotNull(), "needs_review").otherwise("user_confirmed")
     how = F.when(F.col("l.action") == "reject", "rejected").when(F.col("l.action") == "correct", "user_corrected").otherwise("user_confirmed")
     return fields.join(open_tasks.select("document").distinct().withColumn("_open", F.lit(True)), "document", "left").select("document", "path", F.when(F.col("l.action") != "reject", F.col("l.value")).alias("value"), how.alias("field_status"), status.alias("document_status"))
+
+
+def projected(claims_: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """claims: region, path and anything else; regions: region, family.  The claims of each region's family (all for an observation), and of the
+    regions without any of them why they are skipped."""
+    own = F.when(F.contains("path", F.lit(".")), F.substring_index("path", ".", 1))
+    x = claims_.join(regions, "region").withColumn("_fits", (F.col("family") == "document_observation") | F.coalesce(own == F.col("family"), F.lit(False)))
+    found = x.groupBy("region").agg(F.count_if("_fits").alias("n"))
+    why = F.when(F.col("n").isNull(), "missing_claims").when(F.col("n") == 0, "aggregate_incompatible_source_family")
+    skipped = regions.join(found, "region", "left").select("region", why.alias("reason")).filter("reason IS NOT NULL")
+    return x.filter("_fits").drop("_fits"), skipped

@@ -31,6 +31,11 @@ def writable(docs: DataFrame, user: int, role: str = "member") -> DataFrame:
     return docs if role in ("owner", "admin") else docs.filter(F.col("owner_id") == user)
 
 
+def writable_folders(folders: DataFrame, user: int) -> DataFrame:
+    """Folders that the user may file into: shared, their own, or granted to them."""
+    return folders.filter(F.col("shared") | (F.col("folder_owner") == user) | F.array_contains("grants", F.lit(user).cast("long"))).select("folder")
+
+
 @dataclass(frozen=True)
 class Related:
     """The tables beside the documents: tags (id, tag), members (id, folder), totals (id, total), edges (a, b, kind, status), deadlines (id, kind, status)."""

@@ -83,3 +83,25 @@ def decided(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     last = decisions.groupBy("id").agg(F.max_by("decision", "at").alias("_d"))
     new = F.when(F.col("_d") == "accept", "accepted").when(F.col("_d") == "reject", "rejected").when(F.col("_d") == "defer", "deferred").otherwise(F.col("status"))
     return suggestions.join(last, "id", "left").withColumn("status", F.when(F.col("status") == "pending", new).otherwise(F.col("status"))).drop("_d")
+
+
+def touched(stored: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
+    """stored (key, columns, updated_at), new (key, columns): rows whose columns change take the new values and the time; equal ones keep theirs."""
+    columns = [c for c in new.columns if c != key]
+    x = stored.join(new.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new")), key, "left")
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    hit = F.coalesce(F.col("_new"), F.lit(False)) & differs
+    return x.select(key, *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def persisted(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """Extraction runs (document, schema, scope, region, run, is_current): those of the new runs' document, schema, scope and region, nulls alike, are no longer current."""
+    keys = ("document", "schema", "scope", "region")
+    replaced = new.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & runs[k].eqNullSafe(F.col(f"_{k}"))
+    old = runs.join(replaced.withColumn("_hit", F.lit(True)), same, "left").withColumn("is_current", F.col("is_current") & F.col("_hit").isNull())
+    return old.select(*runs.columns).unionByName(new.withColumn("is_current", F.lit(True)).select(*runs.columns))

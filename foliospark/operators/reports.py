@@ -94,3 +94,10 @@ def worst_leaves(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     x = thresholds.join(worst, "metric", "left").withColumn("value", F.when(F.col("direction") == "min", F.col("low")).otherwise(F.col("high")))
     ok = F.when(F.col("direction") == "min", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
     return x.select("metric", "value", "threshold", F.coalesce(ok & F.col("finite"), F.lit(False)).alias("passed"))
+
+
+def manifest_checks(evidence: DataFrame, sections: tuple[str, ...], metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(check, passed): each required section has evidence (section, run_id), and each metric passes its threshold."""
+    wanted = evidence.sparkSession.createDataFrame([(x,) for x in sections], "section string")
+    there = wanted.join(evidence.filter("run_id IS NOT NULL").select("section").distinct().withColumn("_ok", F.lit(True)), "section", "left")
+    return there.select(F.concat(F.lit("evidence."), "section").alias("check"), F.coalesce("_ok", F.lit(False)).alias("passed")).unionByName(worst_leaves(metrics, thresholds).select(F.concat(F.lit("metric."), "metric").alias("check"), "passed"))

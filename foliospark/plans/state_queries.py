@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import filters, grids, ledger, merges, saved_queries
+from foliospark.operators import claims, filters, grids, ledger, merges, reports, saved_queries
 from foliospark.plans.search_queries import DOCS, HOUSEHOLD, READABLE, USER, _beside, ranking_eval
 from foliospark.sources import files
 from foliospark.sources.tables import SQL, documents, due_days, folders, jobs, relations, table, tags
@@ -218,6 +218,37 @@ def audit_trail(s, d):
     return old.unionByName(changed.select("document", F.lit("filed").alias("event"), F.lit("2025-01-01").cast("date").alias("at")))
 
 
+def region_projection(s, d):
+    """Claims of order lines by region, with those that fit its family and the regions that are skipped, counted."""
+    li = table(s, d, "lineitem")
+    path = F.when(F.col("l_partkey") % 3 == 0, "invoice.total").when(F.col("l_partkey") % 3 == 1, "receipt.total").otherwise("loan_number")
+    given = li.filter("l_orderkey % 11 <> 0").select(F.col("l_orderkey").alias("region"), path.alias("path"))
+    i = F.col("o_orderkey")
+    regions = table(s, d, "orders").select(i.alias("region"), F.when(i % 5 == 0, "document_observation").when(i % 2 == 0, "invoice").otherwise("receipt").alias("family"))
+    fit, skipped = claims.projected(given, regions)
+    return fit.groupBy("region").agg(F.count("*").alias("claims")).select("region", F.lit("projected").alias("outcome"), "claims").unionByName(skipped.select("region", F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("claims")))
+
+
+def changed_rows(s, d):
+    docs = documents(s, d)
+    stored = docs.select("id", "folder", "family", F.lit("2024-01-01").cast("date").alias("updated_at"))
+    new = docs.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, "moved").otherwise(F.col("folder")).alias("folder"), "family")
+    return merges.touched(stored, new, "id", F.lit("2025-01-01").cast("date"))
+
+
+def extraction_runs(s, d):
+    li = table(s, d, "lineitem").select((F.col("l_orderkey") % 400).alias("document"), F.lower("l_returnflag").alias("schema"), F.lit("region").alias("scope"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("long")).alias("region"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("run"))
+    old = li.filter("document % 3 <> 0").withColumn("is_current", F.lit(True))
+    out = merges.persisted(old, li.filter("document % 5 = 0 AND schema = 'a'"))
+    return out.groupBy("document", "schema", "is_current").agg(F.count("*").alias("runs"))
+
+
+def corpus_manifest(s, d):
+    t = table(s, d, "events").groupBy(F.col("event_type").alias("section")).agg(F.max("event_id").cast("string").alias("run_id"))
+    m = table(s, d, "events").groupBy(F.lit("value").alias("metric"), F.col("event_type").alias("leaf")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return reports.manifest_checks(t, ("click", "view", "planning"), m, s.createDataFrame([("value", "min", 0.0), ("value2", "max", 1.0)], "metric string, direction string, threshold double"))
+
+
 QUERIES = {
     "deadline_upsert": deadline_upsert, "open_tasks": open_tasks, "contact_state": contact_state, "versions": versions, "json_patches": json_patches, "tag_replacement": tag_replacement, "filing": filing, "stale_groups": stale_groups, "suggestion_state": suggestion_state,
     "edge_merge": edge_merge, "field_upsert": field_upsert, "file_descriptions": file_descriptions,
@@ -227,6 +258,7 @@ QUERIES = {
     "grid_fingerprints": lambda s, d: grids.fingerprint(_cells(s, d)),
     "saved_query_rows": saved_query_rows, "folder_contents": folder_contents, "system_tags": system_tags, "maintenance": maintenance, "lease_sweep": lease_sweep,
     "upload_ingest": upload_ingest, "visual_eligible": visual_eligible, "writable_documents": writable_documents, "embedding_sources": embedding_sources, "saved_searches": saved_searches, "ranking_summary": ranking_summary, "report_rows": report_rows, "best_evidence": best_evidence, "audit_trail": audit_trail,
+    "region_projection": region_projection, "changed_rows": changed_rows, "extraction_runs": extraction_runs, "corpus_manifest": corpus_manifest, "writable_folders": lambda s, d: filters.writable_folders(folders(documents(s, d)), USER),
 }
 
 _MD = r"""WITH m AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, '| part ' || l_partkey || ' | ' || CAST(l_quantity AS INT) || ' | $' || CAST(l_extendedprice AS DECIMAL(18,2)) || ' |') AS n FROM lineitem), t AS (SELECT id, count(*) AS c, sum(p) AS total FROM m GROUP BY 1)"""
@@ -271,4 +303,11 @@ ORACLES = {
     "best_evidence": """WITH x AS (SELECT l_orderkey AS id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 AS rank, CASE WHEN l_partkey % 5 = 0 THEN l_linenumber END AS row_index, CASE WHEN l_partkey % 3 = 0 THEN 'e' END AS element_id, CASE WHEN l_suppkey % 2 = 0 THEN 1 END AS page_number FROM lineitem)
     SELECT id, rank, coalesce(row_index, -1) AS row_index, element_id, coalesce(page_number, -1) AS page_number FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN x.row_index IS NOT NULL THEN 0 WHEN element_id IS NOT NULL THEN 1 WHEN x.page_number IS NOT NULL THEN 2 ELSE 3 END, rank) = 1""",
     "audit_trail": f"{DOCS} SELECT id AS document, 'created' AS event, CAST(document_date AS VARCHAR) AS \"at\" FROM docs WHERE id % 50 = 0 UNION ALL SELECT id, 'filed', '2025-01-01' FROM docs WHERE id % 3 = 0",
+    "region_projection": """WITH r AS (SELECT o_orderkey AS region, CASE WHEN o_orderkey % 5 = 0 THEN 'o' WHEN o_orderkey % 2 = 0 THEN 'invoice' ELSE 'receipt' END AS family FROM orders), c AS (SELECT l_orderkey AS region, ['invoice', 'receipt', ''][l_partkey % 3 + 1] AS f FROM lineitem WHERE l_orderkey % 11 <> 0),
+    n AS (SELECT r.region, count(f) AS a, count(*) FILTER (WHERE family = 'o' AND f IS NOT NULL OR f = family) AS k FROM r LEFT JOIN c USING (region) GROUP BY 1) SELECT region, CASE WHEN a = 0 THEN 'missing_claims' WHEN k = 0 THEN 'aggregate_incompatible_source_family' ELSE 'projected' END AS outcome, k AS claims FROM n""",
+    "changed_rows": f"{DOCS} SELECT id, CASE WHEN id % 4 = 0 THEN 'moved' ELSE folder END AS folder, family, CASE WHEN id % 4 = 0 THEN '2025-01-01' ELSE '2024-01-01' END AS updated_at FROM docs",
+    "extraction_runs": """WITH l AS (SELECT l_orderkey % 400 AS document, lower(l_returnflag) AS schema, CASE WHEN l_linenumber > 1 THEN l_linenumber ELSE 0 END AS region FROM lineitem), n AS (SELECT * FROM l WHERE document % 5 = 0 AND schema = 'a'),
+    u AS (SELECT document, schema, (document, schema, region) NOT IN (SELECT (document, schema, region) FROM n) AS is_current FROM l WHERE document % 3 <> 0 UNION ALL SELECT document, schema, true FROM n) SELECT document, schema, is_current, count(*) AS runs FROM u GROUP BY ALL""",
+    "corpus_manifest": """SELECT unnest(['evidence.click', 'evidence.view', 'evidence.planning', 'metric.value', 'metric.value2']) AS "check", unnest([(SELECT count(*) > 0 FROM events WHERE event_type = 'click'), (SELECT count(*) > 0 FROM events WHERE event_type = 'view'), (SELECT count(*) > 0 FROM events WHERE event_type = 'planning'), (SELECT min(m) >= 0 FROM (SELECT avg(value) AS m FROM events GROUP BY event_type)), false]) AS passed""",
+    "writable_folders": f"{DOCS} SELECT folder FROM folders WHERE shared OR folder_owner = {USER} OR list_contains(grants, {USER})",
 }
