@@ -1,8 +1,8 @@
-"""Queries of the ten operators and the pipeline, and their SQL where SQL can express them."""
+"""Queries of the operators and the pipeline, and their SQL where SQL can express them."""
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import hamming, html, licenses, line_dedup, mixing, packing, quality, simhash, token_counts, toxicity
+from foliospark.llm import filter_audit, hamming, html, licenses, line_dedup, mixing, packing, quality, sharding, simhash, token_counts, toxicity, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_license_scans": licenses.op8,
     "op9_quality_rules": quality.op9,
     "op10_best_fit_packing": packing.op10,
+    "op11_sharding": sharding.op11,
+    "op12_filter_audit": filter_audit.op12,
+    "op13_whitening": whitening.op13,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.SQL,
     "op5_exact_top_k": hamming.SQL,
     "op9_quality_rules": quality.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }

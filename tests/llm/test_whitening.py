@@ -22,8 +22,9 @@ def exact(vectors):
     n, d = len(x), len(x[0])
     s = [sum(r[j] for r in x) for j in range(d)]
     dev = [sum((n * r[j] - s[j]) ** 2 for j in range(d)) for r in x]
-    cov = [[sum(Fraction((n * r[i] - s[i]) * (n * r[j] - s[j]), n**3) for r in x) for j in range(d)] for i in range(d)]
-    return x, n, s, dev, np.array([[float(c) for c in r] for r in cov])
+    y = [[n * r[j] - s[j] for j in range(d)] for r in x]
+    cov = [[sum(r[i] * r[j] for r in y) / n**3 for j in range(d)] for i in range(d)]  # Python rounds a quotient of integers once
+    return x, n, s, dev, np.array(cov)
 
 
 def checked(rows, vectors, components=32):
