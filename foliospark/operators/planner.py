@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Semantic types of line items and summaries, contract modes, bucket quotas.
 LINE_ITEM_TYPES = ("covered_services_line_item_table", "invoice_line_item_table", "receipt_line_item_table", "retail_order_line_item_table", "service_record_line_item_table", "dispute_transaction_table")
@@ -42,7 +43,7 @@ def _filled(c: str) -> Column:
 
 
 def judged(specs: DataFrame) -> DataFrame:
-    """Adds reason (null: can be chosen), bucket, page_key, rank (smaller is better) and key (specs with one key are one task)."""
+    """Adds reason (null: can be chosen), bucket, page_key, rank (in the document; smaller is better, ties are equal) and key (specs with one key are one task)."""
     mode, why = _taxonomy("compatibility"), _taxonomy("contract_reason")
     generic = (mode == "generic_review_only") | (why == "generic_review_only_fallback")
     grounded = F.when(F.col("kind") == "page", F.col("page_id").isNotNull()).when(F.col("kind") == "element", F.col("element_id").isNotNull()).when(F.col("kind") == "table", F.col("table_id").isNotNull()).otherwise(False)
@@ -68,7 +69,7 @@ def judged(specs: DataFrame) -> DataFrame:
         .otherwise(2)
     )
     source = F.when(_filled("must_extract"), 0).when(structural, 1).otherwise(2)
-    rank = F.struct(contract.alias("contract"), F.col("priority").alias("priority"), source.alias("source"), (-F.coalesce("confidence", F.lit(0.0))).alias("doubt"), F.col("ordinal").alias("ordinal"))
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(contract, "priority", source, F.coalesce("confidence", F.lit(0.0)).desc(), "ordinal"))
     intent = F.when(F.col("element_id").isNull() & F.col("table_id").isNull(), F.coalesce("expected_fields", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     key = F.to_json(F.struct("target_schema", "semantic_type", "task", "region_source", "coverage_role", "kind", "page_id", "element_id", "table_id", intent.alias("intent")))
     return specs.withColumns({
@@ -77,6 +78,11 @@ def judged(specs: DataFrame) -> DataFrame:
     })
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _distinct_specs(specs: Column) -> Column:
     """(best, lost) of specs in arrival order: of a key the best rank stays, in the place of the key's first spec."""
 
@@ -94,10 +100,14 @@ def _distinct_specs(specs: Column) -> Column:
 
 def _queue(best: Column, budget: Budget) -> Column:
     """The order in which specs are looked at: buckets by quota, then all again, then those that are never lost."""
-    ranked = F.array_sort(F.transform(best, lambda s, i: F.struct(s["rank"].alias("rank"), i.alias("i"), s.alias("s"))))
-    turn = lambda phase, lst: F.transform(lst, lambda x: F.struct(F.lit(phase).alias("phase"), x["s"].alias("s")))
-    heads = [turn(0, F.slice(F.filter(ranked, lambda x: x["s"]["bucket"] == name), 1, quota)) for name, quota in budget.quotas]  # noqa: B023
-    return F.concat(*heads, turn(1, ranked), turn(2, F.filter(ranked, lambda x: x["s"]["rescue"])))
+    keyed = F.transform(best, lambda s, i: F.struct(s["rank"].alias("rank"), i.alias("i"), s.alias("s")))
+    turn = lambda phase, lst: F.transform(lst, lambda s: F.struct(F.lit(phase).alias("phase"), s.alias("s")))
+
+    def turns(ranked: Column) -> Column:
+        heads = [turn(0, F.slice(F.filter(ranked, lambda s: s["bucket"] == name), 1, quota)) for name, quota in budget.quotas]  # noqa: B023
+        return F.concat(*heads, turn(1, ranked), turn(2, F.filter(ranked, lambda s: s["rescue"])))
+
+    return _let(F.transform(F.sort_array(keyed), lambda x: x["s"]), turns)
 
 
 def _chosen(queue: Column, budget: Budget) -> Column:
@@ -129,28 +139,35 @@ def plan(specs: DataFrame, budget: Budget = Budget()) -> DataFrame:
     reason), first what cannot be chosen, then suppressed duplicates, then what the budgets left out."""
     fields = ("pos", "region_id", "bucket", "page_key", "rank", "key", "rescue", "reason", "must_extract", "semantic_type")
     rows = judged(specs).select("doc_id", F.struct(*[F.col(c).cast("long").alias(c) if c == "pos" else F.col(c) for c in fields]).alias("s"))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("specs"))  # a document's specs are few
-    docs = docs.select("doc_id", F.filter("specs", lambda s: s["reason"].isNotNull()).alias("invalid"), F.filter("specs", lambda s: s["reason"].isNull()).alias("valid"))
-    docs = docs.select("doc_id", "invalid", _distinct_specs(F.col("valid")).alias("d")).select("doc_id", "invalid", "d.best", "d.lost")
-    docs = docs.withColumn("queue", _queue(F.col("best"), budget)).withColumn("done", _chosen(F.col("queue"), budget))
-    left = F.filter("best", lambda s: ~F.array_contains(F.col("done.picks"), s["pos"]))
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("specs"))  # a document's specs are few
+    valid, invalid = F.filter("specs", lambda s: s["reason"].isNull()), F.filter("specs", lambda s: s["reason"].isNotNull())
+    choice = lambda d: _let(_chosen(_queue(d["best"], budget), budget), lambda done: _report(invalid, d["best"], d["lost"], done))
+    made = docs.select("doc_id", _let(_distinct_specs(valid), choice).alias("plan"))
+    # one row a document as it is, without a shuffle: filters on the result cannot be pushed below, where they would repeat the fold
+    return made.groupBy("doc_id").agg(F.first("plan").alias("plan")).select("doc_id", "plan.*")
+
+
+def _report(invalid: Column, best: Column, lost: Column, done: Column) -> Column:
+    """(selected, dropped, warnings, bucket_counts) of a finished fold."""
+    left = F.filter(best, lambda s: ~F.array_contains(done["picks"], s["pos"]))
     out = lambda lst, status, reason: F.transform(lst, lambda s: F.struct(s["pos"].alias("pos"), s["region_id"].alias("region_id"), status(s).alias("status"), reason(s).alias("reason")))
     dropped = F.concat(
-        out(F.col("invalid"), lambda s: F.concat(F.lit("skipped_"), s["reason"]), lambda s: s["reason"]),
-        out(F.col("lost"), lambda s: F.lit("suppressed_duplicate"), lambda s: F.lit("duplicate_suppressed")),
+        out(invalid, lambda s: F.concat(F.lit("skipped_"), s["reason"]), lambda s: s["reason"]),
+        out(lost, lambda s: F.lit("suppressed_duplicate"), lambda s: F.lit("duplicate_suppressed")),
         out(left, lambda s: F.lit("skipped_budget_exceeded"), lambda s: F.lit("planner_budget_or_fanout_policy")),
     )
-    must = F.filter(F.concat("invalid", "lost", left), lambda s: F.coalesce(s["must_extract"], F.lit("")) != "")
+    must = F.filter(F.concat(invalid, lost, left), lambda s: F.coalesce(s["must_extract"], F.lit("")) != "")
     warnings = F.array_distinct(F.concat(
-        F.transform("invalid", lambda s: F.concat(F.lit("plan_"), s["reason"], F.lit(":"), s["region_id"])),
-        F.transform("lost", lambda s: F.concat(F.lit("plan_duplicate_suppressed:"), s["region_id"])),
-        F.col("done.warnings"),
+        F.transform(invalid, lambda s: F.concat(F.lit("plan_"), s["reason"], F.lit(":"), s["region_id"])),
+        F.transform(lost, lambda s: F.concat(F.lit("plan_duplicate_suppressed:"), s["region_id"])),
+        done["warnings"],
         F.transform(must, lambda s: F.concat_ws(":", F.lit("dropped_must_extract_target"), F.coalesce(s["semantic_type"], F.lit("None")), s["must_extract"])),
     ))
-    selected = F.transform("done.picks", lambda p: F.element_at(F.transform(F.filter("best", lambda s: s["pos"] == p), lambda s: F.struct(s["pos"].alias("pos"), s["region_id"].alias("region_id"), s["bucket"].alias("bucket"), s["page_key"].alias("page_key"))), 1))
-    names = F.array_sort(F.array_distinct(F.transform("best", lambda s: s["bucket"])))
-    counts = F.transform(names, lambda b: F.struct(b.alias("bucket"), F.size(F.filter("best", lambda s: s["bucket"] == b)).alias("n")))
-    return docs.select("doc_id", selected.alias("selected"), dropped.alias("dropped"), warnings.alias("warnings"), counts.alias("bucket_counts"))
+    pick = lambda s: F.struct(s["pos"].alias("pos"), s["region_id"].alias("region_id"), s["bucket"].alias("bucket"), s["page_key"].alias("page_key"))
+    selected = F.transform(done["picks"], lambda p: F.element_at(F.transform(F.filter(best, lambda s: s["pos"] == p), pick), 1))
+    names = F.array_sort(F.array_distinct(F.transform(best, lambda s: s["bucket"])))
+    counts = F.transform(names, lambda b: F.struct(b.alias("bucket"), F.size(F.filter(best, lambda s: s["bucket"] == b)).alias("n")))
+    return F.struct(selected.alias("selected"), dropped.alias("dropped"), warnings.alias("warnings"), counts.alias("bucket_counts"))
 
 
 def planned_tasks(plans: DataFrame) -> DataFrame:
