@@ -1,6 +1,7 @@
 """Retrieval: lexical and semantic rankings, rank fusion, dedupe, evaluation."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ def numbered(hits: DataFrame, limit: int, *order: Column, digits: int = 6) -> Da
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings (bucket, term, id, chunk, tf, dl), a folder a bucket and sorted by term, and the statistics (n, avgdl) of all chunks."""
+    """Postings (bucket, term, id, chunk, tf, dl, positions), a folder a bucket and sorted by term, and the statistics (n, avgdl) of all chunks."""
 
     postings: DataFrame
     chunks: int
@@ -38,9 +39,10 @@ class LexicalIndex:
 def build_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """Writes the inverted index of chunks (id, chunk, text): one pass, one shuffle by bucket and a salt, so a frequent term is spread."""
     split = chunks.select("id", "chunk", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    counted = split.select("id", "chunk", "dl", F.explode("t").alias("term")).groupBy("id", "chunk", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    placed = split.select("id", "chunk", "dl", F.posexplode("t").alias("at", "term")).groupBy("id", "chunk", "dl", "term")
+    counted = placed.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
     dealt = counted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).repartition("bucket", F.pmod(F.hash("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
-    dealt.select("bucket", "term", "id", "chunk", "tf", "dl").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    dealt.select("bucket", "term", "id", "chunk", "tf", "dl", "positions").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
@@ -66,13 +68,49 @@ def bm25(index: LexicalIndex, terms: list[str], limit: int, allowed: DataFrame |
     return numbered(rows.select("id", "chunk", score.alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
 
 
-def all_terms(chunks: DataFrame, query: str, limit: int) -> DataFrame:
-    """The fallback: all terms, or the query as a substring; score is the number of term occurrences by length."""
-    terms = sorted(set(query.lower().split()))
-    t = F.col("t")
-    hit = chunks.withColumn("t", tokens(F.col("text"))).filter((F.size(F.array_except(F.array(*map(F.lit, terms)), t)) == 0) | F.contains(F.lower("text"), F.lit(query.lower())))
-    n = F.size(F.filter(t, lambda x: x.isin(*terms)))
-    return numbered(hit.select("id", "chunk", (n / (1 + F.size(t))).alias("score")), limit, F.desc("score"), F.col("id"), F.col("chunk"))
+def cover_density(occurrences: Column, terms: int) -> Column:
+    """Sum over the minimal covers of all terms: 0.1 / (1 + positions in the cover that hold none of them).
+
+    occurrences: array of structs (at, term), sorted; term is a number from 0.  A cover ends where an occurrence completes the terms
+    and no earlier end would do from its start, that is, where the term's occurrence before lies in front of the start."""
+    far = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("i"))
+    state = F.struct(F.array_repeat(far, terms).alias("last"), F.lit(0).alias("i"), F.lit(0.0).alias("score"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.transform(acc["last"], lambda v, k: F.when(k == x["term"], F.struct(x["at"].alias("at"), acc["i"].alias("i"))).otherwise(v))
+        start = F.array_min(last)  # -1 as long as a term is missing
+        before = F.get(acc["last"], x["term"])["at"]
+        others = x["at"] - start["at"] - (acc["i"] - start["i"])
+        covers = (start["at"] >= 0) & (before < start["at"])
+        return F.struct(last.alias("last"), (acc["i"] + 1).alias("i"), (acc["score"] + F.when(covers, F.lit(0.1) / (1 + others)).otherwise(0.0)).alias("score"))
+
+    return F.aggregate(occurrences, state, step, lambda acc: acc["score"])
+
+
+def covers(index: LexicalIndex, terms: list[str], allowed: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """(id, chunk, score) of the chunks that hold all terms, by cover density; only the terms' folders are read."""
+    own = [F.pmod(F.hash(F.lit(t)), F.lit(buckets)) for t in terms]
+    hits = index.postings.filter(F.col("bucket").isin(*own) & F.col("term").isin(*terms))
+    if allowed is not None:
+        hits = hits.join(allowed.select("id"), "id", "left_semi")
+    number = F.array_position(F.array(*map(F.lit, terms)), F.col("term")).cast("int") - 1
+    places = F.transform("positions", lambda p: F.struct(p.alias("at"), number.alias("term")))
+    all_of = hits.groupBy("id", "chunk").agg(F.count("*").alias("n"), F.sort_array(F.flatten(F.collect_list(places))).alias("o")).filter(F.col("n") == len(terms))
+    return all_of.select("id", "chunk", F.round(cover_density(F.col("o"), len(terms)), 12).alias("score"))
+
+
+def lexical_fallback(index: LexicalIndex, chunks: DataFrame, query: str, limit: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Chunks that hold all terms of the query, or the query as a pattern (% and _ are wildcards); the latter alone score 0.
+
+    The ranking by covers reads the index; the pattern needs a scan of the texts."""
+    terms = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    like = chunks.filter(F.col("text").ilike(f"%{query}%"))
+    if allowed is not None:
+        like = like.join(allowed.select("id"), "id", "left_semi")
+    hits = like.select("id", "chunk", F.lit(0.0).alias("score"))
+    if terms:
+        hits = hits.unionByName(covers(index, terms, allowed)).groupBy("id", "chunk").agg(F.max("score").alias("score"))
+    return numbered(hits, limit, F.desc("score"), F.col("id"), F.col("chunk"))
 
 
 def dot(x: Column, y: Column) -> Column:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import filters, search
+from foliospark.operators import ann, filters, search
 from foliospark.sources.state import new_path
 from foliospark.sources.tables import SQL, documents, due_days, folders, relations, table, tags, totals
 
@@ -82,6 +82,35 @@ def _vectors(spark, d):
     return unit_index(spark, d), [float(x) for x in query[0]["embedding"]]
 
 
+_ANN: dict[tuple[str, str], str] = {}
+
+
+def ann_index(spark, d):
+    """The approximate index of a collection's vectors; written once a session, in the shared folder."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _ANN:
+        path = new_path(spark, "ann")
+        ann.write_index(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("chunk"), "embedding"), path)
+        _ANN[key] = path
+    return ann.open_index(spark, _ANN[key])
+
+
+def ann_topk(spark, d):
+    """Nearest vectors of the probed lists."""
+    return ann.nearest(ann_index(spark, d), _vectors(spark, d)[1], 40)
+
+
+def ann_exact_topk(spark, d):
+    """The same index, all lists."""
+    return ann.nearest(ann_index(spark, d), _vectors(spark, d)[1], 40, probes=0)
+
+
+def ann_recall(spark, d):
+    """Recall of the probed lists for vectors of the collection that are asked again."""
+    index = ann_index(spark, d)
+    return ann.recall(index, index.units.select(F.col("id").alias("query"), "unit").orderBy(F.xxhash64("query")).limit(50))
+
+
 def _semantic_sql(limit: int) -> str:
     return f"""sv AS (SELECT e.vec_id AS id, 0 AS chunk, round(greatest(0, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 12) AS score
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
@@ -188,7 +217,10 @@ QUERIES = {
     "document_paging": lambda s, d: filters.page_of(documents(s, d), 40, 20).select("id", "document_date"),
     "page_chunks": lambda s, d: chunks(s, d).select("id", "chunk", F.greatest(F.size(F.split(F.trim("text"), " +")), F.lit(1)).alias("token_count")),
     "bm25_lexical": bm25_lexical,
-    "lexical_fallback": lambda s, d: search.all_terms(chunks(s, d), "the and of", 30),
+    "lexical_fallback": lambda s, d: search.lexical_fallback(lexical_index(s, d), chunks(s, d), "the and of", 30),
+    "ann_topk": ann_topk,
+    "ann_exact_topk": ann_exact_topk,
+    "ann_recall": ann_recall,
     "semantic_topk": semantic_topk,
     "hybrid_rrf": hybrid_rrf,
     "single_mode_dedupe": lambda s, d: search.first_per_document(bm25_lexical(s, d), 15),
@@ -226,9 +258,14 @@ ORACLES = {
     fu AS (SELECT id, round(sum(term), 12) AS raw, arg_min(chunk, source * 1000 + rank) AS chunk, arg_min(chunk, (1 - source) * 1000 + rank) AS shown_chunk, max(CASE WHEN source = 0 THEN 1 END) AS l, max(CASE WHEN source = 1 THEN 1 END) AS m FROM al GROUP BY id)
     SELECT CAST(row_number() OVER (ORDER BY raw DESC, fu.id) AS INT) AS rank, fu.id, round(raw, 6) AS score, fu.chunk, shown_chunk, regexp_replace(left(text, 240), '</?b>', '', 'g') AS source_text, concat_ws('+', CASE WHEN l = 1 THEN 'lexical' END, CASE WHEN m = 1 THEN 'semantic' END) AS modalities,
     CASE WHEN ch.chunk % 2 = 0 THEN 'page ' || (ch.chunk + 1) END AS evidence FROM fu LEFT JOIN ch ON ch.id = fu.id AND ch.chunk = shown_chunk QUALIFY rank <= 10""",
-    "lexical_fallback": f"""WITH {CHUNKS}, tk AS (SELECT id, chunk, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM ch),
-    sc AS (SELECT id, CAST(chunk AS INT) AS chunk, len(list_filter(t, lambda x: x IN ('the', 'and', 'of'))) / (1 + len(t)) AS score FROM tk WHERE list_has_all(t, ['the', 'and', 'of']) OR contains(lower(text), 'the and of'))
-    SELECT id, chunk, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY sc.score DESC, id, chunk) AS INT) AS rank FROM sc QUALIFY rank <= 30""",
+    "lexical_fallback": f"""WITH {CHUNKS}, tk AS (SELECT id, chunk, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT id, chunk, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM ch)),
+    o AS (SELECT *, row_number() OVER w AS i, lag(pos) OVER (PARTITION BY id, chunk, term ORDER BY pos) AS before, max(CASE WHEN term = 'the' THEN pos END) OVER w AS a, max(CASE WHEN term = 'and' THEN pos END) OVER w AS b, max(CASE WHEN term = 'of' THEN pos END) OVER w AS c
+        FROM tk WHERE term IN ('the', 'and', 'of') WINDOW w AS (PARTITION BY id, chunk ORDER BY pos)),
+    cv AS (SELECT o.id, o.chunk, o.pos, o.i, least(a, b, c) AS start FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND coalesce(before, -1) < least(a, b, c)),
+    de AS (SELECT cv.id, cv.chunk, round(sum(0.1::DOUBLE / (1 + cv.pos - cv.start - (cv.i - o.i))), 12) AS score FROM cv JOIN o ON o.id = cv.id AND o.chunk = cv.chunk AND o.pos = cv.start GROUP BY ALL),
+    sc AS (SELECT id, chunk, coalesce(de.score, 0) AS score FROM de FULL JOIN (SELECT id, chunk FROM ch WHERE text ILIKE '%the and of%') li USING (id, chunk))
+    SELECT id, CAST(chunk AS INT) AS chunk, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY sc.score DESC, id, chunk) AS INT) AS rank FROM sc QUALIFY rank <= 30""",
+    "ann_exact_topk": f"WITH {_semantic_sql(40)} SELECT * FROM semantic",
     "semantic_topk": f"WITH {_semantic_sql(40)} SELECT * FROM semantic",
     "hybrid_rrf": f"""WITH {_bm25_sql(40)}, {_semantic_sql(40)},
     al AS (SELECT id, CAST(chunk AS INT) AS chunk, rank, 0 AS source, 1.0::DOUBLE / (60 + rank) AS term FROM lexical UNION ALL SELECT id, chunk, rank, 1, 1.2::DOUBLE / (60 + rank) FROM semantic),
