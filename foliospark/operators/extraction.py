@@ -1,10 +1,13 @@
 """From parsed documents to facts: parse trees, anchors and families, lanes, keys and values, row gates, geometry, payload safety."""
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from foliospark.functions import text as T
@@ -29,7 +32,8 @@ TARGETS = ("receipt", "invoice", "medical_eob")
 DIFFICULT = ("handwriting", "missing_text_layer", "low_text_density", "low_ocr_confidence", "degraded_scan")
 # Keys that a job's payload must not hold, and what is hidden in reports.
 SECRETS = ("password", "secret", "token", "api_key", "authorization", "cookie", "credential")
-HIDDEN = ("object_uri", "objecturi", "path", "prompt", "raw_output", "raw_text", "response", "text", "uri", "url")
+HIDDEN = ("answer", "content", "data", "data_url", "image", "image_path", "input", "messages", "object_uri", "objecturi", "path", "prompt", "raw_output", "raw_text", "response", "text", "uri", "url")
+HIDDEN_VALUES = ("data:", "filesystem://", "/srv/")
 
 
 def phrase(text: Column, *phrases: str) -> Column:
@@ -198,7 +202,25 @@ def holds_secret(json: Column) -> Column:
     return F.coalesce(json.rlike(r'(?i)"(' + "|".join(SECRETS) + r')"\s*:'), F.lit(False))
 
 
-def redacted(json: Column) -> Column:
-    """A flat object without the values that reports hide: by their key, or as data, file and service addresses."""
-    hide = lambda k, v: F.replace(F.lower(k), F.lit("-"), F.lit("_")).rlike("|".join(HIDDEN)) | v.rlike("^(data:|filesystem://|/srv/)")
-    return F.to_json(F.transform_values(F.from_json(json, "map<string,string>"), lambda k, v: F.when(hide(k, v), "[redacted]").otherwise(v)))
+def _shown(value: object) -> object:
+    """The value without what reports hide, at any depth: whole values by their key, texts by how they begin."""
+    if isinstance(value, dict):
+        return {k: "[redacted]" if any(h in k.replace("-", "_").casefold() for h in HIDDEN) else _shown(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_shown(v) for v in value]
+    return "[redacted]" if isinstance(value, str) and value.startswith(HIDDEN_VALUES) else value
+
+
+@F.pandas_udf(StringType())
+def redacted(payloads: pd.Series) -> pd.Series:
+    """JSON of any shape without what reports hide; what is no JSON, or nested beyond the parser, is hidden whole; null stays null."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(_shown(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return '"[redacted]"'
+
+    return payloads.map(one, na_action="ignore")

@@ -61,15 +61,14 @@ def relationship_suggestions(docs: DataFrame, days: int = 45, context: int = 100
     """docs: id, family, contact, day, sha.  (a, b, kind, confidence): copies by content (0.99), else documents of one contact whose
     families relate, 0.86 if their days are near and 0.78 if not or unknown.
 
-    Copies are linked to the smallest id of their content.  A document looks at the `context` latest documents of its contact, so a
-    frequent contact gives no quadratic number of pairs.  Each unordered pair comes once, under the first of its two directed rules."""
+    Copies are linked to the smallest id of their content.  Each rule reads from a document to its counterpart, so an invoice and a receipt give
+    `invoice_for` one way and `receipt_for` the other; of two documents of one family the pair comes once.
+
+    The rule looks at the `context` latest documents of a contact: a pair needs one of them.  That limit is the feature's own, and it
+    keeps a frequent contact from giving a quadratic number of pairs."""
     first = docs.filter("sha IS NOT NULL").groupBy(F.col("sha").alias("_sha")).agg(F.min("id").alias("a"))
     copies = docs.join(first, (F.col("sha") == F.col("_sha")) & (F.col("id") > F.col("a"))).select("a", F.col("id").alias("b"), F.lit("duplicate_of").alias("kind"), F.lit(0.99).alias("confidence"))
-    seen: dict[tuple[str, str], str] = {}
-    for x, y, kind in FAMILY_LINKS:
-        if (y, x) not in seen:
-            seen[x, y] = kind
-    link = docs.sparkSession.createDataFrame([(x, y, k) for (x, y), k in seen.items()], "family string, b_family string, kind string")
+    link = docs.sparkSession.createDataFrame(list(FAMILY_LINKS), "family string, b_family string, kind string")
     latest = Window.partitionBy("contact").orderBy(F.col("day").desc_nulls_last(), "id")
     recent = docs.filter("contact IS NOT NULL").withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= context).drop("_n")
     named = lambda df: df.select(F.col("id").alias("b"), F.col("contact").alias("b_contact"), F.col("family").alias("b_family"), F.col("day").alias("b_day"), F.col("sha").alias("b_sha"))

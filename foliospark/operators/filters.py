@@ -32,8 +32,8 @@ def writable(docs: DataFrame, user: int, role: str = "member") -> DataFrame:
 
 
 def writable_folders(folders: DataFrame, user: int) -> DataFrame:
-    """Folders that the user may file into: shared, their own, or granted to them."""
-    return folders.filter(F.col("shared") | (F.col("folder_owner") == user) | F.array_contains("grants", F.lit(user).cast("long"))).select("folder")
+    """Folders that the user may file into: shared, their own, or granted to them at a level that writes; a grant to read is not enough."""
+    return folders.filter(F.col("shared") | (F.col("folder_owner") == user) | F.coalesce(F.array_contains("writers", F.lit(user).cast("long")), F.lit(False))).select("folder")
 
 
 @dataclass(frozen=True)
@@ -162,11 +162,15 @@ def _given(df: DataFrame | None, name: str) -> DataFrame:
 
 def facets(docs: DataFrame, related: Related, top: int = 20) -> DataFrame:
     """(facet, value, total): the eight facets of the filtered documents, each value with its number of documents; months newest first, 24 of
-    them, others by number, `top` of each.  Bridges count a document once."""
+    them, others by number, `top` of each.  Bridges count a document once; a relationship counts only if its other document is in
+    `related.visible`, where that is given."""
     ids = docs.select("id")
     own = docs.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("families", "folders", "reviewStatus", "sensitivity", "months"))), F.array("family", "folder", "review_status", "sensitivity", F.date_format("document_date", "yyyy-MM")))).alias("facet", "value"), "id")
     bridge = lambda name, df, value: df.join(ids, "id", "left_semi").select(F.lit(name).alias("facet"), value.alias("value"), "id").distinct()
-    edges = _given(related.edges, "edges").filter("status <> 'rejected'").select("kind", F.explode(F.array("a", "b")).alias("id"))
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+    edges = _given(related.edges, "edges").filter("status <> 'rejected'").select("kind", F.explode(ends).alias("e")).select("kind", "e.*")
+    if related.visible is not None:
+        edges = edges.join(related.visible.select(F.col("id").alias("other")), "other", "left_semi")
     open_ = _given(related.deadlines, "deadlines").filter(F.col("status").isin(*OPEN_DEADLINES))
     rows = own.unionByName(bridge("tags", _given(related.tags, "tags"), F.col("tag"))).unionByName(bridge("relationshipTypes", edges, F.col("kind"))).unionByName(bridge("deadlineTypes", open_, F.col("kind")))
     counted = rows.filter("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("total"))

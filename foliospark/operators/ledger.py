@@ -9,12 +9,16 @@ from foliospark.functions.text import failure_code, retry_delay
 
 
 def recovered(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs with expired leases back in the queue, or dead if no attempt is left.  jobs without lease_until have no leases."""
+    """Running jobs whose lease is over fail and are due at once, or are dead if no attempt is left.  jobs without lease_until have no leases."""
     if "lease_until" not in jobs.columns:
         return jobs
-    lost = (F.col("status") == "running") & (F.col("lease_until") < now)
-    status = F.when(lost, F.when(F.col("attempts") >= F.col("max_attempts"), "dead_letter").otherwise("queued")).otherwise(F.col("status"))
-    return jobs.withColumns({"status": status, "lease_until": F.when(~F.coalesce(lost, F.lit(False)), F.col("lease_until"))})
+    lost = F.coalesce((F.col("status") == "running") & (F.col("lease_until") <= now), F.lit(False))
+    dead = F.col("attempts") >= F.col("max_attempts")
+    return jobs.withColumns({
+        "status": F.when(lost & dead, "dead_letter").when(lost, "failed").otherwise(F.col("status")),
+        "scheduled_at": F.when(lost & ~dead, now).otherwise(F.col("scheduled_at")),
+        "lease_until": F.when(~lost, F.col("lease_until")),
+    })
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:
@@ -25,34 +29,55 @@ def claimable(jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def after_failure(jobs: DataFrame, error_class: Column | None = None, retryable: Column | None = None) -> DataFrame:
-    """Failed jobs with their next status, delay and failure code: dead_letter without attempts left or if no retry helps, else queued again
-    after the back-off."""
-    dead = F.col("attempts") + 1 >= F.col("max_attempts")
+    """Jobs whose run has just failed, with their next status, delay and failure code.  attempts counts that run: a claim has added it.
+
+    Without attempts left, or if no retry helps, a job is dead; else it is failed and due after the back-off; a cancelled one stays so."""
+    dead = F.col("attempts") >= F.col("max_attempts")
     if retryable is not None:
         dead = dead | ~retryable
     error = F.lit(None).cast("string") if error_class is None else error_class
     code = failure_code(F.col("queue"), F.col("job_type"), error)
-    return jobs.filter("status = 'failed'").select("job_id", "attempts", F.when(dead, "dead_letter").otherwise("queued").alias("next_status"), F.when(dead, 0).otherwise(retry_delay(F.col("attempts") + 1)).alias("delay_seconds"), code.alias("failure_code"))
-
-
-def cancelled(jobs: DataFrame, *, queues: tuple[str, ...] = (), statuses: tuple[str, ...] = (), title_prefix: str | None = None, running: bool = False) -> DataFrame:
-    """The ledger after a bulk cancel.  A selector is needed; running jobs are left unless `running`; finished ones always."""
-    if not (queues or statuses or title_prefix):
-        raise ValueError("a selector is needed")
-    hit = F.col("status").isin("queued", "failed", *(["running"] if running else []))
-    if queues:
-        hit = hit & F.col("queue").isin(*queues)
-    if statuses:
-        hit = hit & F.col("status").isin(*statuses)
+    status = F.when(F.col("status") == "cancelled", "cancelled").when(dead, "dead_letter").otherwise("failed")
+    return jobs.select("job_id", "attempts", status.alias("next_status"), F.when(status == "failed", retry_delay(F.col("attempts"))).otherwise(0).alias("delay_seconds"), F.when(status != "cancelled", code).alias("failure_code"))
+
+
+CANCELLABLE = ("queued", "failed")
+
+
+def cancelled(
+    jobs: DataFrame, *, job_ids: tuple[int, ...] = (), document_ids: tuple[int, ...] = (), title_prefix: str | None = None, queues: tuple[str, ...] = (), statuses: tuple[str, ...] = CANCELLABLE, running: bool = False, most: int = 250
+) -> DataFrame:
+    """The ledger after a bulk cancel of at most `most` jobs, by priority and schedule.
+
+    A selector is needed: ids of jobs or documents, or how titles begin (any case); queues and statuses only narrow it.  Running jobs are
+    cancelled with `running` alone; finished ones never."""
+    if not (job_ids or document_ids or title_prefix):
+        raise ValueError("a bulk cancel needs job_ids, document_ids or title_prefix")
+    wanted = set(statuses or CANCELLABLE) | ({"running", "leased"} if running else set())
+    if wanted & {"running", "leased"} and not running:
+        raise ValueError("running jobs need running=True")
+    if wanted - {"queued", "failed", "running", "leased"}:
+        raise ValueError(f"no status that can be cancelled: {sorted(wanted - {'queued', 'failed', 'running', 'leased'})}")
+    hit = F.col("status").isin(*wanted)
+    for column, values in (("job_id", job_ids), ("document_id", document_ids), ("queue", queues)):
+        if values:
+            hit = hit & F.col(column).isin(*values)
     if title_prefix:
-        hit = hit & F.startswith(F.lower("title"), F.lit(title_prefix.lower()))
-    return jobs.withColumn("status", F.when(hit, "cancelled").otherwise(F.col("status")))
+        hit = hit & F.col("title").ilike(title_prefix + "%")
+    chosen = jobs.filter(hit).orderBy(F.desc("priority"), "scheduled_at", "job_id").limit(most).select(F.col("job_id").alias("_id"))
+    return jobs.join(chosen, F.col("job_id") == F.col("_id"), "left").withColumn("status", F.when(F.col("_id").isNotNull(), "cancelled").otherwise(F.col("status"))).drop("_id")
 
 
 def retried(jobs: DataFrame, now: Column, statuses: tuple[str, ...] = ("failed", "dead_letter", "cancelled")) -> DataFrame:
-    """The ledger after a bulk retry: the chosen jobs are queued anew, without attempts, at once."""
+    """The ledger after a bulk retry: jobs of the statuses, and running ones whose lease is over, are queued anew, without attempts, at once."""
     hit = F.col("status").isin(*statuses)
-    return jobs.withColumns({"status": F.when(hit, "queued").otherwise(F.col("status")), "attempts": F.when(hit, 0).otherwise(F.col("attempts")), "scheduled_at": F.when(hit, now).otherwise(F.col("scheduled_at"))})
+    changes = {"attempts": F.lit(0), "scheduled_at": now}
+    if "lease_until" in jobs.columns:
+        hit = hit | F.coalesce((F.col("status") == "running") & (F.col("lease_until") <= now), F.lit(False))
+        changes["lease_until"] = F.lit(None).cast("timestamp")
+    marked = jobs.withColumn("_hit", hit)
+    out = marked.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in changes.items()} | {"status": F.when(F.col("_hit"), "queued").otherwise(F.col("status"))})
+    return out.drop("_hit")
 
 
 def health(jobs: DataFrame, now: Column, timeouts: tuple[str, ...] = ()) -> DataFrame:

@@ -94,7 +94,7 @@ def boxes(s, d):
 def payload_safety(s, d):
     e = table(s, d, "events")
     k = F.col("event_id") % 5
-    j = F.when(k == 0, '{"a": {"API_KEY": "x"}}').when(k == 1, '{"object-uri": "q", "n": "1"}').when(k == 2, '{"where": "filesystem://a/b", "n": "2"}').when(k == 3, '{"tokens": "3"}').otherwise(F.col("props"))
+    j = F.when(k == 0, '{"a": {"API_KEY": "x"}}').when(k == 1, '{"object-uri": "q", "n": "1"}').when(k == 2, '{"where": "filesystem://a/b", "n": "2"}').when(k == 3, F.concat(F.lit('{"outer": {"Prompt-1": {"a": 1}, "list": [{"messages": [], "n": 1.5}, "data:x", '), F.col("props"), F.lit(']}}'))).otherwise(F.col("props"))
     return e.select("event_id", X.holds_secret(j).alias("secret"), F.when(k != 0, X.redacted(j)).alias("shown"))
 
 
@@ -152,7 +152,7 @@ ORACLES = {
     "boxes": """WITH x AS (SELECT *, l_partkey AS p, l_suppkey AS q FROM lineitem WHERE l_partkey % 4 < 2), t AS (SELECT *, least(1.0, sqrt(200000.0 / ((p + 100.0) * (q * 10 + 50.0)))) AS sc FROM x)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (1000.0 - (q + 10))::DOUBLE AS top, greatest(0, p - 15) || ',' || greatest(0, q - 15) || ',' || least(600, p + 35) || ',' || least(60, q + 25) AS grown, round(greatest(0, least(p + 20, 400) - greatest(p, 100)) * greatest(0, least(q + 10, 50) - greatest(q, 0)) / 200.0, 6)::DOUBLE AS overlap,
     CAST(least(greatest(1, ceil(round_even((p + 100) * sc, 0) / 28)) * greatest(1, ceil(round_even((q * 10 + 50) * sc, 0) / 28)), 255) AS BIGINT) AS tokens FROM t""",
-    "payload_safety": """SELECT event_id, event_id % 5 = 0 AS secret, CASE event_id % 5 WHEN 1 THEN '{"object-uri":"[redacted]","n":"1"}' WHEN 2 THEN '{"where":"[redacted]","n":"2"}' WHEN 3 THEN '{"tokens":"3"}' WHEN 4 THEN '{"k":"' || regexp_extract(props, '[0-9]+') || '"}' END AS shown FROM events""",
+    "payload_safety": """SELECT event_id, event_id % 5 = 0 AS secret, CASE event_id % 5 WHEN 1 THEN '{"object-uri":"[redacted]","n":"1"}' WHEN 2 THEN '{"where":"[redacted]","n":"2"}' WHEN 3 THEN '{"outer":{"Prompt-1":"[redacted]","list":[{"messages":"[redacted]","n":1.5},"[redacted]",' || replace(props, ' ', '') || ']}}' WHEN 4 THEN replace(props, ' ', '') END AS shown FROM events""",
     "aggregate_triggers": f"""WITH {SQL['jobs']}, j AS (SELECT job_id % 5000 AS document, CASE WHEN job_id = max(job_id) OVER (PARTITION BY job_id % 5000) THEN 'succeeded' ELSE status END AS status FROM jobs)
     SELECT document, count(*) FILTER (WHERE status = 'succeeded') AS done, count(*) AS regions, round(count(*) FILTER (WHERE status = 'succeeded') / count(*), 4)::DOUBLE AS coverage, count(*) FILTER (WHERE status = 'succeeded') < count(*) AS needs_review FROM j GROUP BY 1 HAVING count(*) FILTER (WHERE status IN ('queued', 'running')) = 0""",
     "analysis_intake": """WITH g AS (SELECT l_orderkey AS id, count(*) FILTER (WHERE l_returnflag = 'N') AS a, count(*) FILTER (WHERE l_returnflag = 'N' AND l_partkey % 5 <> 0) AS e, count(*) FILTER (WHERE l_returnflag = 'R') AS p FROM lineitem GROUP BY 1)

@@ -214,9 +214,9 @@ ORACLES = {
     WHERE NOT EXISTS (SELECT 1 FROM docs h WHERE h.review_status = 'needs_review' AND h.folder = b.folder AND h.family = b.family)""",
     "relationship_suggestions": f"""WITH {_O}, d AS (SELECT id, ['invoice', 'receipt', 'medical_eob', 'medical_bill', 'warranty'][id % 5 + 1] AS family, o_custkey AS contact, CAST(o_orderdate AS DATE) AS day, sha256(o_custkey || '/' || CAST(floor(total / 40000) AS BIGINT)) AS sha FROM o),
     n AS (SELECT *, row_number() OVER (PARTITION BY contact ORDER BY day DESC, id) <= 100 AS recent FROM d),
-    k AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.family = 'invoice' AND b.family = 'receipt' THEN 'invoice_for' WHEN a.family = 'medical_eob' AND b.family = 'medical_bill' THEN 'eob_for' WHEN a.family = 'warranty' AND b.family = 'receipt' THEN 'warranty_for' END AS kind,
-        CASE WHEN abs(a.day - b.day) <= 45 THEN 0.86 ELSE 0.78 END::DOUBLE AS confidence FROM n a JOIN n b ON a.contact = b.contact AND a.id <> b.id AND a.sha <> b.sha AND (a.recent OR b.recent))
-    SELECT first AS a, id AS b, 'duplicate_of' AS kind, 0.99::DOUBLE AS confidence FROM (SELECT id, min(id) OVER (PARTITION BY sha) AS first FROM d) WHERE id > first UNION ALL SELECT * FROM k WHERE kind IS NOT NULL""",
+    ru AS (SELECT * FROM (VALUES ('invoice', 'receipt', 'invoice_for'), ('receipt', 'invoice', 'receipt_for'), ('medical_eob', 'medical_bill', 'eob_for'), ('medical_bill', 'medical_eob', 'bill_for'), ('warranty', 'receipt', 'warranty_for'), ('receipt', 'warranty', 'receipt_for')) v(x, y, kind)),
+    k AS (SELECT a.id AS a, b.id AS b, kind, CASE WHEN abs(a.day - b.day) <= 45 THEN 0.86 ELSE 0.78 END::DOUBLE AS confidence FROM n a JOIN ru ON a.family = x JOIN n b ON b.family = y AND a.contact = b.contact AND a.sha <> b.sha AND (a.recent OR b.recent))
+    SELECT first AS a, id AS b, 'duplicate_of' AS kind, 0.99::DOUBLE AS confidence FROM (SELECT id, min(id) OVER (PARTITION BY sha) AS first FROM d) WHERE id > first UNION ALL SELECT * FROM k""",
     "contact_merge": r"""WITH c AS (SELECT c_custkey, c_nationkey, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(c_name, '[0-9]{3}$', ''))), '[^\p{L}\p{N}_]+', ' ', 'g'), ' +', ' ', 'g')) AS name FROM customer)
     SELECT c_custkey, first AS "into", name FROM (SELECT *, min(c_custkey) OVER (PARTITION BY name, c_nationkey) AS first FROM c) WHERE first <> c_custkey""",
     "undirected_edge_count": "SELECT id, count(*) AS edges, count(DISTINCT other) AS neighbours FROM (SELECT l_partkey AS id, l_suppkey AS other FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem) GROUP BY id",

@@ -20,7 +20,7 @@ def _leased(s, d):
 
 def job_failures(s, d):
     error = F.when(F.col("job_id") % 3 == 0, "ModelTimeoutError").otherwise("ParseError")
-    return ledger.after_failure(jobs(s, d), error, F.col("job_id") % 5 != 0)
+    return ledger.after_failure(jobs(s, d).filter("status IN ('running', 'failed')"), error, F.col("job_id") % 5 != 0)
 
 
 def bulk_changes(s, d):
@@ -81,7 +81,7 @@ QUERIES = {
     "job_claim_order": lambda s, d: ledger.claimable(_leased(s, d), _now()).select("queue", "job_id", "priority"),
     "job_failures": job_failures,
     "bulk_changes": bulk_changes,
-    "job_retry_schedule": lambda s, d: ledger.after_failure(jobs(s, d)).drop("failure_code"),
+    "job_retry_schedule": lambda s, d: ledger.after_failure(jobs(s, d).filter("status = 'failed'")).drop("failure_code"),
     "queue_health": lambda s, d: ledger.health(jobs(s, d), _now(), ("t0",)),
     "latest_health": lambda s, d: ledger.latest(jobs(s, d), "queue", F.desc("scheduled_at"), F.desc("job_id")).select("queue", "job_id", "status"),
     "job_rollup": job_rollup,
@@ -95,12 +95,16 @@ QUERIES = {
 }
 
 ORACLES = {
-    "job_failures": f"""{JOBS}, x AS (SELECT *, attempts + 1 >= max_attempts OR job_id % 5 = 0 AS dead FROM jobs WHERE status = 'failed') SELECT job_id, attempts, CASE WHEN dead THEN 'dead_letter' ELSE 'queued' END AS next_status, CASE WHEN dead THEN 0 ELSE [30, 60, 120, 240][attempts + 1] END AS delay_seconds,
+    "job_failures": f"""{JOBS}, x AS (SELECT *, attempts >= max_attempts OR job_id % 5 = 0 AS dead FROM jobs WHERE status IN ('running', 'failed'))
+    SELECT job_id, attempts, CASE WHEN dead THEN 'dead_letter' ELSE 'failed' END AS next_status, CASE WHEN dead THEN 0 ELSE [30, 30, 60, 120][attempts + 1] END AS delay_seconds,
     queue || '_' || CASE WHEN job_id % 3 = 0 THEN 'model_timeout' ELSE 'parse_error' END AS failure_code FROM x""",
-    "bulk_changes": f"""{JOBS}, c AS (SELECT *, CASE WHEN status IN ('queued', 'failed', 'running') AND queue IN ('q1', 'q2') AND job_type = 't1' THEN 'cancelled' ELSE status END AS s FROM jobs)
-    SELECT job_id, CASE s WHEN 'dead_letter' THEN 'queued' ELSE s END AS status, CASE s WHEN 'dead_letter' THEN 0 ELSE attempts END AS attempts, CAST(floor(epoch(CASE s WHEN 'dead_letter' THEN TIMESTAMP '{NOW}' ELSE scheduled_at END)) AS BIGINT) AS scheduled FROM c""",
-    "job_claim_order": f"{JOBS}, back AS (SELECT * REPLACE (CASE WHEN status = 'running' AND scheduled_at + INTERVAL 1 HOUR < TIMESTAMP '{NOW}' AND attempts < max_attempts THEN 'queued' ELSE status END AS status) FROM jobs) SELECT queue, job_id, priority FROM back WHERE status IN ('queued', 'failed') AND scheduled_at <= TIMESTAMP '{NOW}' AND attempts < max_attempts QUALIFY row_number() OVER (PARTITION BY queue ORDER BY priority DESC, scheduled_at, job_id) = 1",
-    "job_retry_schedule": f"{JOBS} SELECT job_id, attempts, CASE WHEN attempts + 1 >= max_attempts THEN 'dead_letter' ELSE 'queued' END AS next_status, CASE WHEN attempts + 1 < max_attempts THEN CAST(least(3600, 30 * pow(2, attempts)) AS INT) ELSE 0 END AS delay_seconds FROM jobs WHERE status = 'failed'",
+    "bulk_changes": f"""{JOBS}, k AS (SELECT job_id FROM jobs WHERE status IN ('queued', 'failed', 'running') AND queue IN ('q1', 'q2') AND job_type = 't1' ORDER BY priority DESC, scheduled_at, job_id LIMIT 250),
+    c AS (SELECT *, job_id IN (FROM k) AS stopped FROM jobs), h AS (SELECT *, NOT stopped AND (status = 'dead_letter' OR (status = 'running' AND scheduled_at + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}')) AS again FROM c)
+    SELECT job_id, CASE WHEN stopped THEN 'cancelled' WHEN again THEN 'queued' ELSE status END AS status, CASE WHEN again THEN 0 ELSE attempts END AS attempts, CAST(floor(epoch(CASE WHEN again THEN TIMESTAMP '{NOW}' ELSE scheduled_at END)) AS BIGINT) AS scheduled FROM h""",
+    "job_claim_order": f"""{JOBS}, e AS (SELECT *, status = 'running' AND scheduled_at + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}' AS over FROM jobs),
+    back AS (SELECT queue, job_id, priority, CASE WHEN over THEN TIMESTAMP '{NOW}' ELSE scheduled_at END AS due FROM e WHERE attempts < max_attempts AND (over OR status IN ('queued', 'failed')))
+    SELECT queue, job_id, priority FROM back WHERE due <= TIMESTAMP '{NOW}' QUALIFY row_number() OVER (PARTITION BY queue ORDER BY priority DESC, due, job_id) = 1""",
+    "job_retry_schedule": f"{JOBS} SELECT job_id, attempts, CASE WHEN attempts >= max_attempts THEN 'dead_letter' ELSE 'failed' END AS next_status, CASE WHEN attempts < max_attempts THEN [30, 30, 60][attempts + 1] ELSE 0 END AS delay_seconds FROM jobs WHERE status = 'failed'",
     "queue_health": f"""{JOBS} SELECT queue, CAST(floor(epoch(max(CASE WHEN status = 'succeeded' THEN scheduled_at END))) AS BIGINT) AS last_success, count(*) FILTER (WHERE status = 'dead_letter') AS errors, count(*) FILTER (WHERE status IN ('failed', 'dead_letter') AND job_type = 't0') AS timeouts, count(*) FILTER (WHERE status IN ('queued', 'running')) AS depth,
     greatest(0, CAST(floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(min(CASE WHEN status = 'queued' THEN scheduled_at END))) AS BIGINT)) AS oldest_age FROM jobs GROUP BY queue""",
     "latest_health": f"{JOBS} SELECT queue, job_id, status FROM jobs QUALIFY row_number() OVER (PARTITION BY queue ORDER BY scheduled_at DESC, job_id DESC) = 1",

@@ -203,7 +203,7 @@ QUERIES = {
     "facet_family": lambda s, d: filters.facet(composite(s, d), F.col("family")),
     "facet_folder": lambda s, d: filters.facet(composite(s, d), F.col("folder")),
     "facet_review_status": lambda s, d: filters.facet(composite(s, d), F.col("review_status")),
-    "facets": lambda s, d: filters.facets(composite(s, d), _beside(s, d)),
+    "facets": lambda s, d: filters.facets(composite(s, d), _beside(s, d, _readable(s, d))),
     "filter_wanted": filtered(WANTED),
     "filter_unrelated": filtered(UNRELATED),
     "filter_linked": filtered(LINKED),
@@ -248,9 +248,9 @@ ORACLES = {
     AND EXISTS (SELECT 1 FROM both_ends e WHERE e.id = r.id AND kind IN ('duplicate_of', 'invoice_for', 'receipt_for') AND status <> 'rejected' AND other IN (SELECT id FROM r)) AND EXISTS (SELECT 1 FROM due_days x WHERE x.id = r.id AND kind IN ('due_date', 'renewal_date') AND status IN ('open', 'due_soon', 'overdue', 'needs_review'))""",
     "filter_unrelated": f"""{BESIDE}, {EDGES} SELECT id FROM r WHERE NOT EXISTS (SELECT 1 FROM both_ends e WHERE e.id = r.id AND status <> 'rejected' AND other IN (SELECT id FROM r)) AND NOT EXISTS (SELECT 1 FROM due_days x WHERE x.id = r.id AND status IN ('open', 'due_soon', 'overdue', 'needs_review'))""",
     "filter_linked": f"""{BESIDE}, {EDGES} SELECT id FROM r WHERE EXISTS (SELECT 1 FROM both_ends e WHERE e.id = r.id AND status = 'confirmed' AND other IN (SELECT id FROM r)) AND (SELECT max(total) FROM totals t WHERE t.id = r.id) <= 200000""",
-    "facets": f"""{BESIDE}, c AS (SELECT * FROM r WHERE {FILTER_SQL}),
+    "facets": f"""{BESIDE}, {EDGES}, c AS (SELECT * FROM r WHERE {FILTER_SQL}),
     v AS (SELECT 'families' AS facet, family AS value, id FROM c UNION ALL SELECT 'folders', folder, id FROM c UNION ALL SELECT 'reviewStatus', review_status, id FROM c UNION ALL SELECT 'sensitivity', sensitivity, id FROM c UNION ALL SELECT 'months', strftime(document_date, '%Y-%m'), id FROM c
-        UNION ALL SELECT 'tags', tag, id FROM tags WHERE id IN (SELECT id FROM c) UNION ALL SELECT 'relationshipTypes', kind, c.id FROM relations JOIN c ON c.id IN (a, b) WHERE status <> 'rejected' UNION ALL SELECT 'deadlineTypes', kind, id FROM due_days WHERE id IN (SELECT id FROM c) AND status IN ('open', 'due_soon', 'overdue', 'needs_review')),
+        UNION ALL SELECT 'tags', tag, id FROM tags WHERE id IN (SELECT id FROM c) UNION ALL SELECT 'relationshipTypes', kind, e.id FROM both_ends e WHERE status <> 'rejected' AND e.id IN (SELECT id FROM c) AND other IN (SELECT id FROM r) UNION ALL SELECT 'deadlineTypes', kind, id FROM due_days WHERE id IN (SELECT id FROM c) AND status IN ('open', 'due_soon', 'overdue', 'needs_review')),
     n AS (SELECT facet, value, count(DISTINCT id) AS total FROM v WHERE value IS NOT NULL GROUP BY ALL)
     SELECT * FROM n QUALIFY CASE WHEN facet = 'months' THEN row_number() OVER (PARTITION BY facet ORDER BY value DESC) <= 24 ELSE row_number() OVER (PARTITION BY facet ORDER BY total DESC, lower(value), value) <= 20 END""",
     "hybrid_shown": f"""WITH {_bm25_sql(40)}, {_semantic_sql(10)},

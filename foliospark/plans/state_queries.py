@@ -85,8 +85,10 @@ def suggestion_state(s, d):
 
 
 def edge_merge(s, d):
-    r = relations(documents(s, d)).filter("status <> 'rejected'").withColumn("evidence", F.array(F.lit("old")))
-    again = r.filter("a % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", F.lit("suggested").alias("status"), F.when(F.col("a") % 2 == 0, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")).alias("evidence"))
+    """Stored relationships meet new ones that come the other way round, of every status."""
+    r = relations(documents(s, d)).withColumn("evidence", F.array(F.lit("old")))
+    status = F.when(F.col("a") % 9 == 0, "rejected").when(F.col("a") % 9 == 3, "confirmed").otherwise("suggested")
+    again = r.filter("a % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", status.alias("status"), F.when(F.col("a") % 2 == 0, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")).alias("evidence"))
     return files.merge_edges(r, again).select("a", "b", "kind", "status", F.array_join("evidence", "|").alias("evidence"))
 
 
@@ -151,10 +153,10 @@ def maintenance(s, d):
 
 
 def lease_sweep(s, d):
-    """Leases by the time of their last sign of life: what is silent for an hour goes back."""
-    last = jobs(s, d).filter("status = 'running'").groupBy("queue", "job_type").agg(F.max("scheduled_at").alias("seen"), F.count("*").alias("running"))
-    lost = F.unix_timestamp(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_timestamp("seen") > 3600
-    return last.select("queue", "job_type", "running", F.when(lost, "queued").otherwise("running").alias("status"))
+    """Running jobs after the recovery of leases, which last an hour."""
+    held = jobs(s, d).filter("status = 'running'").withColumn("lease_until", F.col("scheduled_at") + F.expr("INTERVAL 1 HOUR"))
+    swept = ledger.recovered(held, F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return swept.select("job_id", "status", F.unix_timestamp("scheduled_at").alias("scheduled"), F.col("lease_until").isNotNull().alias("held"))
 
 
 def upload_ingest(s, d):
@@ -278,7 +280,10 @@ ORACLES = {
     "filing": f"{DOCS} SELECT id AS document, CASE WHEN id % 3 = 0 THEN 'archive' ELSE folder END AS primary_folder, CAST(CASE WHEN id % 2 = 0 THEN document_date WHEN id % 3 = 0 THEN DATE '2025-01-01' END AS VARCHAR) AS filed_at FROM docs",
     "stale_groups": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1",
     "suggestion_state": f"""{DOCS}, l AS (SELECT user_id * 7 % 1000 AS id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT docs.id, CASE WHEN docs.id % 3 = 0 THEN 'accepted' WHEN t IS NULL THEN 'pending' WHEN t = 'click' THEN 'accepted' WHEN t = 'view' THEN 'rejected' ELSE 'deferred' END AS status FROM docs LEFT JOIN l USING (id)""",
-    "edge_merge": f"{DOCS}, {SQL['relations']} SELECT a, b, kind, status, CASE WHEN a % 6 = 0 THEN 'new' ELSE 'old' END AS evidence FROM relations WHERE status <> 'rejected'",
+    "edge_merge": f"""{DOCS}, {SQL['relations']}, n AS (SELECT a AS x, b AS y, kind AS k, CASE a % 9 WHEN 0 THEN 'rejected' WHEN 3 THEN 'confirmed' ELSE 'suggested' END AS now, CASE a % 2 WHEN 0 THEN 'new' ELSE '' END AS proof FROM relations WHERE a % 3 = 0),
+    m AS (SELECT * FROM relations LEFT JOIN n ON status <> 'rejected' AND a = x AND b = y AND kind = k)
+    SELECT a, b, kind, CASE WHEN now IS NULL OR (status = 'confirmed' AND now = 'suggested') THEN status ELSE now END AS status, CASE WHEN proof = 'new' AND NOT (status = 'confirmed' AND now = 'suggested') THEN 'new' ELSE 'old' END AS evidence FROM m
+    UNION ALL SELECT y, x, k, now, proof FROM n WHERE NOT EXISTS (SELECT 1 FROM relations WHERE status <> 'rejected' AND a = x AND b = y AND kind = k)""",
     "field_upsert": """WITH x AS (SELECT l_orderkey AS document, lower(l_returnflag) AS path, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS at_, l_partkey AS value FROM lineitem) SELECT document, path, value FROM x QUALIFY row_number() OVER (PARTITION BY document, path ORDER BY value % 2 DESC, at_ DESC) = 1""",
     "file_descriptions": r"""WITH f AS (SELECT page_id, [unhex('255044462D312E37'), unhex('FFD8FFE000'), unhex('89504E470D0A1A0A00'), unhex('524946460000000057454250'), unhex('4D4D002A'), ''::BLOB][page_id % 6 + 1] || encode(html) AS c FROM pages), h AS (SELECT page_id, sha256(c) AS sha, octet_length(c) AS length FROM f)
     SELECT '/in/my_scan-of_page ' || page_id || '.PDF' AS path, sha, ['application/pdf', 'image/jpeg', 'image/png', 'image/webp', 'image/tiff', NULL][page_id % 6 + 1] AS mime, 'My Scan Of Page ' || page_id AS title, 'filesystem://original/sha256/' || left(sha, 2) || '/' || substr(sha, 3, 2) || '/' || sha || '/original.blob' AS uri, length, true AS ok FROM h""",
@@ -290,7 +295,8 @@ ORACLES = {
     "folder_contents": f"{DOCS} SELECT id FROM docs WHERE family = 'en' AND document_date BETWEEN DATE '2024-02-01' AND DATE '2024-06-30' AND n_chars >= 100 AND folder IN ('src1', 'src2', 'src3')",
     "system_tags": f"{DOCS}, {SQL['tags']} SELECT CAST(i - 1 AS INT) AS position, t AS tag, (SELECT count(*) FROM tags WHERE lower(tag) = t) AS documents FROM (SELECT unnest(range(1, 9)) AS i, unnest(['important', 'long', 'tax', 'medical', 'legal', 'warranty', 'receipt', 'archive']) AS t)",
     "maintenance": f"{DOCS} SELECT id, unnest(['parse', 'preview']) AS job_type, 'queued' AS status FROM docs WHERE trim(text) = '' UNION ALL SELECT id, 'project', 'queued' FROM docs WHERE trim(text) <> '' AND id % 10 = 0",
-    "lease_sweep": f"WITH {SQL['jobs']} SELECT queue, job_type, count(*) AS running, CASE WHEN floor(epoch(TIMESTAMP '2024-01-31 00:00:00')) - floor(epoch(max(scheduled_at))) > 3600 THEN 'queued' ELSE 'running' END AS status FROM jobs WHERE status = 'running' GROUP BY ALL",
+    "lease_sweep": f"""WITH {SQL['jobs']}, x AS (SELECT *, scheduled_at + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-31 00:00:00' AS over FROM jobs WHERE status = 'running')
+    SELECT job_id, CASE WHEN NOT over THEN 'running' WHEN attempts >= max_attempts THEN 'dead_letter' ELSE 'failed' END AS status, CAST(floor(epoch(CASE WHEN over AND attempts < max_attempts THEN TIMESTAMP '2024-01-31 00:00:00' ELSE scheduled_at END)) AS BIGINT) AS scheduled, NOT over AS held FROM x""",
     "upload_ingest": """WITH x AS (SELECT doc_id AS id, doc_id % 2 AS h, sha256(text) AS sha, n_chars FROM documents), o AS (SELECT h, sha, arg_min(id, n_chars * 100000000 + id) AS dup FROM x WHERE id % 3 <> 0 GROUP BY ALL), y AS (SELECT id, dup FROM x LEFT JOIN o USING (h, sha) WHERE id % 3 = 0)
     SELECT id, coalesce(dup, -1) AS duplicate_of, unnest(CASE WHEN dup IS NULL THEN ['parse', 'preview', 'embed'] ELSE ['none'] END) AS job_type FROM y""",
     "visual_eligible": "SELECT event_id, event_id % 4 = 0 AND user_id % 2 = 0 AS eligible FROM events",
@@ -309,5 +315,5 @@ ORACLES = {
     "extraction_runs": """WITH l AS (SELECT l_orderkey % 400 AS document, lower(l_returnflag) AS schema, CASE WHEN l_linenumber > 1 THEN l_linenumber ELSE 0 END AS region FROM lineitem), n AS (SELECT * FROM l WHERE document % 5 = 0 AND schema = 'a'),
     u AS (SELECT document, schema, (document, schema, region) NOT IN (SELECT (document, schema, region) FROM n) AS is_current FROM l WHERE document % 3 <> 0 UNION ALL SELECT document, schema, true FROM n) SELECT document, schema, is_current, count(*) AS runs FROM u GROUP BY ALL""",
     "corpus_manifest": """SELECT unnest(['evidence.click', 'evidence.view', 'evidence.planning', 'metric.value', 'metric.value2']) AS "check", unnest([(SELECT count(*) > 0 FROM events WHERE event_type = 'click'), (SELECT count(*) > 0 FROM events WHERE event_type = 'view'), (SELECT count(*) > 0 FROM events WHERE event_type = 'planning'), (SELECT min(m) >= 0 FROM (SELECT avg(value) AS m FROM events GROUP BY event_type)), false]) AS passed""",
-    "writable_folders": f"{DOCS} SELECT folder FROM folders WHERE shared OR folder_owner = {USER} OR list_contains(grants, {USER})",
+    "writable_folders": f"{DOCS} SELECT folder FROM folders WHERE shared OR folder_owner = {USER} OR list_contains(writers, {USER})",
 }

@@ -66,8 +66,15 @@ def upsert(stored: DataFrame, new: DataFrame, *keys: str, order: str) -> DataFra
 
 
 def merge_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert of undirected relationships (a, b, kind, status, evidence): confirmed never falls back, empty evidence keeps the old."""
-    rank = F.when(F.col("status") == "confirmed", 2).when(F.col("status") == "suggested", 1).otherwise(0)
-    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    both = both.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
-    return both.groupBy(F.col("lo").alias("a"), F.col("hi").alias("b"), "kind").agg(F.max_by("status", F.struct(rank, "_new")).alias("status"), F.max_by("evidence", F.struct((F.size("evidence") > 0).alias("full"), "_new")).alias("evidence"))
+    """Upsert of undirected relationships (a, b, kind, status, evidence); new: at most one row a pair and kind.
+
+    A stored suggested or confirmed row takes the new status, but a suggestion does not touch a confirmed one; empty evidence keeps the
+    old; the row keeps its direction.  Stored rejected rows stay as they are, and a new row beside them is a row of its own."""
+    live = F.col("status").isin("suggested", "confirmed")
+    ends = lambda df: df.withColumns({"_lo": F.least("a", "b"), "_hi": F.greatest("a", "b")})
+    fresh = ends(new).select("_lo", "_hi", "kind", F.struct("a", "b", "status", "evidence").alias("n"))
+    both = ends(stored.filter(live)).select("_lo", "_hi", "kind", F.struct("a", "b", "status", "evidence").alias("o")).join(fresh, ["_lo", "_hi", "kind"], "full")
+    kept = F.col("n").isNull() | F.coalesce((F.col("o.status") == "confirmed") & (F.col("n.status") == "suggested"), F.lit(False))
+    evidence = F.when(kept | (F.col("o").isNotNull() & (F.size("n.evidence") == 0)), F.col("o.evidence")).otherwise(F.col("n.evidence"))
+    merged = both.select(F.coalesce("o.a", "n.a").alias("a"), F.coalesce("o.b", "n.b").alias("b"), "kind", F.when(kept, F.col("o.status")).otherwise(F.col("n.status")).alias("status"), evidence.alias("evidence"))
+    return merged.unionByName(stored.filter(~live).select("a", "b", "kind", "status", "evidence"))

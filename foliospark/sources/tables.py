@@ -61,9 +61,9 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folders(docs: DataFrame) -> DataFrame:
-    """folder, shared, folder_owner, grants: folders with an even number are shared by the household, some are granted to users."""
+    """folder, shared, folder_owner, grants, writers: folders with an even number are shared by the household; grants may read, writers also write."""
     number = F.coalesce(F.regexp_extract("folder", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
-    return docs.select("folder").distinct().select("folder", (number % 2 == 0).alias("shared"), (number % 7).cast("long").alias("folder_owner"), F.array((number % 5).cast("long")).alias("grants"))
+    return docs.select("folder").distinct().select("folder", (number % 2 == 0).alias("shared"), (number % 7).cast("long").alias("folder_owner"), F.array((number % 5).cast("long")).alias("grants"), F.array(F.when(number % 3 == 0, number % 5).cast("long")).alias("writers"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ SQL = {
         CASE WHEN quality = 1 THEN 'user_confirmed' WHEN quality = 0 THEN 'needs_review' ELSE 'auto_accepted' END AS review_status,
         CASE WHEN toxic = 1 THEN 'highly_sensitive' ELSE 'normal' END AS sensitivity,
         CAST(DATE '2024-01-01' + CAST(d.doc_id % 365 AS INT) AS DATE) AS document_date, d.doc_id % 2 AS household, d.doc_id % 23 = 0 AS deleted, CASE WHEN d.doc_id % 6 = 5 THEN 'private' ELSE 'household' END AS acl_mode FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
-    "folders": "folders AS (SELECT folder, n % 2 = 0 AS shared, n % 7 AS folder_owner, [n % 5] AS grants FROM (SELECT DISTINCT folder, coalesce(try_cast(regexp_extract(folder, '([0-9]+)$', 1) AS INT), 0) AS n FROM docs))",
+    "folders": "folders AS (SELECT folder, n % 2 = 0 AS shared, n % 7 AS folder_owner, [n % 5] AS grants, [CASE WHEN n % 3 = 0 THEN n % 5 END] AS writers FROM (SELECT DISTINCT folder, coalesce(try_cast(regexp_extract(folder, '([0-9]+)$', 1) AS INT), 0) AS n FROM docs))",
     "tags": "tags AS (SELECT id, family AS tag FROM docs UNION ALL SELECT id, 'Long' FROM docs WHERE n_chars > 2000 UNION ALL SELECT id, 'IMPORTANT' FROM docs WHERE id % 5 = 0)",
     "relations": """relations AS (SELECT id AS a, id + 1 + id % 3 AS b, ['duplicate_of', 'invoice_for', 'receipt_for'][id % 3 + 1] AS kind, CASE id % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'suggested' END AS status FROM docs WHERE id % 4 <> 0 AND id + 1 + id % 3 IN (SELECT id FROM docs))""",
     "due_days": """due_days AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'due_date' ELSE 'renewal_date' END AS kind, ['completed', 'overdue', 'due_soon', 'open', 'dismissed'][id % 5 + 1] AS status, CAST(document_date + 40 AS DATE) AS due FROM docs WHERE id % 3 = 0)""",
