@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,17 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def through_python(df: DataFrame, ids: tuple[str, ...], run: Callable, rest: str) -> DataFrame:
+    """df.mapInPandas(run, ids and rest), with the id columns as text on the way and as they were behind it.
+
+    pandas turns the longs of a batch that holds a null into doubles, which changes ids above 2 ** 53."""
+    kinds = {c: df.schema[c].dataType for c in ids}
+    binary = {c for c, k in kinds.items() if k.typeName() == "binary"}
+    sent = df.withColumns({c: F.base64(c) if c in binary else F.col(c).cast("string") for c in ids})
+    out = sent.mapInPandas(run, ", ".join([*(f"{c} string" for c in ids), rest]))
+    return out.withColumns({c: F.unbase64(c) if c in binary else F.col(c).cast(k) for c, k in kinds.items()})
+
+
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))

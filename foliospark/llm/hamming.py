@@ -12,7 +12,7 @@ each, are sent to each block once, but never held there.
 
 Nulls: rows without an id or an embedding, or with one of another length, have no code: they are neither queries nor
 answers.  Null entries count as not positive.  Repeated rows are answers of their own; equal (distance, id) share any
-ranks.  Extra columns are ignored; an empty table gives an empty result.
+ranks.  Rows of one id and code are one query; rows of one id with other codes are queries of their own, each with its k answers.  Extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -93,7 +93,7 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, block: int | None = Non
     total = rows.count()
     blocks = max(1, -(-total // (block or min(1 << 21, max(1 << 14, total // df.sparkSession.sparkContext.defaultParallelism)))))
     dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("g"), F.lit(0).alias("kind"), "vec_id", "code")
-    queries = stash(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "code"), "queries")
+    queries = stash(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "code").distinct(), "queries")
     sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(1).alias("kind"), "vec_id", "code")
     parted = dealt.unionByName(sent).repartitionById(blocks, "g").sortWithinPartitions("g", "kind")
 
@@ -115,10 +115,10 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, block: int | None = Non
                     index, ids, code = MultiIndex(np.concatenate(ids), np.concatenate(code)), [], []
                 if index is not None:
                     got = [(q, *index.search(int(x), k)) for q, x in zip(i[lo:hi], c[lo:hi], strict=True)]
-                    yield pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], [len(x) for _, x, _ in got]), "vec_id": np.concatenate([x for _, x, _ in got]), "distance": np.concatenate([d for _, _, d in got])})
+                    yield pd.DataFrame({"query_id": np.repeat([q for q, _, _ in got], [len(x) for _, x, _ in got]), "vec_id": np.concatenate([x for _, x, _ in got]), "distance": np.concatenate([d for _, _, d in got]), "code": np.repeat(c[lo:hi], [len(x) for _, x, _ in got])})
 
-    near = parted.mapInPandas(search, "query_id long, vec_id long, distance long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    near = parted.mapInPandas(search, "query_id long, vec_id long, distance long, code long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
@@ -128,8 +128,8 @@ def op5(spark, sf_dir):
 
 SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.b[i] <> e.b[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
-      FROM e AS q JOIN e ON q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance
-FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10
+d AS (SELECT q.vec_id AS query_id, q.b AS qb, e.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.b[i] <> e.b[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+      FROM (SELECT DISTINCT vec_id, b FROM e WHERE vec_id % 50 = 0) q JOIN e ON true)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qb ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id, qb ORDER BY distance, vec_id) <= 10
 """

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import table, through_python
 
 PAGES, EPOCHS, SEED = 1200, 12, 11
 
@@ -321,7 +321,7 @@ def extract(df: DataFrame, pages: int = PAGES, epochs: int = EPOCHS, seed: int =
             text = [main_text(h if isinstance(h, str) else None, own) for h in b["html"]]
             yield b[["page_id", "url"]].assign(text=pd.Series(text, dtype=object), n_chars=pd.Series([len(t) for t in text], dtype="int64"))
 
-    return df.select("page_id", "url", "html").mapInPandas(run, f"page_id {df.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return through_python(df.select("page_id", "url", "html"), ("page_id",), run, "url string, text string, n_chars long")
 
 
 def op6(spark, sf_dir):

@@ -8,7 +8,9 @@ row a template word).  A block that holds at least t of a template's n words mus
 n - ceil(t n) + 1 in this order, so only those are indexed (prefix filter); a block of fewer words than ceil(t n) is
 out (length filter); and a match at place p of a prefix leaves at most n - p words in common, counting on from the
 words already found in common (positional filter).  What is left is verified; a template that names a license also
-demands the words that give the name.  The templates are a fixed, small list.
+demands the words that give the name.  A template of fewer than `IN_ORDER` words is too short for a bag of words: its words,
+function words too, must also stand in order, the threshold's share of them in as many neighbouring words as it has.  The
+templates are a fixed, small list.
 
 The base part counts the places where a phrase's words stand one after the other.
 
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import table, through_python
 
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
@@ -64,7 +66,7 @@ TEMPLATES = {
 }
 # The words without which a notice does not name its license.
 NAMES = {"gpl-notice": ("gnu", "public"), "gpl-header": ("gnu",), "gpl-warranty": ("gnu",), "apache-notice": ("apache",), "apache-header": ("apache",), "cc-by-nc": ("cc", "nc"), "mit-notice": ("mit",), "mpl-header": ("mozilla", "mpl")}
-THRESHOLD = 0.8
+THRESHOLD, IN_ORDER = 0.8, 10
 
 _ANY = re.compile("|".join(r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(map(re.escape, p.split())) + r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])" for p in PHRASES))
 
@@ -89,15 +91,36 @@ def template_words(text: str) -> set[str]:
     return own - FUNCTION_WORDS or own
 
 
+def in_order(template: list[str], block: list[str], names: set[str]) -> int:
+    """The most words of the template that stand in its order in as many neighbouring words of the block, which hold all names."""
+    n, best, known = len(template), 0, set(template)
+    for i, w in enumerate(block):
+        if w not in known:
+            continue
+        own = block[i : i + n]
+        if not names <= set(own):
+            continue
+        row = [0] * (n + 1)  # longest common subsequence, row by row
+        for x in own:
+            last = 0
+            for k, y in enumerate(template):
+                last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k + 1], row[k])
+        best = max(best, row[n])
+    return best
+
+
 class TemplateJoin:
     """Templates in the global order of words, with the index over their prefixes, and the windows for them."""
 
     def __init__(self, templates: dict[str, str], frequency: dict[str, int], threshold: float = THRESHOLD):
-        self.need, self.sets, self.index, self.names = {}, {}, {}, {}
+        self.need, self.sets, self.index, self.names, self.short = {}, {}, {}, {}, {}
         self.size = 2 * max((len(WORD.findall(lower(t))) for t in templates.values()), default=8)
         for name, text in templates.items():
             words = sorted(template_words(text), key=lambda w: (frequency.get(w, 0), w))
             self.sets[name], self.names[name] = words, set(NAMES.get(name, ()))
+            every = WORD.findall(lower(text))
+            if len(every) < IN_ORDER:
+                self.short[name] = every, math.ceil(threshold * len(every) - 1e-9)
             self.need[name] = need = max(1, math.ceil(threshold * len(words) - 1e-9))
             for p, w in enumerate(words[: len(words) - need + 1]):
                 self.index.setdefault(w, []).append((name, p))
@@ -119,7 +142,10 @@ class TemplateJoin:
             if len(own) < need or len(words) - p < need or not self.names[name] <= own:
                 continue
             common = sum(w in own for w in words[p:])
-            if common >= need:
+            if common < need:
+                continue
+            every, least = self.short.get(name, ((), 0))
+            if not every or in_order(every, block, self.names[name]) >= least:
                 found[name] = common / len(words)
         return found
 
@@ -200,8 +226,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return through_python(df.select("doc_id", "text"), ("doc_id",), run, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op8(spark, sf_dir):

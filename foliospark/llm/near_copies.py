@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stash
+from foliospark.llm.common import stash, through_python
 from foliospark.llm.simhash import _upper_to_lower, components, links, majority
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -141,8 +141,7 @@ def near_copies(df: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD)
         for b in batches:
             yield b[["_row"]].rename(columns={"_row": "node"}).assign(own=[shingles(t if isinstance(t, str) else None, width).tobytes() for t in b["text"]])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    rows = stash(df.select("_row", "doc_id", "text").mapInPandas(keys, f"_row long, doc_id {kind}, sha string, whole string, fp long, keys array<long>"), "shingles")
+    rows = stash(through_python(df.select("_row", "doc_id", "text"), ("doc_id",), keys, "_row long, sha string, whole string, fp long, keys array<long>"), "shingles")
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "_row"))
     sets = stash(rows.groupBy("whole").agg(order.alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("first", F.col("first._row").alias("node"), "whole", "fp", "keys"), "sets")
     members = stash(buckets(sets).withColumn("block", _block("n", 3)), "members")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import stash, table
+from foliospark.llm.common import stash, table, through_python
 from foliospark.llm.token_counts import byte_letters
 
 CAPACITY = 4096
@@ -152,11 +152,9 @@ def cut_pieces(df: DataFrame, capacity: int = CAPACITY, path: str | None = None)
                         rows.append((doc, p, s, len(own), zlib.crc32(own.tobytes()), part, nth[len(own)]))
                         nth[len(own)] += 1
                 i = j
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return through_python(df.select("doc_id", "text"), ("doc_id",), run, "piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def dominant(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -254,7 +252,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> Da
 
     before = tasks.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).select("part", "length", "before")
     ranked = pieces.join(before.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInPandas(look_up, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return through_python(ranked, ("doc_id",), look_up, "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10(spark, sf_dir):

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import drop, stash, table
+from foliospark.llm.common import drop, stash, table, through_python
 
 GROUPS, BITS = 8, 8
 RADIUS = 2
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, width: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t if isinstance(t, str) else None, width) for t in b["text"]), np.uint64, len(b))
             yield b[["doc_id"]].assign(fp=fp.astype(np.int64))
 
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
+    return through_python(df.select("doc_id", "text"), ("doc_id",), run, "fp long")
 
 
 def references() -> np.ndarray:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import table, through_python
 
 LIMIT = 512
 CHUNK = 1 << 12
@@ -252,7 +252,7 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = LIMIT, chu
             yield b[["doc_id", "n_bytes"]].assign(n_tokens=n, over_limit=n > limit)
 
     rows = df.select(F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return rows.mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return through_python(rows, ("doc_id",), run, "n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3(spark, sf_dir):

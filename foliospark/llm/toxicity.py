@@ -19,7 +19,8 @@ at any size.
 
 Only the text is read for a score.  Nulls: a null text is the empty text, scored as one window of padding.  Rows
 without label, doc_id or text take no part in training; with only one label present, the score is its share.  Repeated rows
-are scored one by one, alike; extra columns are ignored; an empty table gives an empty result.
+are scored one by one, alike; of several labels of one doc_id any one is taken; ids pass as they are, of any type; extra columns
+are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import table, through_python
 
 WINDOW, PIECE = 8, 32
 HIDDEN, WORD_HIDDEN, SYMBOLS, CHAR_DIM, BUCKETS, WORD_DIM = 8, 4, 96, 8, 4096, 4
@@ -374,7 +375,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
             yield b[["doc_id", "held_out"]].assign(score=score, predicted=(score >= threshold).astype(np.int32))
 
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2).alias("held_out")
-    return documents.select("doc_id", held, "text").mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return through_python(documents.select("doc_id", held, "text"), ("doc_id",), run, "held_out boolean, score double, predicted int")
 
 
 def op1(spark, sf_dir):

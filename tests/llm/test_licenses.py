@@ -1,4 +1,5 @@
 """Operator 8: cases, and brute force of the query: words one by one, all templates with all blocks, SQL for the base."""
+import itertools
 import random
 import textwrap
 
@@ -25,6 +26,18 @@ def word_list(text):
     return words
 
 
+def stands(template, block, names):
+    """Whether the threshold's share of a short template's words stands in order in as many neighbouring words as it has."""
+    least = -(-len(template) * 4 // 5)
+    for i in range(len(block)):
+        own = block[i : i + len(template)]
+        for chosen in itertools.combinations(template, least):
+            rest = iter(own)
+            if names <= set(own) and all(w in rest for w in chosen):
+                return True
+    return False
+
+
 def brute(text):
     words = word_list(text)
     places = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
@@ -34,11 +47,13 @@ def brute(text):
         for part in [text or "", *(text or "").split("\n")]:
             own = word_list(part)
             for s in range(0, max(1, len(own) - half), half):
-                block = set(own[s : s + join.size])
+                window = own[s : s + join.size]
+                block = set(window)
                 for name in join.sets:
                     template = set(word_list(licenses.TEMPLATES[name])) - licenses.FUNCTION_WORDS
                     share = len(template & block) / len(template)
-                    if share >= licenses.THRESHOLD - 1e-9 and set(licenses.NAMES.get(name, ())) <= block:
+                    every, names = word_list(licenses.TEMPLATES[name]), set(licenses.NAMES.get(name, ()))
+                    if share >= licenses.THRESHOLD - 1e-9 and names <= block and (len(every) >= licenses.IN_ORDER or stands(every, window, names)):
                         found[name] = max(share, found.get(name, 0))
     base = {x for _, x in places}
     return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | set(found))), max([1.0 if base else 0.0, *found.values()])
@@ -88,11 +103,16 @@ def test_base_by_sql(spark):
     assert [tuple(r) for r in got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").orderBy("doc_id").collect()] == want
 
 
-@pytest.mark.parametrize("text", ["software released under the license by them", "Licensed under the license version 2 0", "all of it is free", "Permission to go is granted to the person"])
+@pytest.mark.parametrize("text", ["software released under the license by them", "Licensed under the license version 2 0", "all of it is free", "Permission to go is granted to the person", "all participants have equal rights and a table was reserved", "MIT students released birds near a license office", "licensed plumber paid 4 cc of nc and 0 other", "rights of all are reserved", "the license of MIT was released under protest"])
 def test_function_words_give_no_label(text):
     assert not any(join.search(text.lower()) for join in licenses.template_joins(licenses.TEMPLATES, {}))
 
 
+@pytest.mark.parametrize("text,name", [("x\nReleased under\nthe MIT License. y", "mit-notice"), ("(c) 2020. ALL RIGHTS RESERVED", "all-rights"), ("Licensed under the Apache License 2.0", "apache-notice"), ("Licensed under CC BY-NC 4.0", "cc-by-nc")])
+def test_short_notices(text, name):
+    assert any(name in join.search(text.lower()) for join in licenses.template_joins(licenses.TEMPLATES, {}))
+
+
 @pytest.mark.parametrize("name", ["mit-grant", "mit-text", "bsd-text", "apache-header", "gpl-header"])
 @pytest.mark.parametrize("width", [30, 72, 80])
 @pytest.mark.parametrize("before", [0, 31, 500])
