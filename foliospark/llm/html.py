@@ -6,7 +6,8 @@ each edge has a potential of the parent's and the child's label.  Sum-product me
 and down from the root and give every node's marginal.  The weights are trained by gradient ascent on the likelihood
 (observed less expected counts, both from the same messages) of labelled pages.  The labelled pages come from a seeded
 generator of layouts, `labelled_page`; their number and the epochs are parameters.  A block whose
-marginal is at least a half is part of the text; what script, style, textarea and title hold is never text.
+marginal is at least a half is part of the text; what script, style, textarea and title hold is never text, nor what a
+browser does not show: template, noscript, and blocks with the attribute hidden.
 
 Nulls: a null html is the empty page, with no text; a null page_id or url stays null.  Repeated rows are read one by
 one; extra columns are ignored; an empty table gives an empty result.  Truncated and unclosed markup is read as a
@@ -34,15 +35,21 @@ RAW = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table td th tr ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div main body aside nav".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-HINTS = ("class", "id", "role", "aria-label", "itemprop", "hidden", "aria-hidden")
+# An attribute as browsers read it: a stray quote is part of a name or of a value without quotes; a quote that is not closed runs on.
+_ATTR = r"(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)?))?"
+ATTR = re.compile(_ATTR)
+_PLAIN = re.sub(r"\((?!\?)", "(?:", _ATTR)  # without groups
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + _PLAIN + r")*+)(?:>|\Z)", re.S)
+#: What a browser with scripts never shows; without an end tag, what follows counts as the page's.
+UNSHOWN = {x: re.compile(f"</{x}", re.I) for x in ("template", "noscript")}
+HINTS = ("class", "id", "role", "aria-label", "itemprop", "aria-hidden")
 
 
 class Node:
-    __slots__ = ("tag", "hints", "parent", "kids", "parts", "links", "y")
+    __slots__ = ("tag", "hints", "parent", "kids", "parts", "links", "y", "off")
 
-    def __init__(self, tag: str, parent: Node | None, hints: str = "", y: int | None = None):
+    def __init__(self, tag: str, parent: Node | None, hints: str = "", y: int | None = None, off: bool = False):
+        self.off = off or bool(parent and parent.off)  # not shown: its text is none of the page's
         self.tag, self.parent, self.hints, self.kids, self.parts, self.links, self.y = tag, parent, hints, [], [], 0, y
         if parent:
             parent.kids.append(self)
@@ -53,13 +60,14 @@ def parse(html: str, marks: bool = False) -> tuple[list[Node], list[tuple[Node,
     root = Node("body", None)
     nodes, blocks, at, here = [root], [], 0, root
     buffer: list[str] = []
+    ends: dict[str, int | None] = {}  # the next end tag of what is not shown; None: there is none ahead
     link = 0
 
     def flush():
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
-            if text:
+            if text and not here.off:
                 here.parts.append(len(text))
                 if text[0] == "\u00a9" or text[:9].lower() == "copyright":
                     here.hints += " copyright"
@@ -116,9 +124,16 @@ def parse(html: str, marks: bool = False) -> tuple[list[Node], list[tuple[Node,
         if name in SAME:
             close(SAME[name], SCOPE - {"tr"} if name == "tr" else SCOPE)
         flush()
-        hints, y = [], None
+        hints, y, off = [], None, False
+        if name in UNSHOWN and (name not in ends or (ends[name] is not None and ends[name] <= at)):
+            end = UNSHOWN[name].search(html, at)
+            ends[name] = end.end() if end else None
+        if name in UNSHOWN:
+            off = ends.get(name) is not None
         for k, a, b, c in ATTR.findall(m[3]):
-            if (k := k.lower()) in HINTS:
+            if (k := k.lower()) == "hidden":
+                off = True
+            elif k in HINTS:
                 hints.append(a or b or c)
             elif marks and k == "data-y":
                 y = int(a)
@@ -130,7 +145,7 @@ def parse(html: str, marks: bool = False) -> tuple[list[Node], list[tuple[Node,
                 n = n.parent
             if n or name == "svg":
                 continue
-        here = Node(name, here, " ".join(hints), y)
+        here = Node(name, here, " ".join(hints), y, off)
         nodes.append(here)
     flush()
     return nodes, blocks
