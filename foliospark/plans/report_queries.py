@@ -171,8 +171,8 @@ def page_counts(s, d):
 
 
 def ordered_relations(s, d):
-    """Relations of a document: suggested first, then confirmed, then others, its own side first; 50 of them."""
-    r = relations(documents(s, d)).filter("a < 200")
+    """The 50 relations that come first: suggested, then confirmed, then others, one side first."""
+    r = relations(documents(s, d))
     o = F.when(F.col("status") == "suggested", 0).when(F.col("status") == "confirmed", 1).otherwise(2)
     return r.orderBy(o, (F.col("a") % 10 == 3).desc(), "a", "b").limit(50)
 
@@ -227,5 +227,5 @@ ORACLES = {
     n AS (SELECT v.page, v.id, l.id AS label, CASE WHEN abs(v.y - l.y) <= 5 AND v.x - l.x BETWEEN 1 AND 220 THEN 'right_of' WHEN abs(v.x - l.x) <= 20 AND v.y - l.y BETWEEN 6 AND 30 THEN 'below_of' END AS kind, abs(v.x - l.x) + abs(v.y - l.y) AS far FROM b v JOIN b l ON v.page = l.page AND l.lab AND NOT v.lab)
     SELECT page, id, label, kind FROM n WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY CASE kind WHEN 'right_of' THEN 0 ELSE 1 END, far, label) = 1""",
     "page_counts": f"{DOCS} SELECT id, CAST((SELECT count(*) FROM docs WHERE family = 'en') AS INT) AS total FROM docs WHERE family = 'en' ORDER BY docs.document_date DESC NULLS LAST, id LIMIT 10 OFFSET 5",
-    "ordered_relations": f"{DOCS}, {SQL['relations']} SELECT a, b, kind, status FROM relations WHERE a < 200 ORDER BY CASE status WHEN 'suggested' THEN 0 WHEN 'confirmed' THEN 1 ELSE 2 END, a % 10 = 3 DESC, a, b LIMIT 50",
+    "ordered_relations": f"{DOCS}, {SQL['relations']} SELECT a, b, kind, status FROM relations ORDER BY CASE status WHEN 'suggested' THEN 0 WHEN 'confirmed' THEN 1 ELSE 2 END, a % 10 = 3 DESC, a, b LIMIT 50",
 }

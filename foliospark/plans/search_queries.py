@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.operators import ann, filters, search
-from foliospark.sources.state import new_path
+from foliospark.sources.state import new_path, stamp
 from foliospark.sources.tables import SQL, documents, due_days, folders, relations, table, tags, totals
 
 USER, HOUSEHOLD = 3, 1
@@ -39,9 +39,14 @@ CHUNKS = "ch AS (SELECT doc_id AS id, unnest(range(0, len(ls))) AS chunk, unnest
 _INDEXES: dict[tuple[str, str], search.LexicalIndex] = {}
 
 
+def _state(spark, d, name):
+    """What an index of a table is kept under: it is built anew once the table's files change."""
+    return spark.sparkContext.applicationId, stamp(spark, f"{d}/{name}.parquet")
+
+
 def lexical_index(spark, d):
-    """The index of a collection's chunks; built once a session, in the shared folder."""
-    key = spark.sparkContext.applicationId, d
+    """The index of a collection's chunks; built once a session and state of the table, in the shared folder."""
+    key = _state(spark, d, "documents")
     if key not in _INDEXES:
         path = new_path(spark, "lexical")
         search.build_index(chunks(spark, d), path)
@@ -64,8 +69,8 @@ _UNITS: dict[tuple[str, str], str] = {}
 
 
 def unit_index(spark, d):
-    """The unit vectors of a collection; written once a session, in the shared folder."""
-    key = spark.sparkContext.applicationId, d
+    """The unit vectors of a collection; written once a session and state of the table, in the shared folder."""
+    key = _state(spark, d, "embeddings")
     if key not in _UNITS:
         path = new_path(spark, "vectors")
         search.unit_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("chunk"), "embedding")).write.parquet(path)
@@ -86,8 +91,8 @@ _ANN: dict[tuple[str, str], str] = {}
 
 
 def ann_index(spark, d):
-    """The approximate index of a collection's vectors; written once a session, in the shared folder."""
-    key = spark.sparkContext.applicationId, d
+    """The approximate index of a collection's vectors; written once a session and state of the table, in the shared folder."""
+    key = _state(spark, d, "embeddings")
     if key not in _ANN:
         path = new_path(spark, "ann")
         ann.write_index(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("chunk"), "embedding"), path)

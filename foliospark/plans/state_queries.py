@@ -80,7 +80,7 @@ def stale_groups(s, d):
 def suggestion_state(s, d):
     e = table(s, d, "events")
     x = documents(s, d).select("id", F.when(F.col("id") % 3 == 0, "accepted").otherwise("pending").alias("status"))
-    decisions = e.select((F.col("user_id") * 7 % 1000).alias("id"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "click", "accept").when(F.col("event_type") == "view", "reject").otherwise("defer").alias("decision"))
+    decisions = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "click", "accept").when(F.col("event_type") == "view", "reject").otherwise("defer").alias("decision"))
     return merges.decided(x, decisions)
 
 
@@ -148,7 +148,7 @@ def maintenance(s, d):
     """Jobs appended to the ledger: parse and preview of documents without a chunk, a new projection of the others."""
     docs = documents(s, d)
     blank = docs.filter(F.trim("text") == "").select("id", F.explode(F.array(F.lit("parse"), F.lit("preview"))).alias("job_type"))
-    other = docs.filter("trim(text) <> '' AND id % 10 = 0").select("id", F.lit("project").alias("job_type"))
+    other = docs.filter("trim(text) <> ''").select("id", F.lit("project").alias("job_type"))
     return blank.unionByName(other).withColumn("status", F.lit("queued"))
 
 
@@ -175,7 +175,7 @@ def visual_eligible(s, d):
 def writable_documents(s, d):
     docs = documents(s, d)
     seen = filters.readable(docs, folders(docs), USER, HOUSEHOLD)
-    return filters.writable(seen, USER).select("id", F.lit("owner").alias("why")).unionByName(filters.writable(filters.readable(docs, folders(docs), USER, HOUSEHOLD, "admin"), USER, "admin").filter("id % 10 = 0").select("id", F.lit("admin").alias("why")))
+    return filters.writable(seen, USER).select("id", F.lit("owner").alias("why")).unionByName(filters.writable(filters.readable(docs, folders(docs), USER, HOUSEHOLD, "admin"), USER, "admin").select("id", F.lit("admin").alias("why")))
 
 
 def embedding_sources(s, d):
@@ -215,7 +215,7 @@ def best_evidence(s, d):
 def audit_trail(s, d):
     """The audit with the events of a change appended: one a changed document, and its time of change."""
     docs = documents(s, d)
-    old = docs.filter("id % 50 = 0").select(F.col("id").alias("document"), F.lit("created").alias("event"), F.col("document_date").alias("at"))
+    old = docs.select(F.col("id").alias("document"), F.lit("created").alias("event"), F.col("document_date").alias("at"))
     changed = filing(s, d).join(docs.select(F.col("id").alias("document"), "folder"), "document").filter("primary_folder <> folder")
     return old.unionByName(changed.select("document", F.lit("filed").alias("event"), F.lit("2025-01-01").cast("date").alias("at")))
 
@@ -279,7 +279,7 @@ ORACLES = {
     "tag_replacement": f"{DOCS}, {SQL['tags']} SELECT id AS document, tag AS name FROM tags WHERE id % 4 <> 0 UNION ALL SELECT id, 'new' FROM docs WHERE id % 4 = 0 UNION ALL SELECT id, folder FROM docs WHERE id % 4 = 0",
     "filing": f"{DOCS} SELECT id AS document, CASE WHEN id % 3 = 0 THEN 'archive' ELSE folder END AS primary_folder, CAST(CASE WHEN id % 2 = 0 THEN document_date WHEN id % 3 = 0 THEN DATE '2025-01-01' END AS VARCHAR) AS filed_at FROM docs",
     "stale_groups": "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1",
-    "suggestion_state": f"""{DOCS}, l AS (SELECT user_id * 7 % 1000 AS id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT docs.id, CASE WHEN docs.id % 3 = 0 THEN 'accepted' WHEN t IS NULL THEN 'pending' WHEN t = 'click' THEN 'accepted' WHEN t = 'view' THEN 'rejected' ELSE 'deferred' END AS status FROM docs LEFT JOIN l USING (id)""",
+    "suggestion_state": f"""{DOCS}, l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) SELECT docs.id, CASE WHEN docs.id % 3 = 0 THEN 'accepted' WHEN t IS NULL THEN 'pending' WHEN t = 'click' THEN 'accepted' WHEN t = 'view' THEN 'rejected' ELSE 'deferred' END AS status FROM docs LEFT JOIN l USING (id)""",
     "edge_merge": f"""{DOCS}, {SQL['relations']}, n AS (SELECT a AS x, b AS y, kind AS k, CASE a % 9 WHEN 0 THEN 'rejected' WHEN 3 THEN 'confirmed' ELSE 'suggested' END AS now, CASE a % 2 WHEN 0 THEN 'new' ELSE '' END AS proof FROM relations WHERE a % 3 = 0),
     m AS (SELECT * FROM relations LEFT JOIN n ON status <> 'rejected' AND a = x AND b = y AND kind = k)
     SELECT a, b, kind, CASE WHEN now IS NULL OR (status = 'confirmed' AND now = 'suggested') THEN status ELSE now END AS status, CASE WHEN proof = 'new' AND NOT (status = 'confirmed' AND now = 'suggested') THEN 'new' ELSE 'old' END AS evidence FROM m
@@ -294,13 +294,13 @@ ORACLES = {
     "saved_query_rows": f"{DOCS}, {SQL['relations']} SELECT id FROM docs WHERE family IN ('en', 'de') AND review_status IN ('auto_accepted', 'needs_review') AND document_date >= DATE '2024-03-01' AND n_chars > 2000 AND id IN (SELECT a FROM relations WHERE status <> 'rejected' UNION SELECT b FROM relations WHERE status <> 'rejected')",
     "folder_contents": f"{DOCS} SELECT id FROM docs WHERE family = 'en' AND document_date BETWEEN DATE '2024-02-01' AND DATE '2024-06-30' AND n_chars >= 100 AND folder IN ('src1', 'src2', 'src3')",
     "system_tags": f"{DOCS}, {SQL['tags']} SELECT CAST(i - 1 AS INT) AS position, t AS tag, (SELECT count(*) FROM tags WHERE lower(tag) = t) AS documents FROM (SELECT unnest(range(1, 9)) AS i, unnest(['important', 'long', 'tax', 'medical', 'legal', 'warranty', 'receipt', 'archive']) AS t)",
-    "maintenance": f"{DOCS} SELECT id, unnest(['parse', 'preview']) AS job_type, 'queued' AS status FROM docs WHERE trim(text) = '' UNION ALL SELECT id, 'project', 'queued' FROM docs WHERE trim(text) <> '' AND id % 10 = 0",
+    "maintenance": f"{DOCS} SELECT id, unnest(['parse', 'preview']) AS job_type, 'queued' AS status FROM docs WHERE trim(text) = '' UNION ALL SELECT id, 'project', 'queued' FROM docs WHERE trim(text) <> ''",
     "lease_sweep": f"""WITH {SQL['jobs']}, x AS (SELECT *, scheduled_at + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-31 00:00:00' AS over FROM jobs WHERE status = 'running')
     SELECT job_id, CASE WHEN NOT over THEN 'running' WHEN attempts >= max_attempts THEN 'dead_letter' ELSE 'failed' END AS status, CAST(floor(epoch(CASE WHEN over AND attempts < max_attempts THEN TIMESTAMP '2024-01-31 00:00:00' ELSE scheduled_at END)) AS BIGINT) AS scheduled, NOT over AS held FROM x""",
     "upload_ingest": """WITH x AS (SELECT doc_id AS id, doc_id % 2 AS h, sha256(text) AS sha, n_chars FROM documents), o AS (SELECT h, sha, arg_min(id, n_chars * 100000000 + id) AS dup FROM x WHERE id % 3 <> 0 GROUP BY ALL), y AS (SELECT id, dup FROM x LEFT JOIN o USING (h, sha) WHERE id % 3 = 0)
     SELECT id, coalesce(dup, -1) AS duplicate_of, unnest(CASE WHEN dup IS NULL THEN ['parse', 'preview', 'embed'] ELSE ['none'] END) AS job_type FROM y""",
     "visual_eligible": "SELECT event_id, event_id % 4 = 0 AND user_id % 2 = 0 AS eligible FROM events",
-    "writable_documents": f"{DOCS}, {READABLE} SELECT id, 'owner' AS why FROM r WHERE owner_id = {USER} UNION ALL SELECT id, 'admin' FROM docs WHERE NOT deleted AND household = {HOUSEHOLD} AND id % 10 = 0",
+    "writable_documents": f"{DOCS}, {READABLE} SELECT id, 'owner' AS why FROM r WHERE owner_id = {USER} UNION ALL SELECT id, 'admin' FROM docs WHERE NOT deleted AND household = {HOUSEHOLD}",
     "embedding_sources": f"{DOCS}, x AS (SELECT id, CASE WHEN id % 3 = 0 THEN folder || ' ' || text ELSE text END AS source FROM docs WHERE NOT deleted) SELECT id, sha256(source) AS sha FROM x WHERE trim(source) <> ''",
     "saved_searches": "WITH e AS (SELECT user_id % 3 AS household, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type || (user_id % 30) END AS name, event_id AS at_, props AS query FROM events) SELECT household, name, query, at_ AS \"at\" FROM e QUALIFY row_number() OVER (PARTITION BY household, lower(name) ORDER BY at_ DESC) = 1 ORDER BY at_ DESC LIMIT 100",
     "ranking_summary": """WITH c AS (SELECT item_id AS id, [item_id + item_id % 3, item_id - 1, item_id] AS ret FROM benchmark), m AS (SELECT avg(CASE WHEN list_position(ret, id) > 0 THEN 1.0 ELSE 0.0 END) AS hit, avg(coalesce(round(1.0 / nullif(list_position(ret, id), 0), 6), 0.0)) AS mrr FROM c)
@@ -308,7 +308,7 @@ ORACLES = {
     "report_rows": """SELECT o_orderkey, '{"day":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '","amount":"' || CAST(o_totalprice AS DECIMAL(18,2)) || '"' || CASE WHEN o_orderkey % 2 = 0 THEN ',"priority":"' || o_orderpriority || '"' ELSE '' END || '}' AS json FROM orders""",
     "best_evidence": """WITH x AS (SELECT l_orderkey AS id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 AS rank, CASE WHEN l_partkey % 5 = 0 THEN l_linenumber END AS row_index, CASE WHEN l_partkey % 3 = 0 THEN 'e' END AS element_id, CASE WHEN l_suppkey % 2 = 0 THEN 1 END AS page_number FROM lineitem)
     SELECT id, rank, coalesce(row_index, -1) AS row_index, element_id, coalesce(page_number, -1) AS page_number FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN x.row_index IS NOT NULL THEN 0 WHEN element_id IS NOT NULL THEN 1 WHEN x.page_number IS NOT NULL THEN 2 ELSE 3 END, rank) = 1""",
-    "audit_trail": f"{DOCS} SELECT id AS document, 'created' AS event, CAST(document_date AS VARCHAR) AS \"at\" FROM docs WHERE id % 50 = 0 UNION ALL SELECT id, 'filed', '2025-01-01' FROM docs WHERE id % 3 = 0",
+    "audit_trail": f"{DOCS} SELECT id AS document, 'created' AS event, CAST(document_date AS VARCHAR) AS \"at\" FROM docs UNION ALL SELECT id, 'filed', '2025-01-01' FROM docs WHERE id % 3 = 0",
     "region_projection": """WITH r AS (SELECT o_orderkey AS region, CASE WHEN o_orderkey % 5 = 0 THEN 'o' WHEN o_orderkey % 2 = 0 THEN 'invoice' ELSE 'receipt' END AS family FROM orders), c AS (SELECT l_orderkey AS region, ['invoice', 'receipt', ''][l_partkey % 3 + 1] AS f FROM lineitem WHERE l_orderkey % 11 <> 0),
     n AS (SELECT r.region, count(f) AS a, count(*) FILTER (WHERE family = 'o' AND f IS NOT NULL OR f = family) AS k FROM r LEFT JOIN c USING (region) GROUP BY 1) SELECT region, CASE WHEN a = 0 THEN 'missing_claims' WHEN k = 0 THEN 'aggregate_incompatible_source_family' ELSE 'projected' END AS outcome, k AS claims FROM n""",
     "changed_rows": f"{DOCS} SELECT id, CASE WHEN id % 4 = 0 THEN 'moved' ELSE folder END AS folder, family, CASE WHEN id % 4 = 0 THEN '2025-01-01' ELSE '2024-01-01' END AS updated_at FROM docs",

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import sha256
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,14 @@ def state_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{state_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """A hash of a table's files, their sizes and times of change: what is built from the table is stale once this differs."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files, found = root.getFileSystem(conf).listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sha256("\n".join(sorted(found)).encode()).hexdigest()
