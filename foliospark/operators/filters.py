@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,14 +62,15 @@ class Filters:
     chars_max: int | None = None
     text: str | None = None
     tags: tuple[str, ...] = ()
-    amount_min: float | None = None
-    amount_max: float | None = None
+    amount_min: Decimal | float | None = None
+    amount_max: Decimal | float | None = None
     relationship_types: tuple[str, ...] = ()
     relationship_statuses: tuple[str, ...] = ()
     has_relationships: bool | None = None
     deadline_types: tuple[str, ...] = ()
     deadline_statuses: tuple[str, ...] = ()
     has_open_deadlines: bool | None = None
+    primary_folder_only: bool = False
 
     def __post_init__(self):
         if self.date_from and self.date_to and self.date_from > self.date_to:
@@ -78,10 +80,10 @@ class Filters:
         if self.amount_min is not None and self.amount_max is not None and self.amount_min > self.amount_max:
             raise ValueError("amount_min is above amount_max")
 
-    def predicate(self) -> Column:
-        """One conjunction; what is not set adds nothing.  Both values of reviewed_only admit auto_accepted."""
+    def predicate(self, folders: bool = True) -> Column:
+        """One conjunction; what is not set adds nothing.  Both values of reviewed_only admit auto_accepted.  folders: by the primary folder."""
         c: list[Column] = []
-        for name, values in (("family", self.families), ("folder", self.folders), ("sensitivity", self.sensitivities), ("review_status", self.review_statuses)):
+        for name, values in (("family", self.families), ("folder", self.folders if folders else ()), ("sensitivity", self.sensitivities), ("review_status", self.review_statuses)):
             if values:
                 c.append(F.col(name).isin(*values))
         if self.reviewed_only is not None:
@@ -100,7 +102,11 @@ class Filters:
 
     def apply(self, docs: DataFrame, related: Related = Related()) -> DataFrame:  # noqa: B008
         """The documents that pass: the predicate, then semi and anti joins with the tables beside them."""
-        out = docs.filter(self.predicate())
+        bridged = bool(self.folders) and related.members is not None and not self.primary_folder_only
+        out = docs.filter(self.predicate(folders=not bridged))
+        if bridged:  # in the primary folder, or a member of one of them
+            inside = related.members.filter(F.col("folder").isin(*self.folders)).select(F.col("id").alias("_member")).distinct()
+            out = out.join(inside, F.col("id") == F.col("_member"), "left").filter(F.col("folder").isin(*self.folders) | F.col("_member").isNotNull()).drop("_member")
         if self.tags:
             out = out.join(_given(related.tags, "tags").filter(F.lower("tag").isin(*[t.lower() for t in self.tags])).select("id"), "id", "left_semi")
         if self.amount_min is not None or self.amount_max is not None:
@@ -148,6 +154,7 @@ class Filters:
             if a is not None and b is not None and a != b:
                 raise ValueError(f"two values of {name} make no single filter")
             got[name] = a if a is not None else b
+        got["primary_folder_only"] = self.primary_folder_only or other.primary_folder_only
         try:
             return Filters(**got)
         except ValueError:

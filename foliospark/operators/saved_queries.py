@@ -95,13 +95,12 @@ def parse(text: str | dict | None) -> dict[str, Any]:
 
 
 def to_filters(values: dict[str, Any]) -> Filters:
-    """The filter of a saved query; folders are given by their ids, and a filter on primary folders alone is the folder filter."""
+    """The filter of a saved query; folders are given by their ids, amounts stay decimals."""
     day = lambda x: str(x) if x else None
-    number = lambda x: None if x is None else float(x)
     return Filters(
         families=values["families"], folders=tuple(map(str, values["folder_ids"])), sensitivities=values["sensitivity"], review_statuses=values["review_statuses"], reviewed_only=values["reviewed_only"], date_from=day(values["date_from"]), date_to=day(values["date_to"]),
-        tags=values["tags"], amount_min=number(values["amount_min"]), amount_max=number(values["amount_max"]), relationship_types=values["relationship_types"], relationship_statuses=values["relationship_statuses"], has_relationships=values["has_relationships"],
-        deadline_types=values["deadline_types"], deadline_statuses=values["deadline_statuses"], has_open_deadlines=values["has_open_deadlines"],
+        tags=values["tags"], amount_min=values["amount_min"], amount_max=values["amount_max"], relationship_types=values["relationship_types"], relationship_statuses=values["relationship_statuses"], has_relationships=values["has_relationships"],
+        deadline_types=values["deadline_types"], deadline_statuses=values["deadline_statuses"], has_open_deadlines=values["has_open_deadlines"], primary_folder_only=values["primary_folder_only"],
     )
 
 
