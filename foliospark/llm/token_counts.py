@@ -10,11 +10,12 @@ they bring the machine from its reset state back to it, and the transition carri
 
 A chunk of a text is a state map: from the pending unit before it to the pending unit after it and the tokens emitted
 in between.  If a unit begins in the chunk, the map forgets its argument but for the unit that it ends; maps compose
-associatively.  Every text goes through the one path: its chunks' maps, of which there may be one, then a prefix scan, whose
-rounds up and down a tree are independent inside, twice as many compositions as chunks in all.  Chunks are cut anywhere.
+associatively.  Every text goes through the one path: its chunks' maps, of which there may be one, then a prefix scan over a tree,
+whose rounds are independent inside; a count needs the scan's last entry, so only the rounds up.  Chunks are cut anywhere.
 
 Memory: the compiled transitions start anew when they hold `most` entries or `MOST_BYTES` bytes of units, and units of more
-than `LONG_UNIT` characters are run through the counter each time; the pairs of tokens that may follow each other start
+than `LONG_UNIT` characters are run through the counter each time.  The counter holds the last tokens of as many positions as
+the longest token has bytes (and a block); a text without white space is pending as a whole, once or twice.  The pairs of tokens that may follow each other start
 anew at `most` pairs.
 
 Special tokens inside texts count as one token, the library's default.  Nulls: a null text is the empty text, no
@@ -36,7 +37,7 @@ from foliospark.llm.common import table, through_python
 
 LIMIT = 512
 CHUNK = 1 << 12
-LONG_UNIT, MOST_BYTES = 256, 1 << 28
+LONG_UNIT, MOST_BYTES, BLOCK = 256, 1 << 28, 1 << 14
 # Fixed value: the characters with the Unicode property White_Space.
 SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: endings that the pattern cuts off.
@@ -74,6 +75,7 @@ class CountingTransducer:
         for b in self.ids:
             ends.setdefault(b[-1], set()).add(len(b))
         self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self.reach = max(map(len, self.ids), default=1)
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.most, self.units, self.follow, self.held = most, {}, {}, 0
@@ -109,18 +111,23 @@ class CountingTransducer:
         if (n := self.units.get(piece)) is not None:  # every piece is a unit too
             return n
         data = piece.encode("utf-8", "surrogatepass")
-        last, count = [-1], [0]
-        ids, follow = self.ids, self.follow
-        for n in range(1, len(data) + 1):
-            for k in self.lengths[data[n - 1]]:
-                if k <= n and (t := ids.get(data[n - k : n])) is not None:
-                    ok = follow.get((last[n - k], t))
-                    if ok is None:
-                        ok = self.follows(last[n - k], t)
-                    if ok:
-                        last.append(t)
-                        count.append(count[n - k] + 1)
-                        break
+        last, count, base = [-1], [0], 0  # of the positions from base on; a token reaches back `reach` bytes at most
+        ids, follow, keep = self.ids, self.follow, self.reach + 1
+        for start in range(0, len(data), BLOCK):
+            if len(last) > keep:
+                base += len(last) - keep
+                del last[:-keep], count[:-keep]
+            for n in range(start + 1, min(start + BLOCK, len(data)) + 1):
+                for k in self.lengths[data[n - 1]]:
+                    if k <= n and (t := ids.get(data[n - k : n])) is not None:
+                        before = last[n - k - base]
+                        ok = follow.get((before, t))
+                        if ok is None:
+                            ok = self.follows(before, t)
+                        if ok:
+                            last.append(t)
+                            count.append(count[n - k - base] + 1)
+                            break
         return self._keep(piece, count[-1])
 
     def _keep(self, unit: str, n: int) -> int:
@@ -186,17 +193,22 @@ class CountingTransducer:
             return ChunkMap(chunk)
         return ChunkMap(units[0], self._emit(units[1:-1]), units[-1])
 
+    @staticmethod
+    def parted(a: str, b: str) -> bool:
+        """Whether a unit begins where the pending units of two chunks meet."""
+        return a[-1] not in SPACES and b[0] in SPACES
+
     def then(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two neighbouring chunks."""
-        joint = (a.head if a.tail is None else a.tail) + b.head
+        open_ = a.head if a.tail is None else a.tail
         if a.tail is not None and b.tail is not None:
-            return ChunkMap(a.head, a.inner + self.run(joint) + b.inner, b.tail)
-        m = self.chunk(joint)  # a unit may begin where the two meet
-        if a.tail is None and b.tail is None:
-            return m
-        if b.tail is None:
-            return ChunkMap(a.head, a.inner, joint) if m.tail is None else ChunkMap(a.head, a.inner + self.run(m.head) + m.inner, m.tail)
-        return ChunkMap(joint, b.inner, b.tail) if m.tail is None else ChunkMap(m.head, m.inner + self.run(m.tail) + b.inner, b.tail)
+            return ChunkMap(a.head, a.inner + self.run(open_ + b.head) + b.inner, b.tail)
+        if not self.parted(open_, b.head):
+            joint = open_ + b.head
+            return ChunkMap(joint, b.inner, b.tail) if a.tail is None else ChunkMap(a.head, a.inner, joint)
+        if a.tail is None:
+            return ChunkMap(a.head, 0, b.head) if b.tail is None else ChunkMap(a.head, self.run(b.head) + b.inner, b.tail)
+        return ChunkMap(a.head, a.inner + self.run(open_), b.head)
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
         """Inclusive prefix scan: neighbours are joined, their scan gives every second prefix, and one step down the others."""
@@ -206,6 +218,12 @@ class CountingTransducer:
         even = [maps[0], *(self.then(a, b) for a, b in zip(odd, maps[2::2], strict=False))]
         return [odd[i // 2] if i % 2 else even[i // 2] for i in range(len(maps))]
 
+    def total(self, maps: list[ChunkMap]) -> ChunkMap:
+        """The scan's last entry: its rounds up alone, each of which keeps only its results, so what is pending is held once or twice."""
+        while len(maps) > 1:
+            maps = [self.then(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a whole text."""
         n, at = 0, 0
@@ -217,7 +235,7 @@ class CountingTransducer:
     def _segment(self, text: str, chunk: int) -> int:
         if not text:
             return 0
-        whole = self.scan([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
+        whole = self.total([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])
         return self._emit([u for u in (whole.head, whole.tail) if u]) + whole.inner
 
 

@@ -68,3 +68,24 @@ def test_memory_is_bounded(monkeypatch, lib):
     for t in [*texts()[::9], "x1" * 5000]:
         assert machine.count(t) == len(lib.encode(t, add_special_tokens=False).ids)
         assert len(machine.units) <= 50 and len(machine.follow) <= 50 and sum(map(len, machine.units)) <= 100 + token_counts.LONG_UNIT
+
+
+@pytest.mark.parametrize("text", ["日本語の長い文章" * 150_000, "ab1-" * 200_000, "x" * 500_000 + " \n" * 3 + "y" * 300_000, "é" * 400_000 + "'s"])
+def test_long_text_without_white_space(text, lib):
+    """Over a million characters, in memory that grows with the text and no faster."""
+    import resource
+    import time
+
+    machine = token_counts.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"))
+    before, t = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    n = machine.count(text)
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert grown < 150 and time.time() - t < 60
+    assert n == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_blocks_of_the_counter(monkeypatch, lib):
+    monkeypatch.setattr(token_counts, "BLOCK", 3)
+    machine = token_counts.CountingTransducer(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in [*texts()[::4], "abcdefgh" * 100]:
+        assert machine.count(t, 7) == len(lib.encode(t, add_special_tokens=False).ids)
