@@ -74,24 +74,52 @@ def voted(votes: DataFrame, hits: DataFrame, margin: float = 0.5) -> DataFrame:
     return top.select("id", F.when((F.col("anchored") == 0) & (F.col("lead") < margin), "generic_form").otherwise(F.col("family")).alias("family"), "votes")
 
 
+# Families that documents can have; families of the model's document types; whose anchors support a family; families whose
+# anchors outweigh the source, first come first, the first three over any source; types that say nothing.
+STORED = (
+    "generic", "receipt", "invoice", "medical_eob", "medical_bill", "insurance_document", "insurance_denial", "legal_contract", "legal_notice", "tax_document", "warranty", "identity_document", "bank_statement", "financial_statement",
+    "handwritten_note", "typed_note", "whitepaper", "reference_document", "retail_order", "service_record", "real_estate_title", "mortgage_escrow_statement", "financial_dispute_form",
+)
+TYPE_FAMILY = {
+    "invoice": "invoice", "receipt": "receipt", "payment_receipt": "receipt", "travel_receipt": "receipt", "restaurant_receipt": "receipt", "medical_eob": "medical_eob", "medical_bill": "medical_bill", "medical_claim": "medical_eob",
+    "insurance_denial": "insurance_denial", "insurance_document": "insurance_document", "retail_order": "retail_order", "service_record": "service_record", "real_estate_title": "real_estate_title",
+    "mortgage_escrow_statement": "mortgage_escrow_statement", "financial_dispute_form": "financial_dispute_form", "generic_form": "generic", "unsupported_document": "generic", "no_extraction_target": "generic",
+}
+SUPPORT = {"insurance_denial": "medical_eob", "insurance_document": "medical_eob", "medical_bill": "medical_eob"}
+OUTWEIGH = ("real_estate_title", "mortgage_escrow_statement", "financial_dispute_form", "service_record", "retail_order")
+REPLACEABLE = ("receipt", "invoice", "medical_eob", "medical_bill", "insurance_document")
+SAYS_NOTHING = ("document_observation", "generic_form", "unsupported_document", "no_extraction_target")
+
+
+def _looked_up(table: dict[str, str], key: Column, default: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce(key, F.lit(""))), default)
+
+
 def reconciled(docs: DataFrame, hints: DataFrame) -> DataFrame:
-    """docs: id, family, semantic (the model's family or null); hints: (id, family, anchors, hint).  Supported types win, then a dominant other family; what a model
-    calls generic loses an unsupported family; else the family stays.  Confidence grows with anchors, 0.96 at most."""
-    given = hints.filter("hint").select("id", "family", F.size("anchors").alias("n"))
-    support = given.select("id", F.col("family").alias("semantic"), F.col("n").alias("support"))
-    own = given.select("id", "family", F.lit(True).alias("own"))
-    best = given.groupBy("id").agg(F.max_by(F.struct("family", "n"), F.struct("n", "family")).alias("b"), F.count("*").alias("hints"))
-    x = docs.join(support, ["id", "semantic"], "left").join(own, ["id", "family"], "left").join(best, "id", "left")
+    """docs: id, family, semantic (the model's document type or null); hints: (id, family, anchors, hint).  (id, family, confidence, reason, update).
+
+    A type whose family's anchors are there wins; then the first family of `OUTWEIGH` that is hinted at, where it may replace the source; then a type that says
+    nothing takes a family away that no anchors support; else the family stays.  Confidence grows with anchors, 0.96 at most."""
+    own = hints.filter("hint").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("family", F.size("anchors").alias("n")))).alias("_n"))  # a few families a document
+    x = docs.select("id", F.nullif(F.lower(F.trim("family")), F.lit("")).alias("given"), F.nullif(F.lower(F.trim("semantic")), F.lit("")).alias("kind")).join(own, "id", "left")
+    none = F.lit(None).cast("string")
+    x = x.withColumns({"source": F.coalesce("given", F.lit("generic")), "said": _looked_up(TYPE_FAMILY, F.col("kind"), none)})
+    anchors = lambda family: F.element_at("_n", _looked_up(SUPPORT, family, F.coalesce(family, F.lit(""))))
+    hinted = F.coalesce(*[F.when(F.element_at("_n", F.lit(f)).isNotNull(), f) for f in OUTWEIGH])
+    x = x.withColumns({"support": F.when(F.col("said").isNotNull(), anchors(F.col("said"))), "backed": anchors(F.col("source")), "hinted": hinted})
     sure = lambda n: F.round(F.least(F.lit(0.96), 0.72 + 0.04 * n), 4)
-    result = lambda f, c, r: F.struct(f.alias("family"), c.alias("confidence"), F.lit(r).alias("reason"))
+    result = lambda f, c, r: F.struct(f.alias("family"), c.alias("confidence"), r.alias("reason"))
+    other = lambda f: ~f.eqNullSafe(F.col("given"))
+    may = F.col("hinted").isin(*OUTWEIGH[:3]) | F.col("source").isin(*REPLACEABLE, "generic")
     decision = (
-        F.when(F.col("support").isNotNull() & (F.col("semantic") != F.col("family")), result(F.col("semantic"), sure(F.col("support")), "semantic_document_type_with_docling_support"))
-        .when(F.col("support").isNotNull(), result(F.col("semantic"), sure(F.col("support")), "semantic_document_type_confirms_existing_family"))
-        .when((F.col("hints") == 1) & (F.col("b.family") != F.col("family")), result(F.col("b.family"), sure(F.col("b.n")), "docling_anchor_family_supersedes_phase4"))
-        .when(F.col("family").isin("receipt", "invoice", "medical_eob") & (F.col("semantic") == "generic") & F.col("own").isNull(), result(F.lit("generic"), F.lit(0.68), "semantic_generic_downgrades_unsupported_phase4_family"))
-        .otherwise(result(F.col("family"), F.lit(0.62), "retain_existing_family"))
+        F.when(F.col("support").isNotNull(), result(F.col("said"), sure(F.col("support")), F.when(other(F.col("said")), "semantic_document_type_with_docling_support").otherwise("semantic_document_type_confirms_existing_family")))
+        .when(F.col("hinted").isNotNull() & other(F.col("hinted")) & may, result(F.col("hinted"), sure(F.element_at("_n", F.col("hinted"))), F.lit("docling_anchor_family_supersedes_phase4")))
+        .when(F.col("source").isin(*REPLACEABLE) & F.col("kind").isin(*SAYS_NOTHING) & F.col("backed").isNull(), result(F.lit("generic"), F.lit(0.68), F.lit("semantic_generic_downgrades_unsupported_phase4_family")))
+        .otherwise(result(F.col("source"), F.lit(0.62), F.lit("retain_existing_family")))
     )
-    return x.withColumn("d", decision).select("id", "d.*")
+    x = x.withColumn("d", decision)
+    family = F.when(F.col("d.family").isin(*STORED), F.col("d.family")).otherwise("generic")
+    return x.select("id", family.alias("family"), "d.confidence", "d.reason", ((F.col("d.reason") != "retain_existing_family") & (family != F.col("source"))).alias("update"))
 
 
 def contracts(tasks: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def family_votes(s, d):
     return X.voted(votes, X.anchors(p).select("id", "family", "anchors"))
 
 
+def family_reconciliation(s, d):
+    """Papers with document types and families of every kind, in any spelling."""
+    p = _papers(s, d)
+    one = lambda values, k: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("id") % k + 1).cast("int"))
+    docs = p.select("id", one(("invoice", "receipt", None, "Insurance_Document ", "whitepaper", "odd"), 6).alias("family"), one((" Payment_Receipt", "invoice", "generic_form", "medical_claim", "insurance_denial", "unheard_of", None, "document_observation"), 8).alias("semantic"))
+    return X.reconciled(docs, X.anchors(p))
+
+
 def contract_modes(s, d):
     tasks = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.element_at(F.array(F.lit("invoice"), F.lit("bill"), F.lit("memo"), F.lit(None)), (F.col("l_partkey") % 4 + 1).cast("int")).alias("schema"))
     return X.contracts(tasks, s.createDataFrame([("invoice", "invoice_v1"), ("receipt", "receipt_v1")], "schema string, contract string"), s.createDataFrame([("bill", "invoice"), ("slip", "receipt")], "alias string, schema string"))
@@ -119,7 +127,7 @@ def analysis_intake(s, d):
 QUERIES = {
     "family_anchors": lambda s, d: X.anchors(_papers(s, d)).select("id", "family", F.array_join("anchors", ",").alias("anchors"), "hint"),
     "classified_papers": lambda s, d: X.classified(_papers(s, d).withColumns({"text": F.regexp_replace(F.replace(F.col("text"), F.lit("preinvoice"), F.lit("")), r"\s+", " "), "title": F.lit("Scan"), "difficult": F.col("id") % 9 == 0})),
-    "family_votes": family_votes, "family_reconciliation": lambda s, d: X.reconciled(_papers(s, d).select("id", "family", "semantic"), X.anchors(_papers(s, d))),
+    "family_votes": family_votes, "family_reconciliation": family_reconciliation,
     "contract_modes": contract_modes, "lanes": lanes, "key_values": key_values, "row_gates": row_gates, "plan_enforcement": plan_enforcement, "document_bundles": document_bundles,
     "boxes": boxes, "payload_safety": payload_safety, "aggregate_triggers": aggregate_triggers, "analysis_intake": analysis_intake,
 }
@@ -131,11 +139,16 @@ ORACLES = {
     "family_votes": f"""WITH {HITS}, v AS (SELECT id, family, 0.35::DOUBLE AS w, 0 AS anchored FROM dd UNION ALL SELECT id, semantic, CASE WHEN id % 3 = 0 THEN 0.5 ELSE (id % 10) / 10.0 END, 0 FROM dd WHERE semantic IS NOT NULL UNION ALL SELECT id, family, len(a) * 1.25, 1 FROM hi),
     t AS (SELECT id, family, round(sum(w), 6) AS votes, max(anchored) AS anchored FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS n, votes - coalesce(lead(votes) OVER w, 0) AS lead FROM t WINDOW w AS (PARTITION BY id ORDER BY votes DESC, family))
     SELECT id, CASE WHEN anchored = 0 AND lead < 0.5 THEN 'generic_form' ELSE family END AS family, votes FROM r WHERE n = 1""",
-    "family_reconciliation": f"""WITH {HITS}, g AS (SELECT id, family, len(a) AS n FROM hi WHERE hint), b AS (SELECT id, count(*) AS hints, arg_max(family, n) AS f, max(n) AS n FROM g GROUP BY 1),
-    x AS (SELECT dd.*, (SELECT n FROM g WHERE g.id = dd.id AND g.family = dd.semantic) AS sup, EXISTS (SELECT 1 FROM g WHERE g.id = dd.id AND g.family = dd.family) AS own, b.hints, b.f, b.n FROM dd LEFT JOIN b USING (id)),
-    k AS (SELECT *, CASE WHEN sup IS NOT NULL AND semantic <> family THEN 1 WHEN sup IS NOT NULL THEN 2 WHEN hints = 1 AND f <> family THEN 3 WHEN family IN ('receipt', 'invoice') AND semantic = 'generic' AND NOT own THEN 4 ELSE 5 END AS k FROM x)
-    SELECT id, CASE WHEN k <= 2 THEN semantic WHEN k = 3 THEN f WHEN k = 4 THEN 'generic' ELSE family END AS family, CASE WHEN k <= 2 THEN round(least(0.96, 0.72 + 0.04 * sup), 4) WHEN k = 3 THEN round(least(0.96, 0.72 + 0.04 * n), 4) WHEN k = 4 THEN 0.68 ELSE 0.62 END::DOUBLE AS confidence,
-    ['semantic_document_type_with_docling_support', 'semantic_document_type_confirms_existing_family', 'docling_anchor_family_supersedes_phase4', 'semantic_generic_downgrades_unsupported_phase4_family', 'retain_existing_family'][k] AS reason FROM k""",
+    "family_reconciliation": f"""WITH {HITS}, g AS (SELECT id, family AS f, len(a) AS n FROM hi WHERE hint),
+    x AS (SELECT id, ['invoice', 'receipt', NULL, 'insurance_document', 'whitepaper', 'odd'][id % 6 + 1] AS given, ['payment_receipt', 'invoice', 'generic_form', 'medical_claim', 'insurance_denial', 'unheard_of', NULL, 'document_observation'][id % 8 + 1] AS kind FROM pa),
+    y AS (SELECT *, coalesce(given, 'generic') AS source, CASE kind WHEN 'payment_receipt' THEN 'receipt' WHEN 'invoice' THEN 'invoice' WHEN 'generic_form' THEN 'generic' WHEN 'medical_claim' THEN 'medical_eob' WHEN 'insurance_denial' THEN 'insurance_denial' END AS said FROM x),
+    z AS (SELECT y.*, (SELECT n FROM g WHERE g.id = y.id AND f = CASE said WHEN 'insurance_denial' THEN 'medical_eob' ELSE said END) AS sup, (SELECT n FROM g WHERE g.id = y.id AND f = CASE source WHEN 'insurance_document' THEN 'medical_eob' ELSE source END) AS backed,
+        (SELECT arg_min(f, list_position(['real_estate_title', 'mortgage_escrow_statement', 'financial_dispute_form', 'service_record', 'retail_order'], f)) FROM g WHERE g.id = y.id AND f IN ('real_estate_title', 'mortgage_escrow_statement', 'financial_dispute_form', 'service_record', 'retail_order')) AS best FROM y),
+    k AS (SELECT *, CASE WHEN sup IS NOT NULL AND said IS DISTINCT FROM given THEN 1 WHEN sup IS NOT NULL THEN 2 WHEN best IS DISTINCT FROM given AND (best IN ('real_estate_title', 'mortgage_escrow_statement', 'financial_dispute_form') OR (best IS NOT NULL AND source IN ('receipt', 'invoice', 'insurance_document', 'generic'))) THEN 3
+        WHEN source IN ('receipt', 'invoice', 'insurance_document') AND kind IN ('generic_form', 'document_observation') AND backed IS NULL THEN 4 ELSE 5 END AS k FROM z),
+    o AS (SELECT k.*, CASE WHEN k <= 2 THEN said WHEN k = 3 THEN best WHEN k = 4 THEN 'generic' WHEN source = 'odd' THEN 'generic' ELSE source END AS family, CASE WHEN k <= 2 THEN sup WHEN k = 3 THEN (SELECT n FROM g WHERE g.id = k.id AND f = best) END AS n FROM k)
+    SELECT id, family, CASE k WHEN 4 THEN 0.68 WHEN 5 THEN 0.62 ELSE round(least(0.96, 0.72 + 0.04 * n), 4) END::DOUBLE AS confidence,
+    ['semantic_document_type_with_docling_support', 'semantic_document_type_confirms_existing_family', 'docling_anchor_family_supersedes_phase4', 'semantic_generic_downgrades_unsupported_phase4_family', 'retain_existing_family'][k] AS reason, k < 5 AND family <> source AS update FROM o""",
     "contract_modes": "SELECT l_orderkey * 10 + l_linenumber AS id, ['exact', 'alias', 'generic_review_only', 'missing'][l_partkey % 4 + 1] AS mode, ['invoice_v1', 'invoice_v1', 'document_observation', NULL][l_partkey % 4 + 1] AS contract FROM lineitem",
     "lanes": """WITH x AS (SELECT *, CASE WHEN l_suppkey % 4 = 0 THEN 'vision/difficult_page:handwriting,degraded_scan' END AS hard, CASE WHEN l_partkey % 11 = 0 THEN 'vision/no_semantic_task' WHEN l_partkey % 5 = 0 THEN 'x' END AS first FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN first = 'x' THEN 'vision/region_not_line_item_table' WHEN first IS NOT NULL THEN first WHEN l_partkey % 7 = 0 THEN 'vision/no_grounded_docling_table' WHEN l_partkey % 3 = 0 THEN 'vision/table_grid_missing' WHEN l_linenumber = 1 THEN 'vision/table_grid_has_no_data_rows' WHEN l_suppkey % 3 < 2 THEN 'vision/table_grid_too_narrow' ELSE coalesce(hard, 'text/usable_grid_on_text_page') END AS table_lane,

@@ -76,3 +76,17 @@ def test_both_directed_rules_suggest(spark):
     docs = spark.createDataFrame([(1, "invoice", 7, "2024-01-01", "a"), (2, "receipt", 7, "2024-01-09", "b"), (3, "legal_contract", 7, None, "c"), (4, "legal_contract", 7, None, "d")], "id long, family string, contact long, day string, sha string")
     got = facts.relationship_suggestions(docs.withColumn("day", F.to_date("day"))).collect()
     assert sorted((r.a, r.b, r.kind, r.confidence) for r in got) == [(1, 2, "invoice_for", 0.86), (2, 1, "receipt_for", 0.86), (3, 4, "amendment_to", 0.78)]
+
+
+def test_families_by_priority_and_support(spark):
+    docs = [(1, "whitepaper", None), (2, "invoice", None), (3, "receipt", "insurance_denial"), (4, "medical_bill", "generic_form"), (5, "insurance_document", "document_observation"), (6, " Receipt ", "travel_receipt"), (7, "whitepaper", None)]
+    hints = [(1, "service_record", 3), (1, "real_estate_title", 2), (2, "service_record", 5), (2, "retail_order", 9), (3, "medical_eob", 2), (4, "medical_eob", 2), (6, "receipt", 4), (7, "service_record", 3)]
+    h = spark.createDataFrame([(i, f, ["x"] * n, True) for i, f, n in hints], "id long, family string, anchors array<string>, hint boolean")
+    got = {r.id: (r.family, r.confidence, r.update) for r in extraction.reconciled(spark.createDataFrame(docs, "id long, family string, semantic string"), h).collect()}
+    assert got == {
+        1: ("real_estate_title", 0.8, True),  # two hints: the order of families decides
+        2: ("service_record", 0.92, True),  # not the one with most anchors
+        3: ("insurance_denial", 0.8, True),  # supported by another family's anchors
+        4: ("medical_bill", 0.62, False), 5: ("generic", 0.68, True), 6: ("receipt", 0.88, False),
+        7: ("whitepaper", 0.62, False),  # only some families may be replaced by these
+    }
