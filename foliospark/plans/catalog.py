@@ -1,9 +1,9 @@
 """All registered queries of the library with their SQL."""
 from __future__ import annotations
 
-from foliospark.plans import admission_queries, claim_queries, extraction_queries, fact_queries, folder_queries, grid_queries, ledger_queries, planner_queries, report_queries, search_queries, span_queries, state_queries, text_queries
+from foliospark.plans import admission_queries, claim_queries, extraction_queries, fact_queries, folder_queries, grid_queries, invariant_queries, ledger_queries, planner_queries, report_queries, search_queries, span_queries, state_queries, text_queries
 
-_ALL = (search_queries, fact_queries, ledger_queries, text_queries, claim_queries, report_queries, state_queries, extraction_queries, planner_queries, span_queries, admission_queries, folder_queries, grid_queries)
+_ALL = (search_queries, fact_queries, ledger_queries, text_queries, claim_queries, report_queries, state_queries, extraction_queries, planner_queries, span_queries, admission_queries, folder_queries, grid_queries, invariant_queries)
 
 
 def plain(query):
