@@ -31,7 +31,9 @@ def report_summaries(s, d):
 
 
 def hard_invariants(s, d):
-    events, tasks, ledger, _ = _report(s, d)
+    """Checks of tasks, admissions, reviews and jobs.  After a review (a label) a document is confirmed or needs another one, but is not auto-accepted."""
+    events, tasks, ledger, docs = _report(s, d)
+    reviewed = table(s, d, "labels").select(F.col("doc_id").alias("id"))
     chosen = tasks.filter("status = 'selected'").select(F.col("document").alias("id"), "schema", "backend")
     admitted = events.filter(F.startswith("decision", F.lit("admitted"))).withColumn("id", F.col("document") * 10 + F.col("l_linenumber"))
     return reports.violations({
@@ -39,6 +41,7 @@ def hard_invariants(s, d):
         "selectedTasksMissingGrounding": chosen.filter("backend IS NULL").select("id"),
         "admittedWithoutConcreteEvidence": admitted.filter("NOT coalesce(concrete, false)").select("id"),
         "placeholdersAdmitted": admitted.filter(F.exists("reasons", lambda r: T.is_placeholder(r))).select("id"),
+        "reviewedDocumentsAutoAccepted": docs.filter("review_status = 'auto_accepted'").join(reviewed, "id", "left_semi").select("id"),
         "jobsPastTheirAttempts": ledger.filter("attempts > max_attempts").select(F.col("job_id").alias("id")),
     }).withColumn("examples", F.array_join("examples", ","))
 
@@ -193,12 +196,12 @@ _T = f"""WITH {SQL['docs']}, {SQL['jobs']}, ev AS (SELECT l_orderkey * 10 + l_li
         UNION ALL SELECT 'contracts', unnest(['contracted', 'missing']), unnest([count(sch), count(*) - count(sch)]) FROM tk UNION ALL SELECT 'safe', 'unsafe', count(*) FROM jobs WHERE status IN ('failed', 'dead_letter')
         UNION ALL SELECT 'coverage', unnest(['regions', 'full', 'none', 'expected', 'absent', 'mean']), unnest([count(*) FILTER (WHERE want > 0), count(*) FILTER (WHERE want > 0 AND len(miss) = 0), count(*) FILTER (WHERE want > 0 AND len(miss) = 3), sum(want), sum(len(miss)), round(avg(CASE WHEN want > 0 THEN (3 - len(miss)) / 3.0 END), 4)]) FROM dc),
     sm AS (SELECT summary, key, CAST(n AS DOUBLE) AS n FROM ct)"""
-_INV = "(SELECT 'selectedTasksMissingContract' AS invariant, id FROM tk WHERE status = 'selected' AND sch IS NULL UNION ALL SELECT 'selectedTasksMissingGrounding', id FROM tk WHERE status = 'selected' AND backend IS NULL UNION ALL SELECT 'admittedWithoutConcreteEvidence', id FROM ev WHERE decision LIKE 'admitted%' AND NOT coalesce(concrete, false) UNION ALL SELECT 'placeholdersAdmitted', id FROM ev WHERE decision LIKE 'admitted%' AND list_contains(reasons, 'placeholder'))"
+_INV = "(SELECT 'selectedTasksMissingContract' AS invariant, id FROM tk WHERE status = 'selected' AND sch IS NULL UNION ALL SELECT 'selectedTasksMissingGrounding', id FROM tk WHERE status = 'selected' AND backend IS NULL UNION ALL SELECT 'admittedWithoutConcreteEvidence', id FROM ev WHERE decision LIKE 'admitted%' AND NOT coalesce(concrete, false) UNION ALL SELECT 'placeholdersAdmitted', id FROM ev WHERE decision LIKE 'admitted%' AND list_contains(reasons, 'placeholder') UNION ALL SELECT 'reviewedDocumentsAutoAccepted', id FROM dc WHERE review_status = 'auto_accepted' AND id IN (SELECT doc_id FROM labels))"
 
 ORACLES = {
     "report_summaries": _T + " SELECT * FROM sm",
     "hard_invariants": _T + f""", v AS (SELECT invariant, CAST(id AS VARCHAR) AS id, row_number() OVER (PARTITION BY invariant ORDER BY CAST(id AS VARCHAR)) AS n FROM {_INV}), g AS (SELECT invariant, count(*) AS violations, string_agg(id, ',' ORDER BY id) FILTER (WHERE n <= 10) AS examples FROM v GROUP BY 1)
-    SELECT i AS invariant, coalesce(violations, 0) AS violations, coalesce(examples, '') AS examples FROM (SELECT unnest(['selectedTasksMissingContract', 'selectedTasksMissingGrounding', 'admittedWithoutConcreteEvidence', 'placeholdersAdmitted', 'jobsPastTheirAttempts']) AS i) LEFT JOIN g ON i = invariant""",
+    SELECT i AS invariant, coalesce(violations, 0) AS violations, coalesce(examples, '') AS examples FROM (SELECT unnest(['selectedTasksMissingContract', 'selectedTasksMissingGrounding', 'admittedWithoutConcreteEvidence', 'placeholdersAdmitted', 'reviewedDocumentsAutoAccepted', 'jobsPastTheirAttempts']) AS i) LEFT JOIN g ON i = invariant""",
     "operational_gates": _T + """, n AS (SELECT 'targetQueueDeadLetters' AS gate, (SELECT count(*) FROM jobs WHERE queue IN ('q0', 'q1') AND status = 'dead_letter') AS violations UNION ALL SELECT 'classifiedOperationalFailures', (SELECT count(*) FROM jobs WHERE status IN ('failed', 'dead_letter') AND job_id % 9 = 0)
         UNION ALL SELECT 'runtimeFailureRates', (SELECT count(DISTINCT queue) FROM jobs WHERE status IN ('failed', 'dead_letter')) UNION ALL SELECT 'retrySuccessRate', CASE WHEN (SELECT count(*) FROM jobs WHERE attempts > 1 AND status <> 'succeeded') > 0 THEN 1 ELSE 0 END
         UNION ALL SELECT 'runawayFanout', (SELECT count(*) FROM (SELECT id FROM tk WHERE status = 'selected' GROUP BY 1 HAVING count(*) > 6 UNION ALL SELECT id FROM tk WHERE status = 'selected' GROUP BY id, page HAVING count(*) > 3)) UNION ALL SELECT 'retrySafeJobs', (SELECT count(*) FROM jobs WHERE attempts > max_attempts))
