@@ -216,7 +216,7 @@ QUERIES = {
     "hybrid_shown": hybrid_shown,
     "page_vectors": page_vectors,
     "visual_topk": visual_topk,
-    "index_postings": lambda s, d: lexical_index(s, d).postings.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("occurrences")),
+    "index_postings": lambda s, d: lexical_index(s, d).postings.groupBy("term").agg(F.sum("chunks").alias("chunks"), F.sum("occurrences").alias("occurrences")),
     "facet_month": lambda s, d: filters.facet(composite(s, d), F.date_format(F.date_trunc("month", "document_date"), "yyyy-MM"), 24),
     "document_summary": document_summary,
     "document_paging": lambda s, d: filters.page_of(documents(s, d), 40, 20).select("id", "document_date"),
