@@ -5,12 +5,14 @@ bottom, or null).  A merged cell may be written once or once for each place that
 family.  Roles: id, col, role.
 
 Places are spread out, one row each, and of cells that claim one place the one that begins first, by row and column, has it.  A grid's
-rows then meet in arrays of its width; no grid is one task's work beyond its own cells.
+rows then meet in arrays of its width; no grid is one task's work beyond its own cells.  All keys begin with the id: cells that lie by it are
+not dealt out again, and each is read once.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.functions.text import folded, parse_amount
 
@@ -52,32 +54,45 @@ def places(cells: DataFrame, grids: DataFrame) -> DataFrame:
     known = cells.filter("row >= 0 AND col >= 0").withColumns({"row_span": span("row_span"), "col_span": span("col_span")})
     body = F.struct("row_span", "col_span", flat(F.col("text")).alias("text"), F.coalesce("column_header", F.lit(False)).alias("column_header"), F.coalesce("row_section", F.lit(False)).alias("row_section"), "box")
     own = known.groupBy("id", "row", "col").agg(F.min_by(body, "pos").alias("c"))
-    wide = own.groupBy("id").agg(F.max(F.col("row") + F.col("c.row_span")).alias("_rows"), F.max(F.col("col") + F.col("c.col_span")).alias("_cols"), F.bool_or("c.column_header").alias("by_flags"))
-    size = wide.join(grids, "id", "left").select("id", F.when(F.col("num_rows") > 0, F.col("num_rows")).otherwise(F.col("_rows")).alias("num_rows"), F.when(F.col("num_cols") > 0, F.col("num_cols")).otherwise(F.col("_cols")).alias("num_cols"), "by_flags")
+    grid = Window.partitionBy("id")
+    wide = own.withColumns({"_rows": F.max(F.col("row") + F.col("c.row_span")).over(grid), "_cols": F.max(F.col("col") + F.col("c.col_span")).over(grid), "by_flags": F.bool_or("c.column_header").over(grid)})
+    size = lambda given, found: F.when(F.col(given) > 0, F.col(given)).otherwise(F.col(found)).alias(given)
+    sized = wide.join(grids.select("id", "num_rows", "num_cols"), "id", "left").select("id", "row", "col", "c", "by_flags", size("num_rows", "_rows"), size("num_cols", "_cols")).filter("row < num_rows AND col < num_cols")
     first = F.struct("row", "col").alias("first")
-    down = own.select("id", first, "c", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("c.row_span") - 1)).alias("r"))
-    over = down.select("id", "first", "c", "r", F.explode(F.sequence(F.col("first.col"), F.col("first.col") + F.col("c.col_span") - 1)).alias("k"))
+    c = F.struct("num_rows", "num_cols", "by_flags", "c.text", "c.column_header", "c.row_section", "c.box").alias("c")
+    to = lambda at, over, end: F.sequence(F.col(at), F.least(F.col(at) + F.col(over), F.col(end)) - 1)
+    down = sized.select("id", first, c, F.col("c.col_span").alias("over"), F.explode(to("row", "c.row_span", "num_rows")).alias("r"))
+    over = down.select("id", "first", "c", "r", F.explode(to("first.col", "over", "c.num_cols")).alias("k"))
     spread = over.groupBy("id", F.col("r").alias("row"), F.col("k").alias("col")).agg(F.min_by("c", "first").alias("c"))
-    inside = spread.join(size, "id").filter("row < num_rows AND col < num_cols")
-    return inside.select("id", "row", "col", "num_rows", "num_cols", "by_flags", "c.text", "c.column_header", "c.row_section", "c.box")
+    return spread.select("id", "row", "col", "c.*")
+
+
+def headed(spread: DataFrame) -> DataFrame:
+    """spread with header, how many rows the grid's header has: the leading rows with a flagged cell, one at least; without any flag the first row,
+    unless it has a number beyond the first column.  Windows over one order of the places, so they are not made again for a join."""
+    grid, row = Window.partitionBy("id"), Window.partitionBy("id", "row")
+    flagged = spread.withColumns({"_flag": F.bool_or("column_header").over(row), "_n": F.row_number().over(row.orderBy("col"))})
+    upto = grid.orderBy("row", "col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = flagged.withColumn("_upto", F.sum(F.when(F.col("_flag") & (F.col("_n") == 1), 1).otherwise(0)).over(upto))
+    number = (F.col("row") == 0) & (F.col("col") > 0) & parse_amount(F.when(F.col("row") == 0, F.col("text"))).isNotNull()
+    run = F.coalesce(F.max(F.when(F.col("_flag") & (F.col("_upto") == F.col("row") + 1), F.col("row") + 1)).over(grid), F.lit(0))
+    rows = counted.withColumns({"_run": run, "_number": F.bool_or(number).over(grid)})
+    return rows.withColumn("header", F.when(F.col("by_flags"), F.greatest("_run", F.lit(1))).when(F.col("_number"), 0).otherwise(1)).drop("_flag", "_n", "_upto", "_run", "_number")
 
 
 def header(spread: DataFrame) -> DataFrame:
-    """(id, header): how many rows the header has: the leading rows with a flagged cell, one at least; without any flag the first row, unless
-    it has a number beyond the first column."""
-    number = (F.col("row") == 0) & (F.col("col") > 0) & parse_amount(F.col("text")).isNotNull()
-    seen = spread.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("column_header"), F.col("row")))).alias("flagged"), F.bool_or(number).alias("number"), F.first("by_flags").alias("by_flags"))  # rows of one grid
-    run = F.size(F.filter(F.transform("flagged", lambda r, i: r == i), lambda same: same))
-    return seen.select("id", F.when(F.col("by_flags"), F.greatest(run, F.lit(1))).when(F.col("number"), 0).otherwise(1).alias("header"))
+    """(id, header) of each grid."""
+    return headed(spread).groupBy("id").agg(F.first("header").alias("header"))  # one value a grid
 
 
-def labels(spread: DataFrame, head: DataFrame) -> DataFrame:
+def labels(spread: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """(id, num_cols, labels, fingerprint): the header text of each column, from the top down, and a hash of the grid's shape."""
-    top = spread.join(head, "id").filter("row < header AND text <> ''").groupBy("id", "col").agg(F.sort_array(F.collect_list(F.struct("row", "text"))).alias("t"))
-    own = top.select("id", "col", F.array_join(F.array_distinct(F.transform("t", lambda x: x["text"])), " / ").alias("label"))
-    named = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("col", "label"))).alias("m"))
-    every = spread.groupBy("id").agg(F.first("num_cols").alias("num_cols")).join(named, "id", "left")
-    found = every.withColumn("labels", F.transform(F.sequence(F.lit(0), F.col("num_cols") - 1), lambda c: F.coalesce(F.element_at("m", c), F.lit(""))))
+    rows = headed(spread) if head is None else spread.join(head, "id")
+    top = F.when((F.col("row") < F.col("header")) & (F.col("text") != ""), F.struct("row", "text"))
+    own = rows.groupBy("id", "col").agg(F.first("num_cols").alias("num_cols"), F.sort_array(F.collect_list(top)).alias("t"))
+    own = own.select("id", "col", "num_cols", F.array_join(F.array_distinct(F.transform("t", lambda x: x["text"])), " / ").alias("label"))
+    named = own.groupBy("id").agg(F.first("num_cols").alias("num_cols"), F.map_from_entries(F.collect_list(F.struct("col", "label"))).alias("m"))
+    found = named.withColumn("labels", F.transform(F.sequence(F.lit(0), F.col("num_cols") - 1), lambda c: F.coalesce(F.element_at("m", c), F.lit(""))))
     shape = F.to_json(F.struct(F.transform("labels", folded).alias("labels"), F.col("num_cols").alias("num_cols")))
     return found.select("id", "num_cols", "labels", F.sha2(shape, 256).alias("fingerprint"))
 
@@ -92,14 +107,16 @@ def extracted(cells: DataFrame, grids: DataFrame, roles: DataFrame) -> DataFrame
     Data rows come after the header, have a text, and are no band of sections alone.  A row with a few words that say so and without a quantity
     is a total: by its family's key, with the amount of the amount column, else of the rightmost money column, else of the rightmost
     number; a total that the family does not know, or without amount, is suppressed, so it never counts as an item."""
-    spread = places(cells, grids)
-    head = header(spread)
-    body = spread.join(head, "id").filter("row >= header").join(roles.filter(F.col("role").isin(*FIELDS)), ["id", "col"], "left")
-    cell = F.struct("col", "role", "text", parse_amount(F.col("text")).alias("amount"), "row_section", "box")
+    # what a grid has besides its cells comes by its id alone, so that the places stay where they are
+    told = roles.groupBy("id").agg(F.collect_list(F.when(F.col("role").isin(*FIELDS), F.struct("col", "role"))).alias("told"), F.bool_or(F.col("role") == "description").alias("described"))
+    body = headed(places(cells, grids)).filter("row >= header").join(told.select("id", "told"), "id", "left")
+    own = F.transform(F.filter("told", lambda x: x["col"] == F.col("col")), lambda x: x["role"])
+    # amounts before the generator: within the aggregate they would not be compiled
+    body = body.withColumn("amount", parse_amount(F.col("text"))).withColumn("role", F.explode_outer(own))
+    cell = F.struct("col", "role", "text", "amount", "row_section", "box")
     rows = body.groupBy("id", "row").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     rows = rows.filter(F.exists("cells", lambda c: (c["text"] != "") & ~c["row_section"]))
-    told = roles.filter("role = 'description'").groupBy("id").agg(F.lit(True).alias("described"))
-    rows = rows.join(told, "id", "left").join(grids.select("id", "family"), "id", "left")
+    rows = rows.join(told.select("id", "described"), "id", "left").join(grids.select("id", "family"), "id", "left")
     names = F.filter("cells", lambda c: F.when(F.col("described"), c["role"] == "description").otherwise(c["col"] == 0) & (c["text"] != ""))
     rows = rows.withColumn("label", F.coalesce(F.get(names, F.lit(0))["text"], F.lit("")))
     counted = F.exists("cells", lambda c: c["role"].eqNullSafe("quantity") & c["amount"].isNotNull())
